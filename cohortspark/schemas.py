@@ -3,8 +3,18 @@
 from pyspark.sql import types as T
 
 
+KINDS = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+    "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+    "array<float>": T.ArrayType(T.FloatType()), "array<string>": T.ArrayType(T.StringType()),
+    "map<text>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Built without a running session, unlike a DDL string."""
+    pairs = [p.split() for p in text.split(",")]
+    return T.StructType([T.StructField(n, KINDS[k]) for n, k in pairs])
 
 
 STAYS = _schema(
@@ -22,5 +32,5 @@ EVENTS = _schema("stay_id bigint, charttime timestamp, feature_name string, valu
 EMBEDDINGS = _schema("id bigint, embedding array<float>")
 RUNS = _schema(
     "id string, url string, name string, group string, created_at string, tags array<string>, "
-    "config string, summary map<string,string>, state string"
+    "config string, summary map<text>, state string"
 )
