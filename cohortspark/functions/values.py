@@ -182,7 +182,7 @@ def decode_attributes(c) -> Column:
     """JSON list or comma list to an array, order kept, duplicates dropped."""
     text = F.trim(col_of(c))
     parsed = F.from_json(text, T.ArrayType(T.StringType()))
-    words = F.filter(F.transform(F.split(text, ","), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(text, ","), lambda w: F.trim(w)), lambda w: w != "")
     return F.when(text != "", F.array_distinct(F.when(text.startswith("["), parsed).otherwise(words)))
 
 

@@ -250,7 +250,7 @@ def build_mortality_info(
 
 def clean_codes(df: DataFrame) -> DataFrame:
     """Drop blank codes, one row per code of a comma list, trimmed."""
-    parts = F.transform(F.split("icd_code", ","), F.trim)
+    parts = F.transform(F.split("icd_code", ","), lambda c: F.trim(c))
     return df.withColumn("icd_code", F.explode(F.filter(parts, lambda c: c != "")))
 
 
