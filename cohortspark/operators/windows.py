@@ -128,10 +128,10 @@ def observed_tokens(dense: DataFrame, most: int | None = None) -> DataFrame:
         F.transform(
             F.arrays_zip("timeseries", "mask"),
             lambda row, h: F.transform(
-                F.arrays_zip(row["timeseries"], row["mask"]),
+                F.arrays_zip(row["timeseries"].alias("v"), row["mask"].alias("m")),
                 lambda c, d: F.struct(
-                    h.alias("timestep"), d.alias("feature"), c["0"].alias("value"),
-                    c["1"].alias("seen"),
+                    h.alias("timestep"), d.alias("feature"), c["v"].alias("value"),
+                    c["m"].alias("seen"),
                 ),
             ),
         )
