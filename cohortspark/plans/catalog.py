@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from cohortspark.plans import queries_cohort, queries_series  # noqa: F401
+from cohortspark.plans import queries_cohort, queries_scores, queries_series  # noqa: F401
 from cohortspark.plans.registry import ORACLES, QUERIES  # noqa: F401
