@@ -1,4 +1,9 @@
 """All registered queries."""
 
-from cohortspark.plans import queries_cohort, queries_scores, queries_series  # noqa: F401
+from cohortspark.plans import (  # noqa: F401
+    queries_cohort,
+    queries_runs,
+    queries_scores,
+    queries_series,
+)
 from cohortspark.plans.registry import ORACLES, QUERIES  # noqa: F401
