@@ -191,15 +191,21 @@ def encode_attributes(c) -> Column:
 
 
 def config_value(c, dotted: str) -> Column:
-    """A nested value of a JSON config by its dotted key."""
+    """A nested value of a config by its dotted key, as text.
+
+    ``c`` is a JSON column, or a function from key to Column for a config that is
+    already parsed.
+    """
+    if callable(c) and not isinstance(c, Column):
+        return c(dotted)
     return F.get_json_object(col_of(c), "$." + dotted)
 
 
 def tag_value(tags, prefix: str) -> Column:
     """Text after ``prefix:`` of the first tag that has that prefix."""
     head = prefix + ":"
-    hits = F.filter(col_of(tags), lambda t: t.startswith(head))
-    return F.when(F.size(hits) > 0, F.substr(hits[0], F.lit(len(head) + 1)))
+    first = F.get(F.filter(col_of(tags), lambda t: t.startswith(head)), F.lit(0))
+    return F.substr(first, F.lit(len(head) + 1))
 
 
 def recover_source_dataset(cfg, run_name) -> Column:
@@ -281,11 +287,9 @@ def finite_or_null(c) -> Column:
 
 def is_metric_key(c) -> Column:
     """Keys that follow a run into the metric tables."""
-    key = col_of(c)
-    hit = key.isin(*C.COMPUTE_METRICS)
-    for p in C.METRIC_PREFIXES:
-        hit = hit | key.startswith(p)
-    return hit
+    exact = "|".join(C.COMPUTE_METRICS)
+    prefix = "|".join(C.METRIC_PREFIXES)
+    return col_of(c).rlike(f"^(?:(?:{exact})$|{prefix})")
 
 
 def is_blank(c) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortspark import config as C
 from cohortspark.functions import values as V
 from cohortspark.operators.ordering import null_safe_join
+from cohortspark.session import cut_lineage
 
 
 class GateError(ValueError):
@@ -405,6 +406,7 @@ def validate_marts(
     seeds: Sequence[int] = C.FIXED_SEEDS,
 ) -> DataFrame:
     """All warnings as (check, n) rows; an export is refused when any counts."""
+    rows = cut_lineage(rows)  # every check below reads it
     keys = [k for k in C.FINGERPRINT if k in rows.columns]
     parts = [
         ("seed_set", seed_set_issues(rows.filter(F.col("experiment_class").isin(*C.EXPERIMENT_CLASSES)), keys, seeds)),

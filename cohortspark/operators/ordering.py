@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import draw_bucket, stable_draw
+from cohortspark.session import cut_lineage
 
 MOST_BUCKETS = 8192
 
@@ -63,10 +64,14 @@ def running_totals(
 ) -> DataFrame:
     """Add ``before_<s>``: the total of ``s`` over rows of the group with a smaller key.
 
-    ``df`` must hold one row per (group, key) and a non-null double ``key``.
+    ``df`` must hold one row per (group, key) and a non-null double ``key``. It is
+    written out once, because the cut points, the bucket totals and the rows read it.
     """
-    cuts = value_cuts(df, key, buckets)
-    cut = with_bucket(df, key, cuts)
+    return _running(cut_lineage(df), groups, key, sums, buckets)
+
+
+def _running(df, groups, key, sums, buckets=None) -> DataFrame:
+    cut = with_bucket(df, key, value_cuts(df, key, buckets))
     return _two_level(cut, groups, [F.col(key)], sums)
 
 
@@ -126,8 +131,8 @@ def exact_quantiles(
     seen = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias("n")
     )
-    seen = seen.withColumn("_v", F.col(value).cast("double"))
-    cum = running_totals(seen, groups, "_v", ["n"], buckets)
+    seen = cut_lineage(seen.withColumn("_v", F.col(value).cast("double")))
+    cum = _running(seen, groups, "_v", ["n"], buckets)
     size = seen.groupBy(*groups).agg(F.sum("n").alias("_size"))
     cum = null_safe_join(cum, size, groups)
 

@@ -7,12 +7,14 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark import config as C
 from cohortspark.functions import values as V
 from cohortspark.functions.tdist import t_975
 from cohortspark.operators.ordering import exact_quantiles, null_safe_join
 from cohortspark.operators.significance import bonferroni, cohens_d, signed_rank
+from cohortspark.session import cut_lineage
 
 IDENTITY = (
     "run_id", "run_url", "run_name", "experiment_class", "paradigm", "dataset", "task", "seed",
@@ -22,14 +24,36 @@ IDENTITY = (
 
 # --- flattening ----------------------------------------------------------------------
 
+#: the part of a run's config that the marts read; every leaf as text, whatever its JSON type
+CONFIG_SCHEMA = T.StructType(
+    [
+        T.StructField(n, T.StringType())
+        for n in (
+            "experiment_class", "phase", "paradigm", "dataset", "seed", "protocol", "label_fraction",
+            "revision", "launch_commit", "source_dataset", "output_dir", "model_size",
+            "experiment_subtype", "upstream_pretrain_lr", "upstream_pretrain_mask_ratio",
+        )
+    ]
+    + [
+        T.StructField(n, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
+        for n, keys in (
+            ("ssl", ("name", "mask_ratio")), ("task", ("task_name",)),
+            ("training", ("freeze_encoder",)), ("optimizer", ("lr",)),
+            ("xgboost", ("learning_rate",)), ("encoder", ("name", "d_model", "n_layers")),
+        )
+    ]
+)
+
+
 def flatten_runs(runs: DataFrame) -> DataFrame:
     """One wide row per run: identity, fingerprint, provenance text and a metric map.
 
     Input: ``id, url, name, group, created_at, tags array, config JSON, summary map of
-    text``. Config wins over tags; phase, protocol, size and source are inferred when
-    neither states them.
+    text``. The config is parsed once. Config wins over tags; phase, protocol, size and
+    source are inferred when neither states them.
     """
-    cfg = lambda key: V.config_value("config", key)
+    parsed = runs.withColumn("_cfg", F.from_json("config", CONFIG_SCHEMA))
+    cfg = lambda key: F.col(f"_cfg.{key}")
     tag = lambda prefix: V.tag_value("tags", prefix)
     text = lambda c: F.nullif(c, F.lit(""))
     plain = cfg("paradigm")
@@ -45,36 +69,37 @@ def flatten_runs(runs: DataFrame) -> DataFrame:
         V.protocol_from_freeze(frozen),
         F.when((plain == "xgboost") | (phase == "baseline"), F.lit(C.FULL_FINETUNE)),
     )
-    lr = F.when(paradigm == "xgboost", F.coalesce(cfg("xgboost.learning_rate"), cfg("optimizer.lr")))
-    lr = F.when(paradigm == "xgboost", lr).otherwise(cfg("optimizer.lr"))
+    lr = F.when(
+        paradigm == "xgboost", F.coalesce(cfg("xgboost.learning_rate"), cfg("optimizer.lr"))
+    ).otherwise(cfg("optimizer.lr"))
     klass = F.coalesce(text(cfg("experiment_class")), tag("experiment_class"))
-    metrics = F.map_filter(
-        F.transform_values("summary", lambda k, v: V.finite_or_null(v)),
-        lambda k, v: V.is_metric_key(k) & v.isNotNull(),
+    numbers = F.transform_values(
+        F.map_filter("summary", lambda k, v: V.is_metric_key(k)), lambda k, v: V.finite_or_null(v)
     )
-    up = V.recover_pretrain("config", "name")
+    metrics = F.map_filter(numbers, lambda k, v: v.isNotNull())
     fairness_keys = F.array_sort(
         F.filter(
             F.map_keys(F.map_filter("summary", lambda k, v: v.isNotNull())),
             lambda k: k.startswith("fairness/"),
         )
     )
+    staged = parsed.withColumn("_up", V.recover_pretrain(cfg, "name"))
     s = lambda key: F.element_at("summary", F.lit(key))
-    return runs.select(
+    return staged.select(
         F.col("id").alias("run_id"), F.col("url").alias("run_url"), F.col("name").alias("run_name"),
         F.col("group").alias("run_group"), "created_at",
         klass.alias("experiment_class"), klass.alias("experiment_type"),
-        up["subtype"].alias("experiment_subtype"), paradigm.alias("paradigm"),
+        F.col("_up.subtype").alias("experiment_subtype"), paradigm.alias("paradigm"),
         cfg("dataset").alias("dataset"), cfg("task.task_name").alias("task"),
         cfg("seed").try_cast("bigint").alias("seed"), protocol.alias("protocol"),
         F.coalesce(cfg("label_fraction").try_cast("double"), F.lit(1.0)).alias("label_fraction"),
         lr.try_cast("double").alias("lr"), cfg("ssl.mask_ratio").try_cast("double").alias("mask_ratio"),
-        V.model_size("config").alias("model_size"),
-        V.recover_source_dataset("config", "name").alias("source_dataset"),
+        V.model_size(cfg).alias("model_size"),
+        V.recover_source_dataset(cfg, "name").alias("source_dataset"),
         F.coalesce(text(cfg("revision")), tag("revision")).alias("revision"),
         F.coalesce(text(cfg("launch_commit")), tag("commit")).alias("launch_commit"),
-        phase.alias("phase"),
-        up["lr"].alias("upstream_pretrain_lr"), up["mask_ratio"].alias("upstream_pretrain_mask_ratio"),
+        phase.alias("phase"), F.col("_up.lr").alias("upstream_pretrain_lr"),
+        F.col("_up.mask_ratio").alias("upstream_pretrain_mask_ratio"),
         cfg("output_dir").alias("output_dir"),
         *[
             s(f"_{k}").alias(k)
@@ -115,6 +140,7 @@ def per_seed(flat: DataFrame, allow_duplicates: bool = False) -> DataFrame:
     """The per-seed mart; ambiguous or (unless allowed) repeated fingerprints are errors."""
     from cohortspark.operators.gates import duplicate_fingerprints, fingerprint_collisions
 
+    flat = cut_lineage(flat)  # two checks and the mart read it
     if not fingerprint_collisions(flat).limit(1).isEmpty():
         raise ValueError("different runs share one fingerprint")
     if not allow_duplicates and not duplicate_fingerprints(flat).limit(1).isEmpty():
@@ -318,6 +344,7 @@ def paired_tests(
     """Signed-rank test, effect size and Bonferroni per scope for every listed pair."""
     scope = list(scope)
     by = [*scope, "paradigm_a", "paradigm_b"]
+    paired = cut_lineage(paired)  # six statistics read it
     both = paired.filter(F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
     up = F.lit(higher) if isinstance(higher, bool) else higher
     gain = F.when(up, F.col("value_a") - F.col("value_b")).otherwise(F.col("value_b") - F.col("value_a"))
@@ -347,7 +374,10 @@ def statistical_tests(df: DataFrame, paradigms: Sequence[str] | None = None) ->
     Omnibus scopes need at least two tasks. In the classical context views only pairs of
     one classical and one other paradigm are tested.
     """
-    rows = primary_values(df.unionByName(classical_views(df), allowMissingColumns=True))
+    needed = [c for c in (*C.FINGERPRINT, "seed", "metrics") if c in df.columns]
+    # read by every scope and statistic below, so computed once
+    rows = cut_lineage(primary_values(df.select(*needed)).drop("metrics"))
+    rows = rows.unionByName(classical_views(rows), allowMissingColumns=True)
     names = list(paradigms) if paradigms is not None else paradigm_names(rows)
     pairs = list(combinations(sorted(names), 2))
     base = [c for c in C.FINGERPRINT if c in rows.columns and c not in ("paradigm", "task", "phase")]
@@ -377,7 +407,8 @@ def extension_tests(
     sides = (
         (F.col("experiment_class") == a[0]) & (F.col("paradigm") == a[1])
     ) | ((F.col("experiment_class") == b[0]) & (F.col("paradigm") == b[1]))
-    rows = primary_values(df.filter(sides))
+    needed = [c for c in (*C.FINGERPRINT, "seed", "metrics") if c in df.columns]
+    rows = primary_values(df.filter(sides).select(*needed)).drop("metrics")
     scope = ["dataset", "protocol", "label_fraction", "model_size", "source_dataset",
              "primary_metric_name"]
     paired = paired_values(rows, scope, [(a[1], b[1])])
@@ -396,8 +427,9 @@ def expected_matrix(spark: SparkSession, with_pretrain: bool = False) -> DataFra
     Each class is a product of small lists, written as explodes of literal arrays.
     """
 
-    def lits(*values):
-        return F.explode(F.array(*[F.lit(v) for v in values]))
+    def lits(*values, kind=None):
+        items = F.array(*[F.lit(v) for v in values])
+        return F.explode(items.cast(f"array<{kind}>") if kind else items)
 
     def fractions(mapping):
         return F.explode(
@@ -409,7 +441,7 @@ def expected_matrix(spark: SparkSession, with_pretrain: bool = False) -> DataFra
             )
         )
 
-    seeds = spark.range(1).select(lits(*C.FIXED_SEEDS).cast("bigint").alias("seed"))
+    seeds = spark.range(1).select(lits(*C.FIXED_SEEDS, kind="bigint").alias("seed"))
     full = {t: (1.0,) for t in C.BENCHMARK_TASKS}
     empty = {
         "experiment_subtype": "string", "source_dataset": "string",

@@ -13,6 +13,7 @@ from cohortspark.plans import analogs as A
 from cohortspark.plans.queries_cohort import r6
 from cohortspark.plans.registry import CTES, query
 from cohortspark.plans.registry import with_tables as W
+from cohortspark.session import cut_lineage
 from cohortspark.sources.tables import select_runs
 
 # Every line item is a run record: its line number names the class, return flag and status
@@ -123,7 +124,8 @@ def run_records(spark, sf):
 
 
 def flat(spark, sf):
-    return R.flatten_runs(run_records(spark, sf))
+    """The flattened runs as a stored table, the way every result table reads them."""
+    return cut_lineage(R.flatten_runs(run_records(spark, sf)))
 
 
 def latest(spark, sf):
@@ -240,7 +242,7 @@ def dropped_tasks(spark, sf):
 SELECT run_id, created_at, experiment_class, paradigm, dataset, task, seed, protocol, label_fraction, (l_orderkey % 2) / 1000.0 AS lr,
   'default' AS model_size, source_dataset, revision, launch_commit, phase FROM run"""))
 def flattened_runs(spark, sf):
-    return flat(spark, sf).select(
+    return R.flatten_runs(run_records(spark, sf)).select(
         "run_id", "created_at", "experiment_class", "paradigm", "dataset", "task", "seed", "protocol",
         "label_fraction", "lr", "model_size", "source_dataset", "revision", "launch_commit", "phase",
     )
@@ -288,7 +290,7 @@ def metrics_long(spark, sf):
 
 @query("run_configs", W(_RUN, "SELECT run_id, dataset, seed FROM run"))
 def run_configs(spark, sf):
-    rows = R.run_configs(flat(spark, sf))
+    rows = R.run_configs(R.flatten_runs(run_records(spark, sf)))
     return rows.select(
         "run_id", V.config_value("config_json", "dataset").alias("dataset"),
         V.config_value("config_json", "seed").cast("bigint").alias("seed"),

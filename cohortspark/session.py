@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", memory: str = "16g") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -36,7 +37,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = os.path.join(tempfile.gettempdir(), "cohortspark-checkpoints")
-    if named is not None and (current is None or not current.startswith(named)):
+    if named is not None and named not in (current or ""):
         spark.sparkContext.setCheckpointDir(named)
     return named or current
 
