@@ -6,8 +6,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.functions.hashing import cell_uniform, poisson_one
 from cohortspark.operators.ordering import (
@@ -16,6 +17,7 @@ from cohortspark.operators.ordering import (
     value_cuts,
     with_bucket,
 )
+from cohortspark.session import cut_lineage
 
 NAN = float("nan")
 EXACT_PAIRS = 50
@@ -41,26 +43,48 @@ def mean_metrics() -> dict[str, tuple[Column, Column]]:
 
 def replicate_means(
     df: DataFrame, parts: dict[str, tuple[Column, Column]], n: int, seed: int,
-    ids: Sequence[str] = ("stay_id",), by: Sequence[str] = (),
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(replicate, name columns): each replicate reweights every row by a Poisson(1) draw.
+    """(replicate, name columns): ratios of sums under Poisson resampling weights.
 
-    The rows x replicates product lives only inside a task: sums per replicate are
-    combined before the shuffle, which carries ``n`` rows per task and group.
+    Rows with the same numbers collapse to one cell with a count ``c``; the sum of
+    ``c`` Poisson(1) weights is one Poisson(c) draw, so the cell is drawn once. A task
+    keeps ``n`` sums per group and hands on only those.
     """
-    rows = df.select(
-        *by, *ids,
-        *[c.alias(f"_{k}_{i}") for k, pair in parts.items() for i, c in enumerate(pair)],
+    by = list(by)
+    names = [f"_{k}_{i}" for k in parts for i in (0, 1)]
+    exprs = [pair[i].cast("double").alias(f"_{k}_{i}") for k, pair in parts.items() for i in (0, 1)]
+    cells = df.select(*by, *exprs).groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_c"))
+    keyed = cells.withColumn("_h", F.xxhash64(F.lit(int(seed)), *by, *names))
+
+    def fold(batches):
+        sums: dict = {}
+        for pdf in batches:
+            groups = pdf.groupby(by, dropna=False, sort=False).indices.items() if by else (
+                ((), np.arange(len(pdf))),
+            )
+            for g, idx in groups:
+                g = g if isinstance(g, tuple) else (g,)
+                total = sums.setdefault(g, np.zeros((n, len(names))))
+                for at in np.array_split(idx, max(1, len(idx) // 2048)):
+                    part = pdf.iloc[at]
+                    x = part[names].to_numpy(dtype="float64")
+                    h = part["_h"].to_numpy().view(np.uint64)
+                    total += cell_weights(h, part["_c"].to_numpy(), 0, n).T @ x
+        for g, total in sums.items():
+            out = pd.DataFrame(total, columns=names)
+            out.insert(0, "replicate", np.arange(1, n + 1))
+            for c, v in zip(reversed(by), reversed(g)):
+                out.insert(0, c, v)
+            yield out
+
+    schema = T.StructType(
+        [df.schema[c] for c in by]
+        + [T.StructField("replicate", T.IntegerType())]
+        + [T.StructField(c, T.DoubleType()) for c in names]
     )
-    rep = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    w = poisson_one(cell_uniform(seed, "replicate", *ids))
-    weighted = rep.withColumn("_w", w).filter("_w > 0")
-    sums = weighted.groupBy(*by, "replicate").agg(
-        *[
-            F.sum(F.col("_w") * F.col(f"_{k}_{i}")).alias(f"_{k}_{i}")
-            for k in parts
-            for i in (0, 1)
-        ]
+    sums = keyed.mapInPandas(fold, schema).groupBy(*by, "replicate").agg(
+        *[F.sum(c).alias(c) for c in names]
     )
     return sums.select(
         *by, "replicate",
@@ -101,7 +125,7 @@ def bootstrap_ci(
         from cohortspark.operators.metrics import ranking_metrics
 
         point = ranking_metrics(df).select(F.col(metric).alias("point"))
-        reps = replicate_ranking(df, n, seed, ids)
+        reps = replicate_ranking(df, n, seed)
         name = metric
     elif callable(metric):
         whole = df.withColumns({"replicate": F.lit(0), "weight": F.lit(1)})
@@ -112,7 +136,7 @@ def bootstrap_ci(
     else:
         num, den = mean_metrics()[metric]
         point = df.agg((F.sum(num) / F.sum(den)).alias("point"))
-        reps = replicate_means(df, {metric: (num, den)}, n, seed, ids)
+        reps = replicate_means(df, {metric: (num, den)}, n, seed)
         name = metric
     return point.crossJoin(interval(reps, [name], (), level))  # two one-row frames
 
@@ -120,7 +144,7 @@ def bootstrap_ci(
 # --- bootstrap of ranking metrics ----------------------------------------------------------
 
 def replicate_ranking(
-    df: DataFrame, n: int, seed: int, ids: Sequence[str] = ("stay_id",),
+    df: DataFrame, n: int, seed: int, ids: Sequence[str] | None = None,
     score: str = "prediction", label: str = "label", block: int = 64,
 ) -> DataFrame:
     """(replicate, auroc, auprc), single-class replicates null.
@@ -129,12 +153,18 @@ def replicate_ranking(
     of all replicates and returns per replicate the class totals, the pairs ordered
     inside the bucket and, for average precision, the terms given the totals above.
     Bucket totals come first (a plain grouping), so each bucket is worked on once
-    with its offsets; only ``buckets x replicates`` numbers leave the tasks.
+    with its offsets; only ``buckets x replicates`` numbers leave the tasks. Rows of
+    equal score and label collapse to one cell, unless ``ids`` ties the draws to rows
+    (so that two scores can share them).
     """
-    scored = df.select(
-        (-F.col(score).cast("double")).alias("_s"), (F.col(label) == 1).cast("int").alias("_y"),
-        F.xxhash64(F.lit(int(seed)), *[F.col(i) for i in ids]).alias("_h"),
-    )
+    s, y = (-F.col(score).cast("double")).alias("_s"), (F.col(label) == 1).cast("int").alias("_y")
+    if ids is None:
+        cells = df.groupBy(s, y).agg(F.count(F.lit(1)).alias("_c"))
+        scored = cells.withColumn("_h", F.xxhash64(F.lit(int(seed)), "_s", "_y"))
+    else:
+        h = F.xxhash64(F.lit(int(seed)), *[F.col(i) for i in ids])
+        scored = df.select(s, y, F.lit(1).cast("bigint").alias("_c"), h.alias("_h"))
+    scored = cut_lineage(scored)  # the cut points and both passes read it
     cut = with_bucket(scored, "_s", value_cuts(scored, "_s"))
     blocks = range(0, n, block)
     spread = cut.withColumn(
@@ -143,8 +173,8 @@ def replicate_ranking(
 
     def draws(pdf: pd.DataFrame, start: int) -> np.ndarray:
         width = min(block, n - start)
-        reps = np.arange(start, start + width, dtype=np.uint64)
-        return _poisson(pdf["_h"].to_numpy().view(np.uint64)[:, None], reps[None, :])
+        h = pdf["_h"].to_numpy().view(np.uint64)
+        return cell_weights(h, pdf["_c"].to_numpy(), start, width)
 
     def totals(key, pdf):
         w = draws(pdf, key[0])
@@ -160,8 +190,6 @@ def replicate_ranking(
 
     fields = "_block int, _bucket int, replicate long, pos double, neg double"
     per = spread.groupBy("_block", "_bucket").applyInPandas(totals, fields)
-    from pyspark.sql import Window
-
     above = Window.partitionBy("replicate").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -207,6 +235,16 @@ def replicate_ranking(
     )
 
 
+def cell_weights(h: np.ndarray, count: np.ndarray, start: int, width: int) -> np.ndarray:
+    """(cells x width) resampling weights of cells with row counts, fixed by hash and replicate."""
+    reps = np.arange(start, start + width, dtype=np.uint64)
+    w = _poisson(h[:, None], reps[None, :]).astype("int64")
+    for i in np.flatnonzero(count > 1):
+        key = np.array([h[i], np.uint64(start)], dtype=np.uint64)
+        w[i] = np.random.Generator(np.random.Philox(key=key)).poisson(count[i], width)
+    return w
+
+
 def _poisson(h: np.ndarray, rep: np.ndarray) -> np.ndarray:
     """Poisson(1) counts from a 64-bit mix of row hash and replicate."""
     with np.errstate(over="ignore"):
@@ -249,7 +287,7 @@ def paired_bootstrap(
             parts[k] = (num, den)
             exprs.append((F.sum(num) / F.sum(den)).alias(f"score_{k}"))
         point = df.agg(*exprs)
-        reps = replicate_means(df, parts, n, seed, ids)
+        reps = replicate_means(df, parts, n, seed)
     delta = F.col("score_a") - F.col("score_b")
     boot = F.col("a") - F.col("b")
     extreme = boot >= 2 * delta if higher_is_better else boot <= 2 * delta

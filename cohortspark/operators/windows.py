@@ -71,20 +71,22 @@ def actual_length(mask="mask") -> Column:
 def sliding_windows(dense: DataFrame, size: int, stride: int | None = None) -> DataFrame:
     """One row per window: starts 0, s, 2s ... that fit the series and begin before its end.
 
-    A pure ``explode`` of the stay's own row, no shuffle.
+    A pure ``explode`` of the stay's own row, no shuffle. A series shorter than the
+    window fails the job.
     """
     stride = size // 2 if stride is None else stride
     if size <= 0 or stride <= 0:
         raise ValueError("window size and stride must be positive")
-    too_short = dense.select(F.size("timeseries").alias("n")).filter(F.col("n") < size).limit(1)
-    if not too_short.isEmpty():
-        raise ValueError(f"window size {size} exceeds the series length")
     return _cut_windows(dense, size, F.lit(stride))
 
 
 def _cut_windows(dense: DataFrame, size: int, stride: Column) -> DataFrame:
     rest = [c for c in dense.columns if c not in ("timeseries", "mask")]
-    starts = F.sequence(F.lit(0), F.size("timeseries") - size, stride)
+    too_long = F.raise_error(F.lit(f"window size {size} exceeds the series length"))
+    last = F.when(F.size("timeseries") >= size, F.size("timeseries") - size).otherwise(
+        too_long.cast("int")
+    )
+    starts = F.sequence(F.lit(0), last, stride)
     sized = dense.withColumn("_len", actual_length())
     hit = F.explode(F.filter(starts, lambda s: s < F.col("_len"))).alias("window_start")
     begun = sized.select(*rest, "timeseries", "mask", stride.alias("_stride"), hit)
