@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEAD_STD = 1e-6
+#: a sample of this many pairs is a few megabytes of ids
+BROADCAST_PAIRS = 200_000
 
 
 def dim_stats(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -33,47 +38,20 @@ def global_stats(df: DataFrame, vec: str = "embedding") -> DataFrame:
     )
 
 
-def _moments_schema():
-    return "n long, total array<double>, outer array<double>"
-
-
 def covariance(df: DataFrame, vec: str = "embedding") -> tuple[int, np.ndarray]:
     """Row count and D x D sample covariance.
 
-    Tasks fold their Arrow batches into one sum vector and one outer-product matrix;
-    the matrices are added up in a tree on the executors, entry by entry. Only the
-    D x D result reaches the driver, a size set by the vector width.
+    The products are summed on the executors in a tree; only the D x D matrix, whose
+    size is set by the vector width, reaches the driver.
     """
-    centre = df.limit(1).select(F.transform(vec, lambda v: v.cast("double")).alias("c")).first()
-    if centre is None:
+    dense = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(dense, "v"))
+    n = matrix.numRows()
+    if n == 0:
         return 0, np.zeros((0, 0))
-    shift = np.asarray(centre["c"], dtype="float64")  # keeps the sums small, any vector does
-
-    def fold(batches):
-        import pandas as pd
-
-        n, total, outer = 0, None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack([np.asarray(v, dtype="float64") for v in pdf[vec]]) - shift
-            n += len(x)
-            total = x.sum(0) if total is None else total + x.sum(0)
-            outer = x.T @ x if outer is None else outer + x.T @ x
-        if n:
-            yield pd.DataFrame({"n": [n], "total": [total], "outer": [outer.ravel()]})
-
-    parts = df.select(vec).mapInPandas(fold, _moments_schema())
-    summed = parts.select(
-        "n", F.posexplode(F.concat("total", "outer")).alias("i", "x")
-    ).groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    rows = summed.collect()  # D + D * D numbers
-    d, n = len(shift), rows[0]["n"]
-    flat = np.zeros(d + d * d)
-    for r in rows:
-        flat[r["i"]] = r["x"]
-    total, outer = flat[:d], flat[d:].reshape(d, d)
-    return n, (outer - np.outer(total, total) / n) / max(n - 1, 1)
+    if n == 1:
+        return 1, np.zeros((matrix.numCols(), matrix.numCols()))
+    return n, matrix.computeCovariance().toArray()
 
 
 def eigenvalues(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -119,8 +97,8 @@ def _unit(vec: str) -> Column:
 def sampled_pairs(df: DataFrame, n_pairs: int, id_col: str, vec: str = "embedding", seed: int = 42):
     """(pair, u, v): unit vectors of ``n_pairs`` hashed pairs of different rows.
 
-    Rows are numbered by a shuffled rank; each pair names two numbers and is joined to
-    the vectors twice, so the work is that of the sample, not of all pairs.
+    Rows are numbered by a shuffled rank and each pair names two numbers. The short
+    pair list is sent to the vectors, not the vectors to the pairs.
     """
     from cohortspark.functions.hashing import cell_uniform
     from cohortspark.operators.ordering import hash_rank
@@ -134,12 +112,15 @@ def sampled_pairs(df: DataFrame, n_pairs: int, id_col: str, vec: str = "embeddin
     pairs = pairs.filter((F.col("_n") > 1) & (F.col("pair") < limit)).select(
         "pair", i.alias("i"), F.pmod(i + step, F.col("_n")).alias("j")
     )
-    for end in ("i", "j"):
-        ids = ranked.select(F.col("rank").alias(end), F.col(id_col).alias(f"_{end}"))
-        pairs = pairs.join(ids, end)
-        vecs = df.select(F.col(id_col).alias(f"_{end}"), _unit(vec).alias(f"{end}_unit"))
-        pairs = pairs.join(vecs, f"_{end}")
-    return pairs.select("pair", F.col("i_unit").alias("u"), F.col("j_unit").alias("v"))
+    sides = []
+    for end, out in (("i", "u"), ("j", "v")):
+        wanted = pairs.select("pair", F.col(end).alias("rank"))
+        if n_pairs <= BROADCAST_PAIRS:  # two numbers per pair
+            wanted = F.broadcast(wanted)
+        ids = ranked.join(wanted, "rank").select("pair", id_col)
+        ids = F.broadcast(ids) if n_pairs <= BROADCAST_PAIRS else ids
+        sides.append(df.join(ids, id_col).select("pair", _unit(vec).alias(out)))
+    return sides[0].join(sides[1], "pair")
 
 
 def pair_similarity(pairs: DataFrame, t: float = 2.0) -> DataFrame:

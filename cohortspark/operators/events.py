@@ -126,14 +126,11 @@ def fill_stay_hours(
     binned: DataFrame, stays: DataFrame, features: Sequence[str], horizon: int
 ) -> DataFrame:
     """Every hour of each stay up to ``min(ceil(los), horizon)``, gaps as null / False."""
-    last = F.least(F.ceil(F.col("los_days") * 24.0), F.lit(horizon)).cast("int")
-    hours = stays.filter(last > 0).select(
-        "stay_id", F.explode(F.sequence(F.lit(0), last - 1)).alias("hour")
-    )
-    full = hours.join(binned, ["stay_id", "hour"], "left")
-    return full.withColumns(
-        {f"{f}_mask": F.coalesce(F.col(f"{f}_mask"), F.lit(False)) for f in features}
-    )
+    from cohortspark.operators.grid import stay_hours
+
+    inside = binned.filter((F.col("hour") >= 0) & (F.col("hour") < horizon))
+    hours = F.least(F.ceil(F.col("los_days") * 24.0), F.lit(horizon))
+    return stay_hours(inside, stays, features, hours)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortspark import config as C
 from cohortspark.functions import values as V
 from cohortspark.operators.metrics import ranking_metrics, regression_report
+from cohortspark.session import broadcast_if_small, cut_lineage
 
 NAN = float("nan")
 
@@ -68,15 +69,20 @@ def group_sizes(rows: DataFrame, min_patients: int = C.MIN_SUBGROUP_PATIENTS) ->
     per = rows.groupBy("attr", "group").agg(
         F.count_distinct("patient_id").alias("n_patients"), F.count(F.lit(1)).alias("n_stays")
     )
+    per = cut_lineage(per)  # read by the filters and by every report
     valid = per.withColumn("valid", F.col("n_patients") >= min_patients)
     kept = valid.groupBy("attr").agg(F.count_if("valid").alias("n_valid_groups"))
     return valid.join(kept, "attr").withColumn("reported", F.col("n_valid_groups") >= 2)
 
 
 def valid_rows(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of the size-valid groups of reported attributes (a handful of groups)."""
+    """Rows of the size-valid groups of reported attributes.
+
+    The groups are few, so after a check of their number they are sent to the rows
+    and a group with a third of all rows is not shuffled.
+    """
     ok = sizes.filter("valid and reported").select("attr", "group")
-    return rows.join(ok, ["attr", "group"], "left_semi")
+    return rows.join(broadcast_if_small(ok, 10_000), ["attr", "group"], "left_semi")
 
 
 # --- primitives ---------------------------------------------------------------------------

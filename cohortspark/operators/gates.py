@@ -73,6 +73,8 @@ def label_coverage_issues(stays: DataFrame, labels: DataFrame) -> DataFrame:
 
 def excessive_missing(labels: DataFrame, limits: dict[str, float]) -> DataFrame:
     """(task, null_pct, limit) of tasks above their allowed share of missing labels."""
+    if not limits:
+        return labels.sparkSession.createDataFrame([], "task string, null_pct double, limit_pct double")
     n = F.count(F.lit(1))
     cells = F.array(
         *[

@@ -67,16 +67,40 @@ def dense_grid(
 def grid_rows(
     sparse: DataFrame, stays: DataFrame, features: Sequence[str], length: int
 ) -> DataFrame:
-    """Wide rows: every stay x hour, left-joined to the sparse rows.
+    """Wide rows: every stay x hour with the sparse values, gaps as null / False."""
+    return stay_hours(valid_hours(sparse, length), stays, features, F.lit(length))
 
-    The hours come from ``explode(sequence)``, not a cross join.
+
+def stay_hours(
+    sparse: DataFrame, stays: DataFrame, features: Sequence[str], hours: Column
+) -> DataFrame:
+    """Wide rows for hours ``0 .. hours - 1`` of each stay.
+
+    Only the sparse rows are shuffled, by stay; the full grid is unfolded afterwards
+    inside the task. The result stays partitioned by stay, so windows and groupings
+    by stay need no further exchange. A stay's sparse rows are at most one per hour
+    (a repeated hour fails the job), so what is collected is bounded.
     """
-    hours = stays.select(
-        "stay_id", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("hour")
+    rest = [c for c in sparse.columns if c not in ("stay_id", "hour")]
+    cells = F.struct(F.col("hour").cast("int").alias("hour"), F.struct(*rest).alias("c"))
+    per_stay = sparse.groupBy("stay_id").agg(
+        F.map_from_entries(F.collect_list(cells)).alias("_h")
+    )
+    both = stays.select("stay_id", hours.cast("int").alias("_n")).filter(F.col("_n") > 0).join(
+        per_stay, "stay_id", "left"
+    )
+    unfolded = F.transform(
+        F.sequence(F.lit(0), F.col("_n") - 1),
+        lambda h: F.struct(h.alias("hour"), F.col("_h")[h].alias("c")),
     )
-    full = hours.join(valid_hours(sparse, length), ["stay_id", "hour"], "left")
-    return full.withColumns(
-        {f"{f}_mask": F.coalesce(F.col(f"{f}_mask"), F.lit(False)) for f in features}
+    rows = both.select("stay_id", F.explode(unfolded).alias("_r"))
+    masks = {f"{f}_mask" for f in features}
+    return rows.select(
+        "stay_id", "_r.hour",
+        *[
+            (F.coalesce(F.col(f"_r.c.{c}"), F.lit(False)) if c in masks else F.col(f"_r.c.{c}")).alias(c)
+            for c in rest
+        ],
     )
 
 

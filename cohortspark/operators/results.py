@@ -16,6 +16,7 @@ from cohortspark.operators.ordering import exact_quantiles, null_safe_join
 from cohortspark.operators.significance import bonferroni, cohens_d, signed_rank
 from cohortspark.session import cut_lineage
 
+MOST_PARADIGMS = 200
 IDENTITY = (
     "run_id", "run_url", "run_name", "experiment_class", "paradigm", "dataset", "task", "seed",
     "phase", "revision", "launch_commit",
@@ -286,7 +287,9 @@ def primary_values(df: DataFrame) -> DataFrame:
 
 def paradigm_names(df: DataFrame) -> list[str]:
     """The distinct paradigms: a short list of method names, read once."""
-    rows = df.select("paradigm").filter("paradigm is not null").distinct().limit(1000).collect()
+    rows = df.select("paradigm").filter("paradigm is not null").distinct().take(MOST_PARADIGMS + 1)
+    if len(rows) > MOST_PARADIGMS:
+        raise ValueError("too many paradigms to pair; name the ones to compare")
     return sorted(r["paradigm"] for r in rows)
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cohortspark.config import SPLIT_RATIOS
 from cohortspark.operators.ordering import hash_rank
 
+#: a key with no more rows than this is never worth a plan of its own
+MANY_ROWS = 100_000
+
 
 def _check_ratios(ratios) -> None:
     if abs(sum(ratios) - 1.0) > 1e-6:
@@ -37,24 +40,37 @@ def split_patients(stays: DataFrame, seed: int = 42, ratios=SPLIT_RATIOS) -> Dat
 def assign_split(stays: DataFrame, split: DataFrame, strict: bool = True) -> DataFrame:
     """Give every stay its patient's split; with ``strict`` an unknown patient fails the job.
 
-    Stays carry few columns here, and a patient with very many stays is handled by
-    splitting its rows over salts, each salt seeing a copy of the small split table.
+    A patient may own a large part of all stays; see ``skew_safe_lookup``.
     """
     keyed = stays.withColumn("patient_id", F.col("patient_id").cast("string"))
-    out = salted_lookup(keyed, split, "patient_id", spread="stay_id")
+    out = skew_safe_lookup(keyed, split, "patient_id")
     if not strict:
         return out
     lost = F.raise_error(F.concat(F.lit("no split for patient "), "patient_id")).cast("string")
     return out.withColumn("split", F.coalesce(F.col("split"), lost))
 
 
-def salted_lookup(
-    rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 8
+def skew_safe_lookup(
+    rows: DataFrame, table: DataFrame, key: str, share: float = 1e-3
 ) -> DataFrame:
-    """Left join to a table with one row per key, hot keys spread over ``salts`` tasks."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    """Left join to a table with one row per key, with hot keys taken out of the shuffle.
+
+    Keys that own more than ``share`` of the rows number fewer than ``1 / share``, so
+    their table rows are broadcast and their many rows stay where they are. The other
+    keys go through an ordinary join.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    heavy = counts.crossJoin(F.broadcast(total)).filter(  # one row: the total
+        (F.col("_n") > F.col("_all") * share) & (F.col("_n") > MANY_ROWS)
+    )
+    hot = [r[key] for r in heavy.select(key).collect()]  # fewer than 1 / share keys
+    if not hot:
+        return rows.join(table, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
+    few = rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key, "left")
+    rest = rows.filter(~is_hot).join(table.filter(~is_hot), key, "left")
+    return rest.unionByName(few)
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:
