@@ -19,6 +19,15 @@ def literal_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression that a lambda captures is computed again for every item; a lambda
+    variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 # --- categorical and time types ---------------------------------------------
 
 def encode_categories(df: DataFrame, codes: dict | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.functions.values import let
+
 DEAD_STD = 1e-6
 #: a sample of this many pairs is a few megabytes of ids
 BROADCAST_PAIRS = 200_000
@@ -89,9 +91,9 @@ def dimensionality(spectrum: DataFrame) -> DataFrame:
 
 
 def _unit(vec: str) -> Column:
-    x = F.transform(vec, lambda v: v.cast("double"))
+    x = F.col(vec).cast("array<double>")
     norm = F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)), F.lit(1e-8))
-    return F.transform(x, lambda v: v / norm)
+    return let(norm, lambda n: F.transform(x, lambda v: v / n))
 
 
 def sampled_pairs(df: DataFrame, n_pairs: int, id_col: str, vec: str = "embedding", seed: int = 42):

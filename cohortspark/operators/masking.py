@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import cell_normal, cell_uniform
+from cohortspark.functions.values import let
 from cohortspark.operators.windows import seen_hours
 
 
@@ -112,7 +113,9 @@ def _shuffled(arr: Column, *key) -> Column:
 
 def _hide(positions: Column) -> Column:
     """Visible flags of the row's hours with ``positions`` hidden."""
-    return F.transform(F.col("_valid"), lambda v, i: ~F.array_contains(positions, i))
+    return let(
+        positions, lambda p: F.transform(F.col("_valid"), lambda v, i: ~F.array_contains(p, i))
+    )
 
 
 def _with_valid(dense: DataFrame) -> DataFrame:
@@ -167,18 +170,21 @@ def block_timestep_mask(
         ),
     )
     df = df.withColumn("_blocks", F.when(F.col("_m") > 0, blocks).otherwise(F.slice(blocks, 1, 0)))
-    hidden = F.filter(
-        F.transform(
-            F.col("_pos"),
-            lambda p, o: F.when(
-                F.exists(
-                    F.col("_blocks"),
-                    lambda b: (o >= b["done"] + b["shift"]) & (o < b["end"] + b["shift"]),
+    hidden = let(
+        F.col("_blocks"),
+        lambda blocks: F.filter(
+            F.transform(
+                F.col("_pos"),
+                lambda p, o: F.when(
+                    F.exists(
+                        blocks,
+                        lambda b: (o >= b["done"] + b["shift"]) & (o < b["end"] + b["shift"]),
+                    ),
+                    p,
                 ),
-                p,
             ),
+            lambda p: p.isNotNull(),
         ),
-        lambda p: p.isNotNull(),
     )
     keep = [*dense.columns, "visible"]
     return df.withColumn("visible", _hide(hidden)).select(*keep)
@@ -216,22 +222,28 @@ def contiguous_block_mask(
         "_starts", _shuffled(F.sequence(F.lit(0), F.col("_T") - 1), *key, F.lit("start"))
     )
 
-    def place(acc, size):
+    def place(acc, size, starts):
         def free(s):
             fits = s + size <= F.col("_T")
             clash = F.exists(acc, lambda b: (s < b["end"]) & (b["start"] < s + size))
             return fits & ~clash
 
         fallback = F.pmod(F.xxhash64(*key, F.lit("any"), F.size(acc)), F.col("_T") - size + 1)
-        first = F.coalesce(F.filter(F.col("_starts"), free)[0], fallback.cast("int"))
-        block = F.struct(first.alias("start"), (first + size).alias("end"))
+        first = F.coalesce(F.filter(starts, free)[0], fallback.cast("int"))
+        block = let(first, lambda f: F.struct(f.alias("start"), (f + size).alias("end")))
         return F.concat(acc, F.array(block))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
-    df = df.withColumn("_blocks", F.aggregate("_sizes", none, place))
-    visible = F.transform(
-        F.sequence(F.lit(0), F.col("_T") - 1),
-        lambda h: ~F.exists(F.col("_blocks"), lambda b: (h >= b["start"]) & (h < b["end"])),
+    placed = let(
+        F.col("_starts"),
+        lambda starts: F.aggregate("_sizes", none, lambda acc, size: place(acc, size, starts)),
+    )
+    visible = let(
+        placed,
+        lambda blocks: F.transform(
+            F.sequence(F.lit(0), F.col("_T") - 1),
+            lambda h: ~F.exists(blocks, lambda b: (h >= b["start"]) & (h < b["end"])),
+        ),
     )
     return df.withColumn("visible", visible).select(*dense.columns, "visible")
 
@@ -294,7 +306,7 @@ def token_mask(tokens: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     none = ~F.exists(
         F.arrays_zip("tokens", "visible"), lambda c: c["visible"] & c["tokens"].isNotNull()
     )
-    fixed = F.transform("visible", lambda v, i: v | (F.lit(True) & none & (i == 0)))
+    fixed = let(none, lambda n: F.transform("visible", lambda v, i: v | (n & (i == 0))))
     return df.withColumn("visible", fixed)
 
 
@@ -317,9 +329,11 @@ def visible_steps(masked: DataFrame) -> DataFrame:
 def scatter_steps(df: DataFrame, length: int, n_features: int, fill: float = 0.0) -> DataFrame:
     """Put ``steps`` back on the full grid, other hours at ``fill``."""
     blank = F.array(*[F.lit(fill).cast("double") for _ in range(n_features)])
-    by_hour = F.map_from_entries(F.col("steps"))
-    full = F.transform(
-        F.sequence(F.lit(0), F.lit(length - 1)), lambda h: F.coalesce(by_hour[h], blank)
+    full = let(
+        F.map_from_entries(F.col("steps")),
+        lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(length - 1)), lambda h: F.coalesce(m[h], blank)
+        ),
     )
     return df.withColumn("timeseries", full)
 

@@ -63,17 +63,18 @@ def normalize_dense(dense: DataFrame, stats: DataFrame, zscore: bool = True) ->
     """z-scores with missing cells 0, or raw values with missing cells at the feature mean."""
     df = dense.crossJoin(F.broadcast(stats_row(stats)))  # one row per feature set
 
-    def cell(row, h):
-        def one(x, d):
-            missing = x.isNull() | F.isnan(x) | ~F.col("mask")[h][d]
-            mean, std = F.col("_means")[d], F.col("_stds")[d]
-            if zscore:
-                return F.when(missing, F.lit(0.0)).otherwise((x - mean) / std)
-            return F.when(missing, mean).otherwise(x)
-
-        return F.transform(row, one)
-
-    return df.withColumn("timeseries", F.transform("timeseries", cell)).drop("_means", "_stds")
+    def cell(c, d):
+        missing = c["x"].isNull() | F.isnan(c["x"]) | ~c["m"]
+        mean, std = F.col("_means")[d], F.col("_stds")[d]
+        if zscore:
+            return F.when(missing, F.lit(0.0)).otherwise((c["x"] - mean) / std)
+        return F.when(missing, mean).otherwise(c["x"])
+
+    both = F.arrays_zip(F.col("timeseries").alias("x"), F.col("mask").alias("m"))
+    scaled = F.transform(
+        both, lambda r: F.transform(F.arrays_zip(r["x"].alias("x"), r["m"].alias("m")), cell)
+    )
+    return df.withColumn("timeseries", scaled).drop("_means", "_stds")
 
 
 def normalize_rows(
