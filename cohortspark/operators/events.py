@@ -81,6 +81,24 @@ def _bin_expr(rule: ConceptRule, value: str, order: Column) -> Column:
     return pick(F.col(value), F.when(mine, order))
 
 
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """A sort key for first / last picks that keeps the aggregation a hash aggregation.
+
+    A (timestamp, whole number) pair becomes one decimal: a struct key would make Spark
+    sort all rows by group before and after the shuffle. Other keys stay a struct.
+    """
+    kinds = [dict(df.dtypes)[c] for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    if kinds[0] != "timestamp" or len(order) != 2 or kinds[1] not in ("int", "bigint"):
+        return F.struct(*[F.col(c) for c in order])
+    # room for any 64-bit second part; a missing time sorts before every real one
+    room = F.lit("20000000000000000000").cast("decimal(20,0)")
+    micros = F.coalesce(F.unix_micros(order[0]), F.lit(-(10**17))).cast("decimal(18,0)")
+    tie = F.coalesce(F.col(order[1]).cast("bigint"), F.lit(-(2**63) + 1)).cast("decimal(19,0)")
+    return ((micros * room).cast("decimal(38,0)") + tie).cast("decimal(38,0)")
+
+
 def hourly_bins(
     events: DataFrame, rules: Sequence[ConceptRule], order: Sequence[str] = ("ts", "event_id"),
     value: str = "value", max_hour: int | None = None,
@@ -88,13 +106,13 @@ def hourly_bins(
     """One row per (stay_id, hour) with ``{f}`` and ``{f}_mask`` for every rule.
 
     A single grouped aggregation with conditional aggregates per feature: each task
-    first reduces its own rows, so a stay that owns a third of the events sends at
-    most one row per hour and task to the shuffle.
+    first reduces its own rows in a hash table, so a stay that owns a third of the
+    events sends at most one row per hour and task to the shuffle.
     """
     if max_hour is not None:
         events = events.filter((F.col("hour") >= 0) & (F.col("hour") < max_hour))
     events = events.filter(F.col("feature").isin(*[r.feature for r in rules]))
-    key = F.struct(*[F.col(c) for c in order])
+    key = order_key(events, order)
     binned = events.groupBy("stay_id", "hour").agg(
         *[_bin_expr(r, value, key).alias(r.feature) for r in rules]
     )

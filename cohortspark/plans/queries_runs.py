@@ -406,23 +406,21 @@ def statistical_tests(spark, sf):
 SELECT dataset, task, count(*) FILTER (a IS NOT NULL) AS n_pairs_a, count(*) FILTER (b IS NOT NULL) AS n_pairs_b,
   count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n_shared_pairs, count(*) AS n_union_pairs FROM (
  SELECT dataset, task, seed, experiment_class, protocol, label_fraction, max(v) FILTER (paradigm = 'mae') AS a, max(v) FILTER (paradigm = 'supervised') AS b
- FROM prim WHERE paradigm IN ('mae', 'supervised') AND experiment_class NOT IN ('cross_dataset_transfer') GROUP BY ALL) WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1, 2"""))
+ FROM prim WHERE paradigm IN ('mae', 'supervised') GROUP BY dataset, task, seed, experiment_class, protocol, label_fraction, source_dataset) WHERE a IS NOT NULL OR b IS NOT NULL GROUP BY 1, 2"""))
 def paired_coverage(spark, sf):
-    rows = R.primary_values(latest(spark, sf)).filter("experiment_class <> 'cross_dataset_transfer'")
-    paired = R.paired_values(rows, ["dataset", "experiment_class", "protocol", "label_fraction"], [("mae", "supervised")])
+    scope = ["dataset", "experiment_class", "protocol", "label_fraction", "source_dataset"]
+    paired = R.paired_values(R.primary_values(latest(spark, sf)), scope, [("mae", "supervised")])
     return R.pair_coverage(paired, ["dataset", "task"])
 
 
 @query("missing_pairs", W(_LAT + " prim", """
-SELECT dataset, task, seed, CASE WHEN a IS NULL THEN 'mae' ELSE 'contrastive' END AS missing_paradigm FROM (
- SELECT dataset, task, seed, max(v) FILTER (paradigm = 'mae') AS a, max(v) FILTER (paradigm = 'contrastive') AS b FROM prim
- WHERE experiment_class = 'core_ssl_benchmark' AND label_fraction < 1 AND protocol = 'full_finetune' GROUP BY ALL) WHERE (a IS NULL) <> (b IS NULL)"""))
+SELECT experiment_class, dataset, protocol, label_fraction, task, seed, CASE WHEN a IS NULL THEN 'mae' ELSE 'contrastive' END AS missing_paradigm FROM (
+ SELECT experiment_class, dataset, protocol, label_fraction, source_dataset, task, seed, max(v) FILTER (paradigm = 'mae') AS a, max(v) FILTER (paradigm = 'contrastive') AS b FROM prim
+ GROUP BY ALL) WHERE (a IS NULL) <> (b IS NULL)"""))
 def missing_pairs(spark, sf):
-    rows = R.primary_values(latest(spark, sf)).filter(
-        "experiment_class = 'core_ssl_benchmark' and label_fraction < 1 and protocol = 'full_finetune'"
-    )
-    paired = R.paired_values(rows, ["dataset"], [("mae", "contrastive")])
-    return R.missing_pairs(paired).select("dataset", "task", "seed", "missing_paradigm")
+    scope = ["dataset", "experiment_class", "protocol", "label_fraction", "source_dataset"]
+    paired = R.paired_values(R.primary_values(latest(spark, sf)), scope, [("mae", "contrastive")])
+    return R.missing_pairs(paired).drop("source_dataset", "paradigm_a", "paradigm_b", "value_a", "value_b")
 
 
 @query("extension_tests", W(_LAT + " prim", """

@@ -324,9 +324,9 @@ def normalization_stats_clamped(spark, sf):
 
 @query("normalized_grid", W(_N + " cell", """
 SELECT stay_id, hour, feature_name, round(CASE WHEN observed THEN (value - mean) / std ELSE 0.0 END, 5) AS value
-FROM cell JOIN fstats ON feature = feature_name WHERE hour < 12"""))
+FROM cell JOIN fstats ON feature = feature_name"""))
 def normalized_grid(spark, sf):
-    done = N.normalize_dense(dense(spark, sf, 12), stats(spark, sf))
+    done = N.normalize_dense(dense(spark, sf), stats(spark, sf))
     long = GR.dense_to_long(done, FE)
     return long.select("stay_id", "hour", "feature_name", F.round("value", 5).alias("value"))
 
@@ -351,10 +351,10 @@ def mean_imputed_grid(spark, sf):
 
 @query("inspect_stay", W(_N + " cell", """
 SELECT hour, feature_name, round(value, 5) AS raw, round(CASE WHEN observed THEN (value - mean) / std ELSE 0.0 END, 5) AS normalized
-FROM cell JOIN fstats ON feature = feature_name WHERE stay_id = (SELECT min(stay_id) FROM stays) AND hour < 24"""))
+FROM cell JOIN fstats ON feature = feature_name WHERE stay_id = (SELECT min(stay_id) FROM stays)"""))
 def inspect_stay(spark, sf):
     first = A.raw_events(spark, sf).agg(F.min("stay_id").alias("m")).first()["m"]
-    one = N.inspect_stay(dense(spark, sf, 24), stats(spark, sf), first)
+    one = N.inspect_stay(dense(spark, sf), stats(spark, sf), first)
     zipped = F.arrays_zip(
         F.flatten("grid").alias("raw"), F.flatten("normalized").alias("normalized")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.config import ConceptRule
+from cohortspark.operators.events import order_key
 
 
 def hourly_stream(
@@ -21,7 +22,7 @@ def hourly_stream(
     """
     wanted = events.filter(F.col("feature").isin(*[r.feature for r in rules]))
     v = F.col("value")
-    order = F.struct("ts", "event_id")
+    order = order_key(events, ("ts", "event_id"))
     binned = (
         wanted.withWatermark("ts", lateness)
         .groupBy(F.window("ts", "1 hour").alias("w"), "stay_id", "feature")
