@@ -70,7 +70,7 @@ def replicate_means(
                     part = pdf.iloc[at]
                     x = part[names].to_numpy(dtype="float64")
                     h = part["_h"].to_numpy().view(np.uint64)
-                    total += cell_weights(h, part["_c"].to_numpy(), 0, n).T @ x
+                    total += cell_weights(h, part["_c"].to_numpy(), n).T @ x
         for g, total in sums.items():
             out = pd.DataFrame(total, columns=names)
             out.insert(0, "replicate", np.arange(1, n + 1))
@@ -144,104 +144,150 @@ def bootstrap_ci(
 # --- bootstrap of ranking metrics ----------------------------------------------------------
 
 def replicate_ranking(
-    df: DataFrame, n: int, seed: int, ids: Sequence[str] | None = None,
-    score: str = "prediction", label: str = "label", block: int = 64,
+    df: DataFrame, n: int, seed: int, score: str = "prediction", label: str = "label",
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(replicate, auroc, auprc), single-class replicates null.
-
-    Rows are put into score buckets. Inside a bucket NumPy draws the Poisson weights
-    of all replicates and returns per replicate the class totals, the pairs ordered
-    inside the bucket and, for average precision, the terms given the totals above.
-    Bucket totals come first (a plain grouping), so each bucket is worked on once
-    with its offsets; only ``buckets x replicates`` numbers leave the tasks. Rows of
-    equal score and label collapse to one cell, unless ``ids`` ties the draws to rows
-    (so that two scores can share them).
-    """
-    s, y = (-F.col(score).cast("double")).alias("_s"), (F.col(label) == 1).cast("int").alias("_y")
-    if ids is None:
-        cells = df.groupBy(s, y).agg(F.count(F.lit(1)).alias("_c"))
-        scored = cells.withColumn("_h", F.xxhash64(F.lit(int(seed)), "_s", "_y"))
-    else:
-        h = F.xxhash64(F.lit(int(seed)), *[F.col(i) for i in ids])
-        scored = df.select(s, y, F.lit(1).cast("bigint").alias("_c"), h.alias("_h"))
-    scored = cut_lineage(scored)  # the cut points and both passes read it
-    cut = with_bucket(scored, "_s", value_cuts(scored, "_s"))
-    blocks = range(0, n, block)
-    spread = cut.withColumn(
-        "_block", F.explode(F.array(*[F.lit(b) for b in blocks]))
-    )
+    """(replicate, auroc, auprc) under Poisson resampling weights, single-class ones null.
 
-    def draws(pdf: pd.DataFrame, start: int) -> np.ndarray:
-        width = min(block, n - start)
-        h = pdf["_h"].to_numpy().view(np.uint64)
-        return cell_weights(h, pdf["_c"].to_numpy(), start, width)
-
-    def totals(key, pdf):
-        w = draws(pdf, key[0])
-        y = pdf["_y"].to_numpy()[:, None]
-        width = w.shape[1]
-        return pd.DataFrame(
-            {
-                "_block": key[0], "_bucket": key[1], "replicate": np.arange(width) + key[0],
-                "pos": (w * y).sum(0).astype("float64"),
-                "neg": (w * (1 - y)).sum(0).astype("float64"),
-            }
+    Rows of equal label and ``key`` (the score, or several scores that share the draws)
+    collapse to cells. Cells go to score buckets, one bucket to one task, sorted by score.
+    A first pass adds up each bucket's class weights; their running totals become the
+    bucket's offsets, which a second pass reads ahead of the bucket's cells. Both passes
+    stream: a task holds one Arrow batch and a few numbers per replicate.
+    """
+    key = list(key or [score])
+    y = (F.col(label) == 1).cast("int").alias("_y")
+    cells = df.groupBy(y, *key).agg(F.count(F.lit(1)).alias("_c"))
+    cells = cut_lineage(  # the cut points and both passes read it
+        cells.select(
+            "_y", "_c", (-F.col(score).cast("double")).alias("_s"),
+            F.xxhash64(F.lit(int(seed)), "_y", *key).alias("_h"),
         )
+    )
+    cut = with_bucket(cells, "_s", value_cuts(cells, "_s"))
 
-    fields = "_block int, _bucket int, replicate long, pos double, neg double"
-    per = spread.groupBy("_block", "_bucket").applyInPandas(totals, fields)
-    above = Window.partitionBy("replicate").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    def totals(batches):
+        bucket, pos, neg = None, np.zeros(n), np.zeros(n)
+        for pdf in batches:
+            for now, part in pdf.groupby("_bucket", sort=True):
+                if bucket is not None and now != bucket:
+                    yield pd.DataFrame({"_bucket": [bucket], "pos": [pos], "neg": [neg]})
+                    pos, neg = np.zeros(n), np.zeros(n)
+                bucket = now
+                for rows, w in _weighted_chunks(part, n):
+                    hit = rows["_y"].to_numpy() == 1
+                    pos = pos + w[hit].sum(0)
+                    neg = neg + w[~hit].sum(0)
+        if bucket is not None:
+            yield pd.DataFrame({"_bucket": [bucket], "pos": [pos], "neg": [neg]})
+
+    by_bucket = cut.repartition("_bucket").sortWithinPartitions("_bucket")
+    per = by_bucket.mapInPandas(totals, "_bucket int, pos array<double>, neg array<double>")
+    flat = per.select("_bucket", F.posexplode(F.arrays_zip("pos", "neg")).alias("i", "c"))
+    above = Window.partitionBy("i").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = flat.select(
+        "_bucket", "i",
+        F.coalesce(F.sum("c.pos").over(above), F.lit(0.0)).alias("p"),
+        F.coalesce(F.sum("c.neg").over(above), F.lit(0.0)).alias("q"),
     )
-    offsets = per.select(
-        "_block", "_bucket", "replicate",
-        F.coalesce(F.sum("pos").over(above), F.lit(0.0)).alias("pos0"),
-        F.coalesce(F.sum("neg").over(above), F.lit(0.0)).alias("neg0"),
+    offsets = ahead.groupBy("_bucket").agg(  # n numbers per bucket
+        F.sort_array(F.collect_list(F.struct("i", "p", "q"))).alias("o")
+    ).select(
+        "_bucket", F.lit(0).alias("_kind"),
+        # no nulls among the whole numbers: pandas would turn the column into doubles
+        F.lit(0).alias("_y"), F.lit(0).cast("bigint").alias("_c"), F.lit(0.0).alias("_s"),
+        F.lit(0).cast("bigint").alias("_h"),
+        F.transform("o", lambda x: x["p"]).alias("pos0"), F.transform("o", lambda x: x["q"]).alias("neg0"),
     )
+    stream = cut.withColumn("_kind", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    ordered = stream.repartition("_bucket").sortWithinPartitions("_bucket", "_kind", "_s")
 
-    def terms(key, rows, offs):
-        if rows.empty or offs.empty:
-            return pd.DataFrame({"replicate": [], "pos": [], "neg": [], "wrong": [], "gain": []})
-        rows = rows.sort_values("_s", kind="stable")
-        offs = offs.sort_values("replicate")
-        w = draws(rows, key[0])
-        y = rows["_y"].to_numpy()[:, None]
-        _, first = np.unique(rows["_s"].to_numpy(), return_index=True)
-        pos = np.add.reduceat(w * y, first, axis=0).astype("float64")
-        neg = np.add.reduceat(w * (1 - y), first, axis=0).astype("float64")
-        tp = np.cumsum(pos, axis=0) + offs["pos0"].to_numpy()
-        fp = np.cumsum(neg, axis=0) + offs["neg0"].to_numpy()
-        wrong = (pos * (fp - neg / 2.0)).sum(0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            gain = np.where(pos > 0, pos * tp / (tp + fp), 0.0).sum(0)
-        return pd.DataFrame(
-            {
-                "replicate": offs["replicate"].to_numpy(), "pos": pos.sum(0), "neg": neg.sum(0),
-                "wrong": wrong, "gain": gain,
-            }
-        )
-
-    parts = (
-        spread.groupBy("_block", "_bucket")
-        .cogroup(offsets.groupBy("_block", "_bucket"))
-        .applyInPandas(terms, "replicate long, pos double, neg double, wrong double, gain double")
-    )
-    s = parts.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "wrong", "gain")])
+    def terms(batches):
+        walk = _RankWalk(n)
+        for pdf in batches:
+            marks = np.flatnonzero(pdf["_kind"].to_numpy() == 0)
+            edges = [0, *[m for m in marks if m > 0], len(pdf)]
+            for lo, hi in zip(edges, edges[1:]):
+                part = pdf.iloc[lo:hi]
+                if part["_kind"].iloc[0] == 0:
+                    walk.start(part["pos0"].iloc[0], part["neg0"].iloc[0])
+                    part = part.iloc[1:]
+                for rows, w in _weighted_chunks(part, n):
+                    walk.add(rows["_s"].to_numpy(), rows["_y"].to_numpy(), w)
+        walk.settle_open()
+        yield pd.DataFrame({k: [v] for k, v in walk.sums.items()})
+
+    kinds = ", ".join(f"{k} array<double>" for k in _RankWalk.NAMES)
+    parts = ordered.mapInPandas(terms, kinds)
+    rows = parts.select(F.posexplode(F.arrays_zip(*_RankWalk.NAMES)).alias("i", "c"))
+    total = rows.groupBy("i").agg(*[F.sum(f"c.{k}").alias(k) for k in _RankWalk.NAMES])
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    return s.select(
-        (F.col("replicate") + 1).cast("int").alias("replicate"),
+    return total.select(
+        (F.col("i") + 1).cast("int").alias("replicate"),
         F.when(both, 1.0 - F.col("wrong") / (F.col("pos") * F.col("neg"))).alias("auroc"),
         F.when(both, F.col("gain") / F.col("pos")).alias("auprc"),
     )
 
 
-def cell_weights(h: np.ndarray, count: np.ndarray, start: int, width: int) -> np.ndarray:
-    """(cells x width) resampling weights of cells with row counts, fixed by hash and replicate."""
-    reps = np.arange(start, start + width, dtype=np.uint64)
-    w = _poisson(h[:, None], reps[None, :]).astype("int64")
+class _RankWalk:
+    """Walks cells by falling score and adds up the terms of both ranking metrics."""
+
+    NAMES = ("pos", "neg", "wrong", "gain")
+
+    def __init__(self, n: int):
+        self.sums = {k: np.zeros(n) for k in self.NAMES}
+        self.tp = self.fp = np.zeros(n)
+        self.open = None  # the tie block that may go on in the next chunk
+
+    def start(self, pos0, neg0) -> None:
+        self.settle_open()
+        self.tp, self.fp = np.asarray(pos0, dtype="float64"), np.asarray(neg0, dtype="float64")
+
+    def add(self, s: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        values, first = np.unique(s, return_index=True)  # rows come sorted by s
+        hit = (y == 1)[:, None]
+        pos = np.add.reduceat(w * hit, first, axis=0).astype("float64")
+        neg = np.add.reduceat(w * ~hit, first, axis=0).astype("float64")
+        if self.open is not None:
+            if self.open[0] == values[0]:
+                pos[0] += self.open[1]
+                neg[0] += self.open[2]
+                self.open = None
+            else:
+                self.settle_open()
+        self._settle(pos[:-1], neg[:-1])
+        self.open = (values[-1], pos[-1], neg[-1])
+
+    def settle_open(self) -> None:
+        if self.open is not None:
+            self._settle(self.open[1][None, :], self.open[2][None, :])
+            self.open = None
+
+    def _settle(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        if not len(pos):
+            return
+        tp, fp = self.tp + np.cumsum(pos, axis=0), self.fp + np.cumsum(neg, axis=0)
+        seen = np.maximum(tp + fp, 1.0)
+        self.sums["pos"] = self.sums["pos"] + pos.sum(0)
+        self.sums["neg"] = self.sums["neg"] + neg.sum(0)
+        self.sums["wrong"] = self.sums["wrong"] + (pos * (fp - neg / 2.0)).sum(0)
+        self.sums["gain"] = self.sums["gain"] + (pos * tp / seen).sum(0)
+        self.tp, self.fp = tp[-1], fp[-1]
+
+
+def _weighted_chunks(part: pd.DataFrame, n: int, rows: int = 1024):
+    """Short runs of rows with their (rows x n) weights."""
+    for lo in range(0, len(part), rows):
+        chunk = part.iloc[lo:lo + rows]
+        h = chunk["_h"].to_numpy(dtype="int64").view(np.uint64)
+        yield chunk, cell_weights(h, chunk["_c"].to_numpy(dtype="int64"), n)
+
+
+def cell_weights(h: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """(cells x n) resampling weights of cells with row counts, fixed by the cell's hash."""
+    w = _poisson(h[:, None], np.arange(n, dtype=np.uint64)[None, :]).astype("int64")
     for i in np.flatnonzero(count > 1):
-        key = np.array([h[i], np.uint64(start)], dtype=np.uint64)
-        w[i] = np.random.Generator(np.random.Philox(key=key)).poisson(count[i], width)
+        w[i] = np.random.Generator(np.random.Philox(key=int(h[i]))).poisson(count[i], n)
     return w
 
 
@@ -263,7 +309,7 @@ _POISSON_STEPS = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 13)]))
 
 def paired_bootstrap(
     df: DataFrame, metric: str, a: str, b: str, n: int = 1000, seed: int = 42,
-    higher_is_better: bool = True, ids: Sequence[str] = ("stay_id",),
+    higher_is_better: bool = True,
 ) -> DataFrame:
     """One-sided shift test of two scores on the same replicate weights."""
 
@@ -276,8 +322,10 @@ def paired_bootstrap(
         whole = [ranking_metrics(named(c)).select(F.col(metric).alias(f"score_{k}"))
                  for k, c in (("a", a), ("b", b))]
         point = whole[0].crossJoin(whole[1])  # one row each
-        ra = replicate_ranking(named(a), n, seed, ids).select("replicate", F.col(metric).alias("a"))
-        rb = replicate_ranking(named(b), n, seed, ids).select("replicate", F.col(metric).alias("b"))
+        ra, rb = (
+            replicate_ranking(df, n, seed, c, key=[a, b]).select("replicate", F.col(metric).alias(k))
+            for k, c in (("a", a), ("b", b))
+        )
         reps = ra.join(rb, "replicate")
     else:
         parts = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +15,21 @@ CTES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a plan; ``sql`` answers the same question on the same tables."""
+    """Register a plan; ``sql`` answers the same question on the same tables.
+
+    Registered plans read wall-clock columns, so they run in UTC.
+    """
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

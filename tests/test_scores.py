@@ -233,3 +233,19 @@ def test_binary_fairness_single_class_groups(spark):
     assert (r["n_valid_groups"], r["n_metric_valid_groups"], r["n_single_class_groups"]) == (2, 1, 1)
     keys = {x["key"] for x in FA.flat_keys(FA.long_report(FA.binary_fairness(df, 1), FA.binary_group_scores(df, 1))).collect()}
     assert {"fairness/gender/auroc_gap", "fairness/gender/per_group_auroc/F"} <= keys
+
+
+def test_replicates_equal_a_plain_resample(spark):
+    """Every replicate is the metric of the rows repeated by their weights."""
+    import numpy as np
+
+    rows, df = scored(spark, 120, seed=9)
+    cells = df.groupBy(F.col("label").alias("_y"), "prediction").agg(F.count("*").alias("c"))
+    cells = cells.withColumn("h", F.xxhash64(F.lit(5), "_y", "prediction")).collect()
+    h = np.array([r["h"] for r in cells], dtype="int64").view(np.uint64)
+    w = SG.cell_weights(h, np.array([r["c"] for r in cells]), 6)
+    got = {r["replicate"]: r for r in SG.replicate_ranking(df.repartition(3), 6, 5).collect()}
+    for k in range(6):
+        sample = [(0, 0, r["prediction"], r["_y"]) for r, m in zip(cells, w[:, k]) for _ in range(m)]
+        assert got[k + 1]["auroc"] == pytest.approx(auroc(sample), abs=1e-12)
+        assert got[k + 1]["auprc"] == pytest.approx(auprc(sample), abs=1e-12)
