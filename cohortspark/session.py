@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,21 +26,46 @@ def local_session(cores: int | str = "*", memory: str = "16g") -> SparkSession:
     )
 
 
-def use_checkpoint_dir(spark: SparkSession) -> str:
-    """Point checkpoints at the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` wins; a folder of our own is used only when the
-    session names none and runs in local mode.
+    Only a plain local session that names none gets a folder of its own, as in tests; any
+    other one has to name it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if named is None and current is None:
-        if not spark.sparkContext.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = os.path.join(tempfile.gettempdir(), "cohortspark-checkpoints")
-    if named is not None and named not in (current or ""):
-        spark.sparkContext.setCheckpointDir(named)
-    return named or current
+        named = os.path.join(tempfile.gettempdir(), "cohortspark-shared")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def use_checkpoint_dir(spark: SparkSession) -> str:
+    """Point ``checkpoint()`` at the shared folder."""
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm)
+    return path
+
+
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Later plans scan the files, with pruned columns and known sizes, and a lost executor
+    costs a re-read, not a recomputation.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path, partitionBy=partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
