@@ -1,7 +1,7 @@
 """Operator 2: near-duplicate documents by MinHash.
 
 Documents are sets of hashed word shingles. Equal sets are one class. Class representatives get the
-minima of ``BANDS * ROWS`` universal hash functions; representatives with an equal band of minima
+minima of ``MINIMA`` universal hash functions; representatives with an equal band of minima
 share a bucket. Candidates are confirmed by their signatures first, then on the full sets:
 
 1. every member of a bucket is paired with the bucket's smallest id;
@@ -13,7 +13,8 @@ share a bucket. Candidates are confirmed by their signatures first, then on the
    members of other components as in 2.
 
 So no link that a bucket shows is lost, and no bucket is expanded into all its pairs: pairs inside a
-component are never made. Large buckets of step 2 and 4 are compared in tiles. The chance that a pair
+component are never made. Large buckets of step 2 and 4 are compared in tiles, and a pair is made in one
+of its buckets only. The chance that a pair
 at the threshold shares no bucket is below 1e-5 with 32 bands of 4 minima, and 1e-6 that its signature fails.
 
 Shingles are compared as 64-bit hashes. Documents without words have an empty set and are linked with
@@ -33,17 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import ship, sized_chunks, skew_safe_join
+from cohortspark.llm.common import semi_join, ship, sized_chunks, skew_safe_join
 from cohortspark.session import stage
 
 WORDS = 5
 SHARE = 75  # per cent of the union
 BANDS, ROWS = 32, 4
-TILE = 2000  # members of a bucket in a tile
+MINIMA = 256  # the first BANDS * ROWS make the bands, all make the signature
+TILE = 512  # members of a bucket in a tile
 
 _rng = np.random.default_rng(20240229)
-FACTOR = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-SHIFT = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+FACTOR = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+SHIFT = _rng.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
 ORDER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,7 +97,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """A 64-bit key per row of minima and band; keys of different bands differ."""
-    parts = low.reshape(len(low), BANDS, ROWS).astype(np.uint64)
+    parts = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(low), BANDS)).copy()
     for r in range(ROWS):
         key = mix(key * ORDER + parts[:, :, r])
@@ -130,7 +132,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sig_floor(share: int) -> int:
     """Equal signature bytes that a pair at the threshold has but once in a million: five deviations below its mean."""
-    n, p = BANDS * ROWS, share / 100
+    n, p = MINIMA, share / 100
     return int(n * p - 5 * np.sqrt(n * p * (1 - p)))
 
 
@@ -157,7 +159,9 @@ def near_by_signature(pairs: DataFrame, reps: DataFrame, share: int) -> DataFram
 def pairs_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFrame:
     """Near pairs (a, b) of buckets: a from the members marked ``asks``, b from all members of another ``group``.
 
-    ``members``: key, doc_id, n (of the bucket), asks, group (null: a group of its own). Buckets are cut into tiles.
+    ``members``: key, doc_id, n (members of the bucket), n_asks (those that ask), asks, group (null: a group of its
+    own). Buckets are cut into tiles of asking and of all members.
+    A pair with several buckets in common comes from the one of its first equal band.
     """
     id_type = reps.schema["doc_id"].dataType.simpleString()
     floor = sig_floor(share)
@@ -168,6 +172,8 @@ def pairs_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFra
         group = table.column("group").to_numpy()
         asks, answers = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        key = table.column("key")[0].as_py()
         right = np.flatnonzero(answers)
         right = right[np.argsort(size[right], kind="stable")]
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -177,17 +183,19 @@ def pairs_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFra
             near = right[lo:hi]
             near = near[(group[near] != group[i]) & (ids[near] != ids[i])]
             near = near[(sig[near] == sig[i]).sum(axis=1) >= floor]
+            near = near[bands[near, (bands[near] == bands[i]).argmax(axis=1)] == key]
             a.append(np.maximum(ids[near], ids[i]))
             b.append(np.minimum(ids[near], ids[i]))
         kind = table.schema.field("doc_id").type
         return pa.table({"a": pa.array(np.concatenate(a)).cast(kind), "b": pa.array(np.concatenate(b)).cast(kind)})
 
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
-    every = F.sequence(F.lit(0), tiles - 1)
-    full = members.join(reps.select("doc_id", "sig", "n_shingles"), "doc_id").withColumn("group", F.coalesce("group", "doc_id"))
-    right = full.select("key", own.alias("y"), F.explode(every).alias("x"), "doc_id", "sig", "n_shingles", "group", F.lit(False).alias("left"), F.lit(True).alias("right"))
-    left = full.where("asks").select("key", F.explode(every).alias("y"), own.alias("x"), "doc_id", "sig", "n_shingles", "group", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    x, y = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n_asks", "n"))
+    own = lambda tiles: F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
+    every = lambda tiles: F.explode(F.sequence(F.lit(0), tiles - 1))
+    full = members.join(reps.select("doc_id", "sig", "bands", "n_shingles"), "doc_id").withColumn("group", F.coalesce("group", "doc_id"))
+    carried = ["doc_id", "sig", "bands", "n_shingles", "group"]
+    right = full.select("key", own(y).alias("y"), every(x).alias("x"), *carried, F.lit(False).alias("left"), F.lit(True).alias("right"))
+    left = full.where("asks").select("key", every(y).alias("y"), own(x).alias("x"), *carried, F.lit(True).alias("left"), F.lit(False).alias("right"))
     return right.unionByName(left).groupBy("key", "x", "y").applyInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
@@ -265,7 +273,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     far = members.where("doc_id <> hub").join(near_hub.toDF("doc_id", "hub"), ["doc_id", "hub"], "left_anti")
     found = stage(_asked(members, far, None, reps, share), "near-others")
     candidates = stage(near_hub.unionByName(found).distinct(), "candidates")
-    needed = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
+    needed = stage(candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct(), "needed")
     sets = stage(full_sets(docs, needed, id_col, text_col), "sets")
     first = candidates.groupBy("a").agg(F.min("b").alias("b"))
     comps = stage(components(confirmed(first, sets, share)), "components")
@@ -274,7 +282,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     placed = members.join(comps, "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
     hubs = buckets.select("key", "hub").join(comps.toDF("hub", "component"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_group"))
     left = placed.join(near_hub.toDF("doc_id", "hub"), ["doc_id", "hub"], "left_semi").join(hubs, "key").where("group <> hub_group")
-    late = stage(_asked(members, left.select("key", "doc_id"), comps, reps, share), "late")
+    late = stage(_asked(members, left.select("key", "doc_id", "n"), comps, reps, share), "late")
     if late.take(1):
         comps = grown(comps, confirmed(apart(late, comps), sets, share))
     placed = stage(
@@ -289,10 +297,11 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
 
 def _asked(members: DataFrame, asking: DataFrame, comps: DataFrame | None, reps: DataFrame, share: int) -> DataFrame:
     """Near pairs of the members ``asking`` (key, doc_id) with the other members of their buckets."""
-    asking = stage(asking.select("key", "doc_id").distinct(), "asking")
-    keys = asking.select("key").distinct()
-    own = members.join(keys, "key", "left_semi").join(asking.withColumn("asks", F.lit(True)), ["key", "doc_id"], "left")
-    own = own.select("key", "doc_id", "n", F.coalesce("asks", F.lit(False)).alias("asks"))
+    asking = stage(asking.select("key", "doc_id", "n").distinct(), "asking")
+    keys = stage(asking.groupBy("key").agg(F.count(F.lit(1)).alias("n_asks"), F.max("n").alias("n")), "asking-keys")
+    own = skew_safe_join(members.select("key", "doc_id"), keys, ["key"], "n")
+    own = own.join(asking.select("key", "doc_id", F.lit(True).alias("asks")), ["key", "doc_id"], "left")
+    own = own.withColumn("asks", F.coalesce("asks", F.lit(False)))
     if comps is None:
         own = own.withColumn("group", F.col("doc_id"))
     else:
@@ -312,4 +321,4 @@ def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.join(needed, "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, set binary")
+    return semi_join(rows, needed, "doc_id").mapInArrow(run, f"doc_id {kind}, set binary")
