@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 # The white space that line keys and words are cut at: space and \t \n \v \f \r.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -24,8 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once a session, so that Python workers can import it."""
+    """Send the package to the executors once a session, so that Python workers can import it.
+
+    Batches for Python get 16 MB at most unless the session says otherwise: texts can be long.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # Spark's default
+        spark.conf.set(BATCH_BYTES, 16 << 20)
     if getattr(sc, "_cohortspark_sent", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -42,6 +42,7 @@ SHARE = 75  # per cent of the union
 BANDS, ROWS = 32, 4
 MINIMA = 256  # the first BANDS * ROWS make the bands, all make the signature
 TILE = 512  # members of a bucket in a tile
+CHUNK = 3_000_000  # characters worked on at once
 
 _rng = np.random.default_rng(20240229)
 FACTOR = (_rng.integers(0, 2**32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
-            for a, b in sized_chunks([range(n) for n in sizes]):
+            for a, b in sized_chunks([range(n) for n in sizes], CHUNK):
                 sets = shingle_sets(batch.column("text").slice(a, b - a))
                 low = np.stack([minima(s) for s in sets])
                 marks = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
@@ -315,7 +316,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
-            for a, b in sized_chunks([range(n) for n in sizes]):
+            for a, b in sized_chunks([range(n) for n in sizes], CHUNK):
                 sets = shingle_sets(batch.column("text").slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
