@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -9,7 +12,6 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +48,25 @@ def ship(spark: SparkSession) -> None:
     sc._cohortspark_sent = True
 
 
-def sized_chunks(texts: list[str], most: int = 12_000_000) -> Iterator[tuple[int, int]]:
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, giving memory back to the system when its task ends.
+
+    Workers are used again by later stages, and idle ones would hold on to what they freed.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def sized_chunks(texts: list[str], most: int = 6_000_000) -> Iterator[tuple[int, int]]:
     """Index ranges of ``texts`` of about ``most`` characters; a longer text stands alone."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -66,7 +86,7 @@ class WordIds:
     memory.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most=1_000_000, most_chars=40_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most=400_000, most_chars=16_000_000):
         self.encode, self.most, self.most_chars = encode, most, most_chars
         self.clear()
 
@@ -136,12 +156,12 @@ def semi_join(left: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     table[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
     sent = left.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def maybe(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def maybe(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
         found = np.ones(len(a), bool)
         for x in (a, b, c, d):
             x = x.to_numpy().astype(np.uint64)
             found &= (sent.value[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-        return pd.Series(found)
+        return pa.array(found)
 
     return left.where(maybe(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(4)])).join(ids, key, "left_semi")

@@ -23,7 +23,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cohortspark.llm.common import ship, strings
+from cohortspark.llm.common import ship, strings, tidy
 
 # Fixed values of the HTML standard: elements by the part they play in a page.
 BLOCKS = frozenset(
@@ -185,4 +185,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     ship(pages.sparkSession)
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
     rows = pages.select(*[pages[c].alias(f"_{i}") for i, c in enumerate(keep)], pages[html_col].alias("_html"))
-    return rows.mapInArrow(run, f"{kinds}, text string, n_chars bigint")
+    return rows.mapInArrow(tidy(run), f"{kinds}, text string, n_chars bigint")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import WHITE, ship, skew_safe_join, strings
+from cohortspark.llm.common import WHITE, ship, skew_safe_join, strings, tidy
 from cohortspark.session import stage
 
 LEAST = 10  # code points of a key that counts
@@ -66,7 +66,7 @@ def postings_of(docs: DataFrame, shards: int, id_col="doc_id", text_col="text",
 
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, f"shard int, h1 bigint, h2 bigint, doc_id {docs.schema[id_col].dataType.simpleString()}")
+    return rows.mapInArrow(tidy(run), f"shard int, h1 bigint, h2 bigint, doc_id {docs.schema[id_col].dataType.simpleString()}")
 
 
 class CuckooFilter:
@@ -312,7 +312,7 @@ def keep_lines(docs: DataFrame, dropped: DataFrame, id_col="doc_id", text_col="t
     names = ["doc_id", "text", *[f"_{i}" for i in range(len(taken))], "n_lines", "n_dropped"]
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, text string, {rest + ', ' if rest else ''}n_lines bigint, n_dropped bigint"
     ship(docs.sparkSession)
-    done = joined.select("doc_id", "text", *[f"_{i}" for i in range(len(taken))], "keys").mapInArrow(run, kind)
+    done = joined.select("doc_id", "text", *[f"_{i}" for i in range(len(taken))], "keys").mapInArrow(tidy(run), kind)
     inner = {id_col: "doc_id", text_col: "text"} | {c: f"_{i}" for i, c in enumerate(taken)}
     return done.select(*[F.col(inner[c]).alias(c) for c in docs.columns], "n_lines", "n_dropped")
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import semi_join, ship, sized_chunks, skew_safe_join
+from cohortspark.llm.common import semi_join, ship, sized_chunks, skew_safe_join, tidy
 from cohortspark.session import stage
 
 WORDS = 5
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig binary, bands array<bigint>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, sig binary, bands array<bigint>")
 
 
 def sig_floor(share: int) -> int:
@@ -154,7 +154,7 @@ def near_by_signature(pairs: DataFrame, reps: DataFrame, share: int) -> DataFram
     both = pairs.join(own, "a").join(other, "b")
     sized = both.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * share))
     kind = reps.schema["doc_id"].dataType.simpleString()
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def pairs_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFrame:
@@ -214,7 +214,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
     joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
     kind = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -322,4 +322,4 @@ def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return semi_join(rows, needed, "doc_id").mapInArrow(run, f"doc_id {kind}, set binary")
+    return semi_join(rows, needed, "doc_id").mapInArrow(tidy(run), f"doc_id {kind}, set binary")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortspark.llm.common import WordIds, ship, sized_chunks, strings
+from cohortspark.llm.common import WordIds, ship, sized_chunks, strings, tidy
 from cohortspark.session import stage
 
 
@@ -144,11 +144,12 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, id_
                 arrays = [pc.take(batch.column("doc_id"), pa.array(cols[0], pa.int64()))]
                 arrays += [pa.array(c, t) for c, t in zip(cols[1:], [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64()], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "doc_tokens", "crc", "ids", "part", "rank"])
+        tok.words.clear()
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary, part int, rank bigint"
+        tidy(run), f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, crc bigint, ids binary, part int, rank bigint"
     )
 
 
@@ -223,6 +224,6 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return ranked.mapInArrow(
-        place,
+        tidy(place),
         f"doc_id {kind}, doc_tokens bigint, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     )

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from cohortspark.llm.common import WordIds, ship, sized_chunks, strings
+from cohortspark.llm.common import WordIds, ship, sized_chunks, strings, tidy
 
 SPACE = "▁"
 
@@ -33,7 +33,7 @@ SPACE = "▁"
 class PieceEncoder:
     """Merge-type (BPE) encoding with the vocabulary of a SentencePiece model."""
 
-    def __init__(self, model: str, most_pairs: int = 1_000_000):
+    def __init__(self, model: str, most_pairs: int = 250_000):
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         m = self.model
         self.score: dict[str, float] = {}
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -208,7 +208,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     ship(encoded.sparkSession)
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +230,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        tidy(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 
@@ -241,3 +241,4 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[tuple[pa
         texts = strings(batch, "text")
         for a, b in sized_chunks(texts):
             yield batch.column("doc_id").slice(a, b - a), [np.concatenate((first, x, last)) for x in enc.encode(texts[a:b])]
+    enc.words.clear()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import ship
+from cohortspark.llm.common import ship, tidy
 
 # Fixed patterns of the base scan, and the least length of what they find.
 ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -179,7 +179,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redact_text(text: str | None, mark: str = "[REDACTED]") -> str | None:
@@ -211,5 +211,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") ->
     names = [f"_{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names, strict=True))
-    done = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).mapInArrow(run, kinds)
+    done = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).mapInArrow(tidy(run), kinds)
     return done.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

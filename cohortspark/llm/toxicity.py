@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import ship, sized_chunks, strings
+from cohortspark.llm.common import ship, sized_chunks, strings, tidy
 
 GRADES = 3
-MOST_TOXIC, MOST_CLEAN = 2000, 4000
+MOST_TOXIC, MOST_CLEAN = 1500, 3000
 MOST_FEATURES = 2000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -89,16 +89,18 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, counts = [], []
-            for text in strings(batch, "text"):
-                found: Counter[int] = Counter()
-                for word, n in Counter(WORD.findall(text.lower())).items():
-                    for f in features(word):
-                        found[f - 2**63] += n
-                hashes.append(list(found))
-                counts.append(list(found.values()))
-            arrays = [batch.column("_toxic"), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["toxic", "features", "counts"])
+            for start in range(0, batch.num_rows, 100):  # a few documents at a time: features take more room than texts
+                part = batch.slice(start, 100)
+                hashes, counts = [], []
+                for text in strings(part, "text"):
+                    found: Counter[int] = Counter()
+                    for word, n in Counter(WORD.findall(text.lower())).items():
+                        for f in features(word):
+                            found[f - 2**63] += n
+                    hashes.append(np.fromiter(found, np.int64, len(found)))
+                    counts.append(np.fromiter(found.values(), np.int32, len(found)))
+                arrays = [part.column("_toxic"), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["toxic", "features", "counts"])
 
     ship(docs.sparkSession)
     marks = (
@@ -108,21 +110,32 @@ def train(
     sample = [marks.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in ((1, most_toxic), (0, most_clean))]
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
     chosen = texts.join(F.broadcast(sample[0].unionByName(sample[1])), "_id").select("_toxic", "text")
-    got = chosen.mapInArrow(run, "toxic int, features array<bigint>, counts array<int>").toArrow()
+    got = chosen.mapInArrow(tidy(run), "toxic int, features array<bigint>, counts array<int>").toArrow()
     toxic = got.column("toxic").to_numpy()
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return SeverityModel({}, np.full(GRADES, np.inf), np.inf)
-    sizes = pc.list_value_length(got.column("features")).to_numpy()
-    rows = np.repeat(np.arange(len(toxic)), sizes)
-    hashes, cols = np.unique(got.column("features").combine_chunks().flatten().to_numpy(), return_inverse=True)
-    values = got.column("counts").combine_chunks().flatten().to_numpy().astype(float)
-    with_toxic = np.bincount(cols, toxic[rows], minlength=len(hashes))
-    with_clean = np.bincount(cols, 1 - toxic[rows], minlength=len(hashes))
+    # features of enough toxic rows, then how many clean rows have them
+    in_toxic = got.filter(pc.equal(got.column("toxic"), 1)).column("features").combine_chunks().flatten().to_numpy()
+    known, with_toxic = np.unique(in_toxic, return_counts=True)
+    often = with_toxic >= max(5, 0.008 * n1)
+    known, with_toxic = known[often], with_toxic[often]
+    if not len(known):
+        return SeverityModel({}, np.full(GRADES, np.inf), np.inf)
+    rows, cols, values = [], [], []
+    for i, (own, n) in enumerate(zip(got.column("features"), got.column("counts"), strict=True)):
+        own = own.values.to_numpy()
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        used = known[at] == own
+        rows.append(np.full(used.sum(), i))
+        cols.append(at[used])
+        values.append(n.values.to_numpy()[used].astype(float))
+    rows, cols, values = map(np.concatenate, (rows, cols, values))
+    with_clean = np.bincount(cols, 1 - toxic[rows], minlength=len(known))
     odds = np.log((with_toxic + 0.5) / (n1 + 1)) - np.log((with_clean + 0.5) / (n0 + 1))
-    strong = np.flatnonzero((odds > 3) & (with_toxic >= max(5, 0.008 * n1)))
-    strong = strong[np.lexsort((hashes[strong], -(odds * with_toxic)[strong]))][:most_features]
-    place = np.full(len(hashes), -1)
+    strong = np.flatnonzero(odds > 3)
+    strong = strong[np.lexsort((known[strong], -(odds * with_toxic)[strong]))][:most_features]
+    place = np.full(len(known), -1)
     place[strong] = np.arange(len(strong))
     used = place[cols] >= 0
     rows, cols, values = rows[used], place[cols[used]], values[used]
@@ -131,7 +144,7 @@ def train(
     grades = np.where(toxic == 1, 1 + (hits > cuts[0]) + (hits > cuts[1]), 0)
     weights, thresholds = fit(rows, cols, values, grades, len(strong))
     kept = weights != 0
-    table = dict(zip(((hashes[strong][kept]).astype(object) + 2**63).tolist(), weights[kept].tolist(), strict=True))
+    table = dict(zip(((known[strong][kept]).astype(object) + 2**63).tolist(), weights[kept].tolist(), strict=True))
     model = SeverityModel(table, thresholds, np.inf)
     severity = model.above(np.bincount(rows, values * weights[cols], minlength=len(toxic))).sum(axis=1)
     model.reject = border(severity, toxic)
@@ -149,7 +162,7 @@ def border(severity: np.ndarray, toxic: np.ndarray) -> float:
     return float((values[at] + values[at + 1]) / 2) if at + 1 < len(values) else np.inf
 
 
-def score(docs: DataFrame, model: SeverityModel, id_col="doc_id", text_col="text", most_tokens: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, model: SeverityModel, id_col="doc_id", text_col="text", most_tokens: int = 200_000) -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``grade`` (thresholds passed with even odds) and ``toxic`` (severity at the model's border)."""
     ship(docs.sparkSession)
     added = ["severity", "grade", "toxic"]
@@ -166,7 +179,7 @@ def score(docs: DataFrame, model: SeverityModel, id_col="doc_id", text_col="text
         for batch in batches:
             scores = []
             texts = strings(batch, text)
-            for a, b in sized_chunks(texts):
+            for a, b in sized_chunks(texts, 3_000_000):
                 tokens = pc.utf8_split_whitespace(pa.array(texts[a:b], pa.string()))
                 coded = tokens.flatten().dictionary_encode()
                 if len(known) > most_tokens:
@@ -186,5 +199,5 @@ def score(docs: DataFrame, model: SeverityModel, id_col="doc_id", text_col="text
 
     renamed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names, strict=True))
-    done = renamed.mapInArrow(run, f"{kinds}, severity double, grade int, toxic boolean")
+    done = renamed.mapInArrow(tidy(run), f"{kinds}, severity double, grade int, toxic boolean")
     return done.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], *added)
