@@ -28,20 +28,32 @@ def row_vectors(df: DataFrame, features: Sequence[str]) -> tuple[Column, Column]
     return F.array(*vals), F.array(*masks)
 
 
+def one_per_hour(sparse: DataFrame) -> DataFrame:
+    """One row per (stay, hour): of repeated hours the greatest row by its other columns.
+
+    Rows have no order of their own, so without order columns this stands for the last one: the
+    choice is the same on any partitioning. It runs before anything is collected per stay.
+    """
+    rest = [c for c in sparse.columns if c not in ("stay_id", "hour")]
+    if not rest:
+        return sparse.distinct()
+    row = F.max(F.struct(*rest)).alias("_row")
+    return sparse.groupBy("stay_id", "hour").agg(row).select("stay_id", "hour", "_row.*")
+
+
 def dense_grid(
     sparse: DataFrame, stays: DataFrame, features: Sequence[str], length: int,
     order: Sequence[str] | None = None, nan: bool = False,
 ) -> DataFrame:
     """One row per stay: ``timeseries`` and ``mask`` arrays of ``length`` hours.
 
-    Hours outside ``[0, length)`` are dropped and, when ``order`` is given, repeated
-    hours keep their last row. Both steps run on the (stay, hour) key, so what is
+    Hours outside ``[0, length)`` are dropped and repeated hours keep one row, the last by
+    ``order`` or as in ``one_per_hour``. Both steps run on the (stay, hour) key, so what is
     collected per stay is bounded by ``length`` however many raw rows it has. Stays
     without rows stay in, all missing. ``nan`` writes missing cells as NaN.
     """
     rows = valid_hours(sparse, length)
-    if order:
-        rows = keep_last(rows, ["stay_id", "hour"], order)
+    rows = keep_last(rows, ["stay_id", "hour"], order) if order else one_per_hour(rows)
     vals, masks = row_vectors(rows, features)
     per_hour = rows.select("stay_id", F.col("hour").cast("int"), vals.alias("v"), masks.alias("m"))
     per_stay = per_hour.groupBy("stay_id").agg(
@@ -78,9 +90,10 @@ def stay_hours(
 
     Only the sparse rows are shuffled, by stay; the full grid is unfolded afterwards
     inside the task. The result stays partitioned by stay, so windows and groupings
-    by stay need no further exchange. A stay's sparse rows are at most one per hour
-    (a repeated hour fails the job), so what is collected is bounded.
+    by stay need no further exchange. Repeated hours keep one row (``one_per_hour``), so
+    what is collected per stay is bounded by its hours.
     """
+    sparse = one_per_hour(sparse)
     rest = [c for c in sparse.columns if c not in ("stay_id", "hour")]
     cells = F.struct(F.col("hour").cast("int").alias("hour"), F.struct(*rest).alias("c"))
     per_stay = sparse.groupBy("stay_id").agg(

@@ -16,23 +16,30 @@ BINARY_METRICS = (
     "auroc", "auprc", "accuracy", "f1", "precision", "recall", "specificity", "brier_score", "ece",
 )
 REGRESSION_METRICS = ("mse", "mae", "rmse", "r2")
-DEFAULT_METRICS = {
+# The metrics a task type allows, and those it reports if none are named.
+ALLOWED_METRICS = {
     "binary": BINARY_METRICS,
     "multiclass": ("auroc", "auprc", "accuracy", "f1", "precision", "recall"),
     "multilabel": ("auroc", "auprc", "accuracy", "f1"),
     "regression": REGRESSION_METRICS,
 }
+DEFAULT_METRICS = {
+    "binary": BINARY_METRICS,
+    "multiclass": ("auroc", "accuracy"),
+    "multilabel": ("auroc",),
+    "regression": ("mse", "mae", "r2"),
+}
 
 
 def check_metric_names(task_type: str, names: Sequence[str] | None = None) -> tuple[str, ...]:
     """Defaults of the task type, or the given names after a check."""
-    if task_type not in DEFAULT_METRICS:
-        raise ValueError(f"unknown task type {task_type!r}; use one of {sorted(DEFAULT_METRICS)}")
-    allowed = DEFAULT_METRICS[task_type]
+    if task_type not in ALLOWED_METRICS:
+        raise ValueError(f"unknown task type {task_type!r}; use one of {sorted(ALLOWED_METRICS)}")
+    allowed = ALLOWED_METRICS[task_type]
     bad = sorted(set(names or ()) - set(allowed))
     if bad:
         raise ValueError(f"metrics {bad} do not apply to {task_type}; allowed: {allowed}")
-    return tuple(names or allowed)
+    return tuple(names or DEFAULT_METRICS[task_type])
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -156,11 +156,11 @@ def select_runs(df: DataFrame, state="finished", revisions=(), filters=None, tas
 # --- fingerprints of inputs -------------------------------------------------------------
 
 def input_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, modified) of a Parquet input, from the scan's own file metadata."""
-    return (
-        spark.read.parquet(path)
-        .select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        .distinct()
+    """(file, size, modified) of a Parquet input, from the file listing: no file is read."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return listed.select(
+        F.col("path").alias("file_path"), F.col("length").alias("file_size"),
+        F.col("modificationTime").alias("file_modification_time"),
     )
 
 

@@ -133,3 +133,11 @@ def test_tokens_in_time_then_feature_order(spark):
     got = {r["stay_id"]: r for r in WI.observed_tokens(dense, most=6).collect()}
     assert [tuple(t) for t in got[10]["tokens"][:4]] == [(0, 0, 80.0), (0, 1, 120.0), (2, 0, 82.0), (3, 1, 110.0)]
     assert got[10]["n_obs"] == 4 and len(got[10]["tokens"]) == 6 and got[30]["tokens"] == [None] * 6
+
+
+def test_repeated_hours_keep_one_row(spark):
+    rows = spark.createDataFrame([(1, 0, 5.0), (1, 0, 7.0), (1, 2, 1.0)], "stay_id int, hour int, hr double")
+    stays = spark.createDataFrame([(1,)], "stay_id int")
+    for parts in (1, 8):
+        got = GR.dense_grid(rows.repartition(parts), stays, ["hr"], 3).first()
+        assert got["timeseries"] == [[7.0], [None], [1.0]] and got["mask"] == [[True], [False], [True]]

@@ -54,6 +54,10 @@ def test_single_class_is_nan(spark):
 
 def test_metric_names_are_checked():
     assert ME.check_metric_names("binary") == ME.BINARY_METRICS
+    assert ME.check_metric_names("multiclass") == ("auroc", "accuracy")
+    assert ME.check_metric_names("multilabel") == ("auroc",)
+    assert ME.check_metric_names("regression") == ("mse", "mae", "r2")
+    assert ME.check_metric_names("regression", ["rmse"]) == ("rmse",)
     with pytest.raises(ValueError):
         ME.check_metric_names("binary", ["mse"])
     with pytest.raises(ValueError):
