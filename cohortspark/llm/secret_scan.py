@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +138,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
 
 
 def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Literals that reach a sensitive name and look like secrets, outside the spans ``taken``."""
+    """Literals that reach a sensitive name and look like secrets, outside the sorted spans ``taken``."""
     if not SENSITIVE.search(text):
         return []
     found = set()
@@ -146,7 +148,9 @@ def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
         whole = "".join(text[a:b] for a, b, _ in literals)
         if literal_score(whole, all(q for _, _, q in literals)) >= 0.8:
             found.update((a, 3, b) for a, b, _ in literals if b > a)
-    return sorted((a, k, b) for a, k, b in found if not any(s < b and a < e for s, _, e in taken))
+    starts = [s for s, _, _ in taken]
+    reach = list(accumulate((e for _, _, e in taken), max, initial=0))  # furthest end of the spans before each
+    return sorted((a, k, b) for a, k, b in found if reach[bisect_left(starts, b)] <= a)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
