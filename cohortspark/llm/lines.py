@@ -15,6 +15,7 @@ costs one batch. ``drops`` lists the keys each document loses, ``keep_lines`` ap
 
 Null and empty texts are one empty line. A row without a document id is not indexed and keeps all
 its lines. Rows that share an id count as one document. An empty table gives an empty index.
+A column of the documents named like an added count gives way to it, unless the counts are left out.
 """
 
 from __future__ import annotations
@@ -278,10 +279,10 @@ def drops(index: LineIndex) -> DataFrame:
     )
 
 
-def keep_lines(docs: DataFrame, dropped: DataFrame, id_col="doc_id", text_col="text", least: int = LEAST) -> DataFrame:
+def keep_lines(docs: DataFrame, dropped: DataFrame, id_col="doc_id", text_col="text", least: int = LEAST, counts: bool = True) -> DataFrame:
     """``docs`` with the lines of the dropped keys taken out of the text.
 
-    Added columns n_lines and n_dropped; a row without drops keeps its text, null stays null.
+    With ``counts``, added columns n_lines and n_dropped; a row without drops keeps its text, null stays null.
     """
     taken = [c for c in docs.columns if c not in (id_col, text_col)]
     renamed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *[docs[c].alias(f"_{i}") for i, c in enumerate(taken)])
@@ -292,7 +293,7 @@ def keep_lines(docs: DataFrame, dropped: DataFrame, id_col="doc_id", text_col="t
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
             for text, keys in zip(batch.column("text").to_pylist(), batch.column("keys"), strict=True):
-                if not keys.is_valid:
+                if text is None or not keys.is_valid:
                     texts.append(text)
                     n_lines.append(text.count("\n") + 1 if text is not None else 1)
                     n_dropped.append(0)
@@ -314,16 +315,17 @@ def keep_lines(docs: DataFrame, dropped: DataFrame, id_col="doc_id", text_col="t
     ship(docs.sparkSession)
     done = joined.select("doc_id", "text", *[f"_{i}" for i in range(len(taken))], "keys").mapInArrow(tidy(run), kind)
     inner = {id_col: "doc_id", text_col: "text"} | {c: f"_{i}" for i, c in enumerate(taken)}
-    return done.select(*[F.col(inner[c]).alias(c) for c in docs.columns], "n_lines", "n_dropped")
+    added = ["n_lines", "n_dropped"] if counts else []
+    return done.select(*[F.col(inner[c]).alias(c) for c in docs.columns if c.lower() not in added], *added)
 
 
-def dedup_lines(docs: DataFrame, batches: int = 2, id_col="doc_id", text_col="text", least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int = 2, id_col="doc_id", text_col="text", least: int = LEAST, counts: bool = True) -> DataFrame:
     """Index all documents, in ``batches`` insertions by a hash of the id, and take repeated lines out.
 
-    Returns ``docs`` with n_lines and n_dropped, see ``keep_lines``.
+    Returns ``docs`` with n_lines and n_dropped if ``counts``, see ``keep_lines``.
     """
     index = new_index(docs, id_col)
     postings = stage(postings_of(docs, index.shards, id_col, text_col, least), "line-hashes")
     for batch in range(batches):
         index = insert(index, postings.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == batch))
-    return keep_lines(docs, drops(index), id_col, text_col, least)
+    return keep_lines(docs, drops(index), id_col, text_col, least, counts)

@@ -12,7 +12,8 @@ proximal gradient with an L1 penalty.
 
 Null and empty texts have no features and score as clean. Labels without a document, and rows with
 a null label or id are not used; a document with several labels counts as toxic if one says so.
-Without labels of both kinds nothing is rejected. Repeated rows are scored each.
+Without labels of both kinds nothing is rejected. Repeated rows are scored each. A column of the documents
+with the name of an added one gives way to it in ``score``; ``clean`` adds none and keeps all.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from cohortspark.llm.common import ship, sized_chunks, strings, tidy
 GRADES = 3
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
 MOST_FEATURES = 2000
+ADDED = ("severity", "grade", "toxic")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -162,13 +164,21 @@ def border(severity: np.ndarray, toxic: np.ndarray) -> float:
     return float((values[at] + values[at + 1]) / 2) if at + 1 < len(values) else np.inf
 
 
-def score(docs: DataFrame, model: SeverityModel, id_col="doc_id", text_col="text", most_tokens: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, model: SeverityModel, text_col="text") -> DataFrame:
     """``docs`` with ``severity`` (expected grade), ``grade`` (thresholds passed with even odds) and ``toxic`` (severity at the model's border)."""
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ADDED]
+    return _scored(docs, model, text_col).select(*own, *ADDED)
+
+
+def clean(docs: DataFrame, model: SeverityModel, text_col="text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return _scored(docs, model, text_col).where("NOT toxic").select(*own)
+
+
+def _scored(docs: DataFrame, model: SeverityModel, text_col: str, most_tokens: int = 200_000) -> DataFrame:
+    """The columns of ``docs`` by their place, ``_0`` and so on, and the added ones."""
     ship(docs.sparkSession)
-    added = ["severity", "grade", "toxic"]
-    clash = [c for c in docs.columns if c in added]
-    if clash:
-        raise ValueError(f"the documents have columns named {clash} already")
     names = [f"_{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -195,9 +205,8 @@ def score(docs: DataFrame, model: SeverityModel, id_col="doc_id", text_col="text
             above = model.above(np.concatenate(scores) if scores else np.empty(0))
             grade = (above >= 0.5).sum(axis=1)
             arrays = list(batch.columns) + [pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(above.sum(axis=1) >= model.reject)]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, *added])
+            yield pa.RecordBatch.from_arrays(arrays, [*names, *ADDED])
 
     renamed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names, strict=True))
-    done = renamed.mapInArrow(tidy(run), f"{kinds}, severity double, grade int, toxic boolean")
-    return done.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], *added)
+    return renamed.mapInArrow(tidy(run), f"{kinds}, severity double, grade int, toxic boolean")

@@ -23,12 +23,12 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("NOT toxic").select(*docs.columns)
+    return toxicity.clean(docs, model)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each repeated line left only in the smallest document that holds it."""
-    return counted(lines.dedup_lines(docs), docs.columns)
+    return counted(lines.dedup_lines(docs, counts=False), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,6 +163,12 @@ def test_lines_with_odd_rows(spark):
     ids = [*range(len(ODD) + 2), None, 3]
     got = lines.dedup_lines(frame(spark, texts, ids))
     assert got.columns == ["doc_id", "text", "sig", "n", "n_lines", "n_dropped"]
+    twin = [*texts[-4:], None, texts[-3]]  # an id that a text with repeated lines and a null share
+    odd = frame(spark, twin, [1, 2, 3, 4, 2, 2]).withColumnRenamed("n", "N_lines")
+    again = lines.dedup_lines(odd)
+    assert again.columns == ["doc_id", "text", "sig", "n_lines", "n_dropped"]
+    assert sorted(r.text or "" for r in again.collect()) == sorted(map("\n".join, brute_lines(twin, [1, 2, 3, 4, 2, 2])))
+    assert lines.dedup_lines(odd, counts=False).columns == odd.columns
     want = sorted((str(i), "\n".join(k), len((t or "").split("\n"))) for t, i, k in zip(texts, ids, brute_lines(texts, ids), strict=True))
     assert sorted((str(r.doc_id), r.text or "", r.n_lines) for r in got.collect()) == want
     assert lines.dedup_lines(frame(spark, [])).count() == 0
@@ -208,6 +214,10 @@ def test_secrets_base_and_added():
         t = "".join(rng.choices(pool, k=rng.randint(0, 14)))
         base, every = secret_scan.scan(t)
         assert base == brute(t) and set(base) <= set(every)
+    for _ in range(2000):  # added spans overlap no base span
+        t = "".join(rng.choices(["client_secret", "token", "=", " ", "'Zx9!kkLm2'", '"p3QzzT81kd9"', "abcdefgh1", "\n", "AKIA" + "A" * 18, "0" * 25], k=12))
+        base, every = secret_scan.scan(t)
+        assert not any(k == 3 and any(s < b and a < e for s, _, e in base) for a, k, b in every)
     found = lambda t: [t[a:b] for a, k, b in secret_scan.scan(t)[1] if k == 3]
     assert found('k = "Zx9!kkLm2"\nDB_PASSPHRASE = k\n') == ["Zx9!kkLm2"]
     assert found('{"client_secret_value": "p3Q" + "zzT81kd9"}') == ["p3Q", "zzT81kd9"]
@@ -323,6 +333,11 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.all(np.diff(model.thresholds) >= 0) and all(0 <= r.severity <= 3 for r in scored)
     odd = toxicity.score(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and not any(r.toxic for r in odd)
+    clash = docs.withColumnsRenamed({"sig": "Toxic", "n": "grade"})  # columns named like added ones
+    assert toxicity.score(clash, model).columns == ["doc_id", "text", "severity", "grade", "toxic"]
+    kept = toxicity.clean(clash, model)
+    assert kept.columns == clash.columns and {r.Toxic for r in kept.collect()} == {"s"}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in toxicity.score(docs, model).where("NOT toxic").collect()}
     none = toxicity.train(docs, marks.where("toxic = 0"))
     assert not any(r.toxic for r in toxicity.score(docs, none).collect())
 
