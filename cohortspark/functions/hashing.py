@@ -1,8 +1,8 @@
 """Keyed draws: the same row gets the same number on any partitioning.
 
-``stable_draw`` hashes text with MD5, so any SQL engine can repeat it; it is meant
-for entities (patients, stays). ``cell_uniform`` uses the much cheaper 64-bit
-hash for per-cell masks and noise.
+``stable_draw`` hashes text with MD5, so any SQL engine can repeat it; ``stable_uniform``
+and ``stable_normal`` are made of it, for masks and noise. ``cell_uniform`` uses the much
+cheaper 64-bit hash for resampling, which draws once per row and replicate.
 """
 
 from __future__ import annotations
@@ -26,19 +26,24 @@ def draw_bucket(draw: Column, bits: int) -> Column:
     return F.shiftright(draw, DRAW_BITS - bits).cast("int")
 
 
-def cell_uniform(seed: int, *cols) -> Column:
-    """A double in [0, 1) from the fast 64-bit hash."""
-    h = F.xxhash64(F.lit(int(seed)), *[_as_col(c) for c in cols])
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
+def stable_uniform(seed: int, *cols) -> Column:
+    """A double in [0, 1] from a stable draw."""
+    return stable_draw(seed, *cols).cast("double") * F.lit(2.0 ** -DRAW_BITS)
 
 
-def cell_normal(seed: int, *cols) -> Column:
+def stable_normal(seed: int, *cols) -> Column:
     """A standard normal draw per cell (two uniforms, polar form)."""
-    u1 = F.greatest(cell_uniform(seed, *cols, F.lit("r")), F.lit(2.0 ** -53))
-    u2 = cell_uniform(seed, *cols, F.lit("a"))
+    u1 = F.greatest(stable_uniform(seed, *cols, F.lit("r")), F.lit(2.0 ** -DRAW_BITS))
+    u2 = stable_uniform(seed, *cols, F.lit("a"))
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 
+def cell_uniform(seed: int, *cols) -> Column:
+    """A double in [0, 1) from the fast 64-bit hash."""
+    h = F.xxhash64(F.lit(int(seed)), *[_as_col(c) for c in cols])
+    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
+
+
 def poisson_one(u: Column, most: int = 12) -> Column:
     """Poisson(1) counts by inverting a uniform; the tail past ``most`` is < 1e-10."""
     out = F.lit(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.config import ConceptRule
@@ -152,10 +152,14 @@ def fill_stay_hours(
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key: the last by the order columns. An aggregate, so it combines map-side."""
+    """One row per key: the last by the order columns.
+
+    The first row of a window: each task keeps one row per key before the shuffle, without
+    packing the other columns into an aggregation buffer.
+    """
     rest = [c for c in df.columns if c not in keys]
-    latest = F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("_row")
-    return df.groupBy(*keys).agg(latest).select(*keys, "_row.*")
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order])
+    return df.withColumn("_nth", F.row_number().over(newest)).filter("_nth = 1").select(*keys, *rest)
 
 
 def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.functions.hashing import cell_normal, cell_uniform
+from cohortspark.functions.hashing import stable_draw, stable_normal, stable_uniform
 from cohortspark.functions.values import let
 from cohortspark.operators.windows import seen_hours
 
@@ -28,13 +28,13 @@ def cell_mask(cells: DataFrame, strategy: str, ratio: float, seed: int = 0) -> D
     }
     if strategy not in ids:
         raise ValueError(f"unknown strategy {strategy!r}; use one of {sorted(ids)} or block")
-    draw = cell_uniform(seed, F.lit(strategy), *ids[strategy])
+    draw = stable_uniform(seed, F.lit(strategy), *ids[strategy])
     return cells.withColumn("visible", (draw >= ratio) | ~F.col("observed"))
 
 
 def per_stay_ratio_mask(cells: DataFrame, ratio: str, seed: int = 0) -> DataFrame:
     """Cell mask whose ratio is a column of the stay."""
-    draw = cell_uniform(seed, "stay_id", "hour", "feature_name")
+    draw = stable_uniform(seed, "stay_id", "hour", "feature_name")
     return cells.withColumn("visible", (draw >= F.col(ratio)) | ~F.col("observed"))
 
 
@@ -44,7 +44,7 @@ def fill_masked(cells: DataFrame, fill: float = 0.0) -> DataFrame:
 
 def add_noise(cells: DataFrame, std: float, seed: int = 0, out: str = "value") -> DataFrame:
     """Gaussian noise on the observed cells."""
-    noise = cell_normal(seed, "stay_id", "hour", "feature_name") * F.lit(std)
+    noise = stable_normal(seed, "stay_id", "hour", "feature_name") * F.lit(std)
     noisy = F.when(F.col("observed"), F.col("value") + noise).otherwise(F.col("value"))
     return cells.withColumn(out, noisy)
 
@@ -63,7 +63,7 @@ def holdout(
     stay, ``temporal_block`` one run of hours per stay.
     """
     if strategy == "random":
-        hit = cell_uniform(seed, "stay_id", "hour", "feature_name") < ratio
+        hit = stable_uniform(seed, "stay_id", "hour", "feature_name") < ratio
     elif strategy == "feature_block":
         # features ordered by a hash per stay; the first k of that order are held out
         k = max(1, int(n_features * ratio))
@@ -74,13 +74,13 @@ def holdout(
         order = F.sort_array(
             F.transform(
                 "_names",
-                lambda f: F.struct(F.xxhash64(F.lit(seed), F.col("stay_id"), f).alias("h"), f.alias("f")),
+                lambda f: F.struct(stable_draw(seed, "stay_id", f).alias("h"), f.alias("f")),
             )
         )
         hit = F.exists(F.slice(order, 1, k), lambda s: s["f"] == F.col("feature_name"))
     elif strategy == "temporal_block":
         k = min(max(1, int(length * ratio)), length)
-        start = F.floor(cell_uniform(seed, "stay_id") * max(1, length - k + 1))
+        start = F.floor(stable_uniform(seed, "stay_id") * max(1, length - k + 1))
         hit = (F.col("hour") >= start) & (F.col("hour") < start + k)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -105,9 +105,9 @@ def _valid_positions() -> Column:
     return F.filter(flags, lambda i: i.isNotNull())
 
 
-def _shuffled(arr: Column, *key) -> Column:
+def _shuffled(arr: Column, seed: int, *ids) -> Column:
     """The items of a short array in keyed-hash order."""
-    keyed = F.transform(arr, lambda x: F.struct(F.xxhash64(*key, x).alias("h"), x.alias("x")))
+    keyed = F.transform(arr, lambda x: F.struct(stable_draw(seed, *ids, x).alias("h"), x.alias("x")))
     return F.transform(F.sort_array(keyed), lambda s: s["x"])
 
 
@@ -126,7 +126,7 @@ def timestep_mask(dense: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """``visible`` hours with an exact masked budget over the valid hours."""
     df = _with_valid(dense)
     n = mask_budget(F.size("_pos"), ratio)
-    picked = F.slice(_shuffled(F.col("_pos"), F.lit(seed), F.col("stay_id")), F.lit(1), n)
+    picked = F.slice(_shuffled(F.col("_pos"), seed, "stay_id"), F.lit(1), n)
     return df.withColumn("visible", _hide(picked)).drop("_valid", "_pos")
 
 
@@ -147,7 +147,7 @@ def block_timestep_mask(
     inner = F.when(F.col("_m") > 1, F.sequence(F.lit(1), F.col("_m") - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    cuts = F.array_sort(F.slice(_shuffled(inner, *key), F.lit(1), F.greatest(F.col("_k") - 1, F.lit(0))))
+    cuts = F.array_sort(F.slice(_shuffled(inner, seed, "stay_id"), F.lit(1), F.greatest(F.col("_k") - 1, F.lit(0))))
     df = df.withColumn("_ends", F.concat(cuts, F.array(F.col("_m"))))
     spare = F.col("_n") - F.col("_m") - (F.col("_k") - 1)
     df = df.withColumn("_spare", F.greatest(spare, F.lit(0)))
@@ -219,7 +219,7 @@ def contiguous_block_mask(
     start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("sizes"))
     df = df.withColumn("_sizes", F.aggregate(rounds, start, next_length)["sizes"])
     df = df.withColumn(
-        "_starts", _shuffled(F.sequence(F.lit(0), F.col("_T") - 1), *key, F.lit("start"))
+        "_starts", _shuffled(F.sequence(F.lit(0), F.col("_T") - 1), seed, "stay_id", F.lit("start"))
     )
 
     def place(acc, size, starts):
@@ -300,7 +300,7 @@ def token_mask(tokens: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
     """``visible`` per token; a stay with tokens keeps at least one visible."""
     flags = F.transform(
         "tokens",
-        lambda t, i: (cell_uniform(seed, F.col("stay_id"), i) >= ratio) | t.isNull(),
+        lambda t, i: (stable_uniform(seed, F.col("stay_id"), i) >= ratio) | t.isNull(),
     )
     df = tokens.withColumn("visible", flags)
     none = ~F.exists(
@@ -341,7 +341,7 @@ def scatter_steps(df: DataFrame, length: int, n_features: int, fill: float = 0.0
 def shared_crop(dense: DataFrame, ratio: float, length: int, seed: int = 0) -> DataFrame:
     """The same hashed sub-interval of ``max(2, int(T * ratio))`` hours from every stay."""
     size = min(max(2, int(length * ratio)), length)
-    start = F.floor(cell_uniform(seed, F.lit("crop")) * (length - size + 1)).cast("int")
+    start = F.floor(stable_uniform(seed, F.lit("crop")) * (length - size + 1)).cast("int")
     return dense.withColumns(
         {
             "crop_start": start,

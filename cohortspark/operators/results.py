@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from cohortspark import config as C
 from cohortspark.functions import values as V
 from cohortspark.functions.tdist import t_975
+from cohortspark.operators.events import keep_last
 from cohortspark.operators.ordering import exact_quantiles, null_safe_join
 from cohortspark.operators.significance import bonferroni, cohens_d, signed_rank
 from cohortspark.session import cut_lineage
@@ -130,11 +131,8 @@ def fingerprint(columns: Sequence[str] = C.FINGERPRINT) -> Column:
 
 
 def latest_runs(flat: DataFrame, keys: Sequence[str] = (*C.FINGERPRINT, "seed")) -> DataFrame:
-    """The newest run per key, as an aggregate that combines before the shuffle."""
-    keys = [k for k in keys if k in flat.columns]
-    rest = [c for c in flat.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct("created_at", "run_id")).alias("_row")
-    return flat.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+    """The newest run per key; each task keeps one per key before the shuffle."""
+    return keep_last(flat, [k for k in keys if k in flat.columns], ["created_at", "run_id"])
 
 
 def per_seed(flat: DataFrame, allow_duplicates: bool = False) -> DataFrame:

@@ -452,10 +452,18 @@ def normal_tail(z: Column) -> Column:
 # --- correction and effect size ---------------------------------------------------------------------
 
 def bonferroni(df: DataFrame, family: Sequence[str], p: str = "p_value") -> DataFrame:
-    """Times the number of finite p-values in the family, at most 1; NaN stays NaN."""
+    """Times the number of finite p-values in the family, at most 1; NaN stays NaN.
+
+    Families with more than a thousandth of the rows are fewer than a thousand: their counts
+    are broadcast, and only rows of smaller families are shuffled.
+    """
     known = F.col(p).isNotNull() & ~F.isnan(p)
-    n = df.groupBy(*family).agg(F.count_if(known).alias("_m"))
-    joined = null_safe_join(df, n, list(family))
+    n = df.groupBy(*family).agg(F.count_if(known).alias("_m"), F.count(F.lit(1)).alias("_rows"))
+    total = n.agg(F.sum("_rows").alias("_all"))
+    heavy = n.crossJoin(F.broadcast(total)).filter(F.col("_rows") * 1000 > F.col("_all"))  # one row: the total
+    seen = null_safe_join(df, F.broadcast(heavy.select(*family, "_m")), list(family), "left")
+    rest = null_safe_join(seen.filter("_m IS NULL").drop("_m"), n.drop("_rows"), list(family))
+    joined = seen.filter("_m IS NOT NULL").unionByName(rest)
     fixed = F.when(known, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).otherwise(NAN)
     return joined.withColumn("p_value_bonferroni", fixed).withColumn(
         "significant_bonferroni_005", known & (F.col("p_value_bonferroni") < 0.05)

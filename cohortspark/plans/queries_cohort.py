@@ -357,6 +357,21 @@ def stay_dimension_joins(spark, sf):
     return s.join(o, "user_id", "left").drop("user_id")
 
 
+@query("stay_assembly", W("ev stays", """
+SELECT stay_id, CASE WHEN stay_id % 2 = 0 THEN patient_id END AS patient_id, CASE WHEN stay_id % 2 = 0 THEN hadm_id END AS hadm_id,
+  round(los_days, 6) AS los_days, CASE WHEN stay_id % 3 > 0 THEN age END AS age, CAST(NULL AS VARCHAR) AS insurance, 14 AS n_columns FROM stays"""))
+def stay_assembly(spark, sf):
+    """Windows, demographics and administration of some stays; a column of the windows wins over the others'."""
+    from cohortspark.sources.hospital import build_stays
+
+    s = A.stays(spark, sf)
+    people = s.filter("stay_id % 3 > 0").select("stay_id", "age")
+    admin = s.filter("stay_id % 2 = 0").select("stay_id", "patient_id", "hadm_id", (F.col("los_days") + 1).alias("los_days"))
+    built = build_stays(s.select("stay_id", "intime", "outtime", "los_days"), people, admin)
+    shown = built.select("stay_id", "patient_id", "hadm_id", "los_days", "age", "insurance", F.lit(len(built.columns)).alias("n_columns"))
+    return r6(shown, "los_days")
+
+
 @query("diagnosis_expansion", W("ev stays", """
 SELECT stay_id, o_orderpriority AS icd_code, count(*) AS n FROM stays JOIN orders ON o_custkey = hadm_id GROUP BY ALL"""))
 def diagnosis_expansion(spark, sf):

@@ -372,71 +372,70 @@ def split_hash(spark, sf):
     return N.split_hash(split_stays(spark, sf))
 
 
-# --- masks: the SQL states the invariant that any draw must meet --------------------------------------
+# --- masks: the SQL repeats the draws, and masks are compared cell by cell -----------------------------
 
-@query("random_cell_mask", W(_C, """
-SELECT feature_name, count(*) AS n, count(*) FILTER (NOT observed) AS n_unobserved_visible, true AS near_ratio FROM cell GROUP BY 1"""))
+def U(seed, *parts):
+    """SQL of ``stable_uniform``."""
+    text = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 15) AS BIGINT)::DOUBLE / {2**60}::DOUBLE)"
+
+
+_CELL = ("stay_id", "hour", "feature_name")
+
+
+def touched(df, *cols):
+    """The cells that a mask may or did hide."""
+    return df.filter("observed OR NOT visible").select(*_CELL, *cols)
+
+
+@query("random_cell_mask", W(_C, f"SELECT stay_id, hour, feature_name, {U(0, "'random'", *_CELL)} >= 0.3 AS visible FROM cell WHERE observed"))
 def random_cell_mask(spark, sf):
-    m = K.cell_mask(cells(spark, sf), "random", 0.3)
-    hidden = F.count_if(~F.col("visible"))
-    seen = F.count_if("observed")
-    return m.groupBy("feature_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~F.col("observed") & F.col("visible")).alias("n_unobserved_visible"),
-        (F.abs(hidden / seen - 0.3) < 5 * F.sqrt(0.21 / seen)).alias("near_ratio"),
-    )
+    return touched(K.cell_mask(cells(spark, sf), "random", 0.3), "visible")
 
 
-@query("group_cell_masks", W(_C, """
-SELECT 'timestep' AS kind, count(DISTINCT (stay_id, hour)) FILTER (observed) AS n_units, 0::BIGINT AS n_mixed FROM cell
-UNION ALL SELECT 'feature', count(DISTINCT (stay_id, feature_name)) FILTER (observed), 0 FROM cell"""))
+@query("group_cell_masks", W(_C, f"""
+SELECT stay_id, hour, feature_name, 'timestep' AS kind, {U(0, "'timestep'", "stay_id", "hour")} >= 0.3 AS visible FROM cell WHERE observed
+UNION ALL SELECT stay_id, hour, feature_name, 'feature', {U(0, "'feature'", "stay_id", "feature_name")} >= 0.3 FROM cell WHERE observed"""))
 def group_cell_masks(spark, sf):
-    out = None
-    for kind, unit in (("timestep", ["stay_id", "hour"]), ("feature", ["stay_id", "feature_name"])):
-        seen = K.cell_mask(cells(spark, sf), kind, 0.3).filter("observed")
-        per = seen.groupBy(*unit).agg(F.count_distinct("visible").alias("k"))
-        one = per.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_units"),
-                      F.count_if(F.col("k") > 1).alias("n_mixed"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    c = cells(spark, sf)
+    by_hour, by_feature = (touched(K.cell_mask(c, kind, 0.3), F.lit(kind).alias("kind"), "visible") for kind in ("timestep", "feature"))
+    return by_hour.unionByName(by_feature)
 
 
-@query("masked_fill", W(_C, "SELECT count(*) AS n, count(*) FILTER (observed) AS n_observed, 0::BIGINT AS n_wrong FROM cell"))
+@query("masked_fill", W(_C, f"""
+SELECT stay_id, hour, feature_name, round(CASE WHEN {U(0, "'random'", *_CELL)} >= 0.5 THEN value ELSE -1.0 END, 4) AS value FROM cell WHERE observed"""))
 def masked_fill(spark, sf):
     m = K.fill_masked(K.cell_mask(cells(spark, sf), "random", 0.5), -1.0)
-    wrong = ~F.col("visible") & (F.col("value") != -1.0)
-    return m.agg(F.count(F.lit(1)).alias("n"), F.count_if("observed").alias("n_observed"),
-                 F.count_if(wrong).alias("n_wrong"))
+    return touched(m, F.round("value", 4).alias("value"))
 
 
-@query("per_stay_ratio_mask", W(_C, """
-SELECT stay_id % 2 AS parity, count(*) FILTER (observed AND stay_id % 2 = 1) AS n_hidden, count(*) FILTER (observed AND stay_id % 2 = 0) AS n_shown FROM cell GROUP BY 1"""))
+@query("per_stay_ratio_mask", W(_C, f"SELECT stay_id, hour, feature_name, {U(0, *_CELL)} >= (stay_id % 5) / 4.0 AS visible FROM cell WHERE observed"))
 def per_stay_ratio_mask(spark, sf):
-    """Ratio 1 for odd stays, 0 for even ones: everything or nothing is hidden."""
-    c = cells(spark, sf).withColumn("ratio", (F.col("stay_id") % 2).cast("double"))
-    m = K.per_stay_ratio_mask(c, "ratio").filter("observed")
-    full = c.select((F.col("stay_id") % 2).alias("parity")).distinct()
-    per = m.groupBy((F.col("stay_id") % 2).alias("parity")).agg(
-        F.count_if(~F.col("visible")).alias("n_hidden"), F.count_if("visible").alias("n_shown")
-    )
-    return full.join(per, "parity", "left")
+    """Ratios from 0 to 1 in quarters: nothing, parts or everything of a stay is hidden."""
+    c = cells(spark, sf).withColumn("ratio", (F.col("stay_id") % 5) / 4.0)
+    return touched(K.per_stay_ratio_mask(c, "ratio"), "visible")
 
 
 _BUDGET = "CASE WHEN n <= 1 THEN 0 ELSE least(greatest(CAST(floor(n * 0.4 + 0.5) AS INTEGER), 1), n - 1) END"
 CTES["nvalid"] = f"SELECT stay_id, CAST(count(*) FILTER ({_ANY}) AS INTEGER) AS n FROM grid GROUP BY stay_id"
 
 
-def _hidden_valid(df, flag="visible"):
-    pairs = F.arrays_zip(F.col(flag).alias("v"), WI.seen_hours().alias("ok"))
-    return F.size(F.filter(pairs, lambda c: c["ok"] & ~c["v"]))
+CTES["ranked"] = f"""
+SELECT stay_id, hour, n, {_BUDGET} AS b, row_number() OVER (PARTITION BY stay_id ORDER BY {U(5, "stay_id", "hour")}, hour) AS rk
+FROM grid JOIN nvalid USING (stay_id) WHERE {_ANY}"""
 
 
-@query("timestep_budget_mask", W(_G + " nvalid", f"SELECT stay_id, {_BUDGET} AS n_hidden, 0 AS n_hidden_invalid FROM nvalid"))
+def hours(df, **flags):
+    """One row per stay and hour with the named array columns."""
+    zipped = F.arrays_zip(*[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in flags.items()])
+    out = df.select("stay_id", F.posexplode(zipped).alias("hour", "_h"))
+    return out.select("stay_id", "hour", *[F.col("_h")[k].alias(k) for k in flags])
+
+
+@query("timestep_budget_mask", W(_G + " nvalid ranked", "SELECT stay_id, hour, rk > b AS visible FROM ranked"))
 def timestep_budget_mask(spark, sf):
     m = K.timestep_mask(dense(spark, sf), 0.4, seed=5)
-    hidden = F.size(F.filter("visible", lambda v: ~v))
-    return m.select("stay_id", _hidden_valid(m).alias("n_hidden"),
-                    (hidden - _hidden_valid(m)).alias("n_hidden_invalid"))
+    return hours(m, visible="visible", valid=WI.seen_hours()).filter("valid OR NOT visible").drop("valid")
 
 
 @query("block_timestep_mask", W(_G + " nvalid", f"""
@@ -464,21 +463,10 @@ def contiguous_block_mask(spark, sf):
     )
 
 
-@query("complementary_views", W(_G + " nvalid", """
-SELECT count(*) AS n_stays, 0::BIGINT AS n_empty_view, 0::BIGINT AS n_not_complement, count(*) FILTER (n = 1) AS n_single FROM nvalid"""))
+@query("complementary_views", W(_G + " nvalid ranked", "SELECT stay_id, hour, n = 1 OR rk > b AS view_1, n = 1 OR rk <= b AS view_2 FROM ranked"))
 def complementary_views(spark, sf):
     v = K.complementary_views(K.timestep_mask(dense(spark, sf), 0.4, seed=5))
-    z = F.filter(
-        F.arrays_zip(F.col("visible").alias("a"), F.col("visible_2").alias("b"), WI.seen_hours().alias("ok")),
-        lambda c: c["ok"],
-    )
-    n = F.size(z)
-    empty = (n > 0) & (~F.exists(z, lambda c: c["a"]) | ~F.exists(z, lambda c: c["b"]))
-    same = F.exists(z, lambda c: c["a"] == c["b"])
-    return v.agg(
-        F.count(F.lit(1)).alias("n_stays"), F.count_if(empty).alias("n_empty_view"),
-        F.count_if((n >= 2) & same).alias("n_not_complement"), F.count_if(n == 1).alias("n_single"),
-    )
+    return hours(v, view_1="visible", view_2="visible_2", valid=WI.seen_hours()).filter("valid").drop("valid")
 
 
 @query("view_counts", W(_G + " nvalid", f"""
@@ -491,12 +479,13 @@ def view_counts(spark, sf):
     return r6(out, *out.columns)
 
 
-@query("token_mask", W(_C, """
-SELECT stay_id, count(*) FILTER (observed) AS n_tokens, count(*) FILTER (observed) > 0 AS some_visible FROM cell GROUP BY stay_id"""))
+@query("token_mask", W(_C, f"""
+SELECT stay_id, i, drawn OR (i = 0 AND NOT bool_or(drawn) OVER (PARTITION BY stay_id)) AS visible FROM (
+ SELECT stay_id, i, {U(1, "stay_id", "i")} >= 0.9 AS drawn FROM (
+  SELECT stay_id, CAST(row_number() OVER (PARTITION BY stay_id ORDER BY hour, d) - 1 AS INTEGER) AS i FROM cell WHERE observed))"""))
 def token_mask(spark, sf):
     m = K.token_mask(WI.observed_tokens(dense(spark, sf)), 0.9, seed=1)
-    return m.select("stay_id", F.size("tokens").cast("bigint").alias("n_tokens"),
-                    F.exists("visible", lambda v: v).alias("some_visible"))
+    return m.select("stay_id", F.posexplode("visible").alias("i", "visible"))
 
 
 @query("visible_round_trip", W(_G + " nvalid", f"SELECT stay_id, n - {_BUDGET} AS n_steps, 0 AS n_changed FROM nvalid"))
@@ -513,40 +502,44 @@ def visible_round_trip(spark, sf):
     return back.select("stay_id", F.size("steps").alias("n_steps"), F.size(want).alias("n_changed"))
 
 
-@query("shared_crop", W("ev stays", "SELECT count(*) AS n_stays, 1::BIGINT AS n_starts, 24 AS crop_length FROM stays"))
+@query("shared_crop", W(_C, f"""
+SELECT stay_id, crop_start, 24 AS crop_length, CAST(count(*) FILTER (observed AND hour >= crop_start AND hour < crop_start + 24) AS INTEGER) AS n_observed
+FROM cell, (SELECT CAST(floor({U(9, "'crop'")} * 25) AS INTEGER) AS crop_start) GROUP BY ALL"""))
 def shared_crop(spark, sf):
     c = K.shared_crop(dense(spark, sf), 0.5, T, seed=9)
-    return c.agg(F.count(F.lit(1)).alias("n_stays"), F.count_distinct("crop_start").alias("n_starts"),
-                 F.max(F.size("timeseries")).alias("crop_length"))
+    seen = F.size(F.filter(F.flatten("mask"), lambda m: m))
+    return c.select("stay_id", "crop_start", F.size("timeseries").alias("crop_length"), seen.alias("n_observed"))
+
 
+def _normal(seed):
+    u1, u2 = (U(seed, *_CELL, f"'{part}'") for part in "ra")
+    return f"sqrt(-2.0 * ln(greatest({u1}, {2.0 ** -60!r}::DOUBLE))) * cos(2.0 * pi() * {u2})"
 
-@query("noisy_views", W(_C, """
-SELECT count(*) FILTER (observed) AS n_observed, 0::BIGINT AS n_changed_unobserved, true AS centred, true AS spread, true AS independent FROM cell"""))
+
+@query("noisy_views", W(_C, f"""
+SELECT stay_id, hour, feature_name, round(value + 0.1 * {_normal(4)}, 4) AS view_1, round(value + 0.1 * {_normal(5)}, 4) AS view_2 FROM cell WHERE observed"""))
 def noisy_views(spark, sf):
     v = K.two_views(cells(spark, sf), 0.1, seed=4)
-    d1, d2 = F.col("view_1") - F.col("value"), F.col("view_2") - F.col("value")
-    gone = ~F.col("observed") & (F.col("view_1").isNotNull() | F.col("view_2").isNotNull())
-    n = F.count(d1)
-    return v.agg(
-        n.alias("n_observed"), F.count_if(gone).alias("n_changed_unobserved"),
-        (F.abs(F.avg(d1)) < 0.5 / F.sqrt(n)).alias("centred"),
-        (F.abs(F.stddev_samp(d1) - 0.1) < 0.5 / F.sqrt(n)).alias("spread"),
-        (F.abs(F.corr(d1, d2)) < 5 / F.sqrt(n)).alias("independent"),
-    )
+    changed = v.filter("observed OR view_1 IS NOT NULL OR view_2 IS NOT NULL")
+    return changed.select(*_CELL, F.round("view_1", 4).alias("view_1"), F.round("view_2", 4).alias("view_2"))
+
 
+_HELD = int(T * 0.3)
 
-@query("holdout_masks", W(_C, """
-SELECT k.kind, count(*) FILTER (observed) AS n_observed, 0::BIGINT AS n_held_unobserved, 0::BIGINT AS n_bad_input
-FROM cell, (VALUES ('random'), ('feature_block'), ('temporal_block')) k(kind) GROUP BY 1"""))
+
+@query("holdout_masks", W(_C, f"""
+, drawn AS (
+ SELECT *, {U(2, *_CELL)} < 0.3 AS r, floor({U(2, "stay_id")} * {T - _HELD + 1}) AS t0,
+  row_number() OVER (PARTITION BY stay_id, hour ORDER BY {U(2, "stay_id", "feature_name")}, feature_name) <= {max(1, int(len(FE) * 0.3))} AS f
+ FROM cell),
+held AS (SELECT 'random' AS kind, r AS held_out, * FROM drawn UNION ALL SELECT 'feature_block', f, * FROM drawn
+ UNION ALL SELECT 'temporal_block', hour >= t0 AND hour < t0 + {_HELD}, * FROM drawn)
+SELECT kind, stay_id, hour, feature_name, held_out, round(CASE WHEN held_out THEN 0.0 ELSE value END, 4) AS input FROM held WHERE observed""".strip()))
 def holdout_masks(spark, sf):
-    out = None
+    c, out = cells(spark, sf), None
     for kind in ("random", "feature_block", "temporal_block"):
-        h = K.holdout(cells(spark, sf), kind, 0.3, len(FE), T, seed=2)
-        one = h.agg(
-            F.lit(kind).alias("kind"), F.count_if("observed").alias("n_observed"),
-            F.count_if(F.col("held_out") & ~F.col("observed")).alias("n_held_unobserved"),
-            F.count_if(F.col("held_out") & (F.col("input") != 0)).alias("n_bad_input"),
-        )
+        h = K.holdout(c, kind, 0.3, len(FE), T, seed=2).filter("observed OR held_out")
+        one = h.select(F.lit(kind).alias("kind"), *_CELL, "held_out", F.round("input", 4).alias("input"))
         out = one if out is None else out.unionByName(one)
     return out
 

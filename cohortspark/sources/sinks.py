@@ -132,7 +132,8 @@ def append_or_rebuild(
     """Append the tables of new stays to a resumable output, or rebuild it; says which.
 
     The list of done stays is read from the static table, so it is cut from its
-    lineage before the same folder is appended to.
+    lineage before the same folder is appended to. A run that ended between two tables left
+    stays without a static row: tables that have them already do not get them again.
     """
     from cohortspark.session import cut_lineage
 
@@ -143,7 +144,9 @@ def append_or_rebuild(
         # static last: a stay counts as done only when its other tables are written
         tables = build(fresh)
         for name in ("timeseries", "labels", "static"):
-            tables[name].write.mode("append").parquet(f"{path}/{name}")
+            held = spark.read.parquet(f"{path}/{name}").select("stay_id").join(fresh.select("stay_id"), "stay_id", "left_semi")
+            lacking = tables[name].join(cut_lineage(held.distinct()), "stay_id", "left_anti")
+            lacking.select(tables[name].columns).write.mode("append").parquet(f"{path}/{name}")
         verdict = "appended"
     else:
         write_dataset(build(stays), path)

@@ -1,7 +1,9 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+import check_queries as CQ
 from cohortspark.operators import embeddings as EM
 from cohortspark.operators import masking as K
 from cohortspark.operators import normalize as N
@@ -48,6 +50,14 @@ def test_views_are_complements(spark):
                 assert a and b and sorted(a + b) == valid
 
 
+@pytest.mark.parametrize("name", ["group_cell_masks", "masked_fill", "token_mask", "holdout_masks"])
+def test_queries_notice_masks_that_are_off(spark, sf, name, monkeypatch):
+    con = CQ.duck(sf)
+    assert CQ.compare(spark, con, name, sf)[0]
+    monkeypatch.setattr(K, "stable_uniform", lambda seed, *cols: F.lit(2.0))
+    assert not CQ.compare(spark, con, name, sf)[0]
+
+
 def test_tokens_keep_one_visible(spark):
     t = WI.observed_tokens(random_dense(spark, n=30))
     for r in K.token_mask(t, 1.0).collect():

@@ -90,6 +90,15 @@ def test_resume(spark, folder):
     assert sorted(r["stay_id"] for r in loaded["labels"].collect()) == [1, 2, 3]
     meta = loaded["metadata"].first()
     assert meta["n_stays"] == 3 and meta["feature_names"] == ["x"] and meta["labels"][0]["non_null"] == 3
+    # a run that died after its first append: the next one adds no row twice
+    four = spark.createDataFrame([(1,), (2,), (3,), (4,)], "stay_id bigint")
+    series = dataset(spark, four.filter("stay_id = 4"))["timeseries"]
+    n = series.count()
+    series.write.mode("append").parquet(f"{path}/timeseries")
+    assert run(four) == "appended" and run(four) == "unchanged"
+    loaded = TB.load_dataset(spark, path)
+    assert loaded["timeseries"].filter("stay_id = 4").count() == n > 0
+    assert sorted(r["stay_id"] for r in loaded["static"].collect()) == [1, 2, 3, 4]
     assert run(two, signature="s2") == "rebuilt"
     assert TB.load_dataset(spark, path)["static"].count() == 2
 
