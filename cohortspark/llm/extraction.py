@@ -3,11 +3,12 @@
 Parser events of the standard library stream into lines: a line is the text between two block
 borders, with the number of tags that it took, the characters inside links, and the containers it
 stands in. Lines in containers that never hold an article (navigation, asides, forms, scripts,
-and those whose role, class or id says menu, advert, notice, comments and the like) are left out.
+and those whose role, class or id says menu, advert, notice, comments and the like) are left out;
 Of the rest the text-to-tag ratios are smoothed with a Gaussian along the page; lines above the
-threshold, one deviation, are the content cluster. The region is the innermost
-container that holds nearly all of the cluster's text, and all its lines that are not left out are
-the text, short ones included.
+threshold, one deviation, are the content cluster. The region is the smallest container that holds
+every line of the cluster, or the article or main element around it, and all its lines that are not
+left out are the text, short ones included. Where a heading stands next to the region, it and the
+lines from it on in its container that are not mostly links belong to the text as well.
 
 Null and empty html and pages without text give the empty text. Broken markup is read as the
 parser reads it: unclosed elements end with their parent. Repeated rows give one result each.
@@ -39,34 +40,46 @@ LEFT_OUT = frozenset(
 CONTAINERS = frozenset("article body div main section td".split())
 # Words of a role, class or id that say a container is no article.
 SAYS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|"
+    r"(?:^|[\s_-])(ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|"
     r"complementary|contentinfo|cookie|cookies|consent|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
     r"notification|popup|promo|promoted|promotion|related|replies|respond|search|share|sharing|sidebar|signup|skip|skyscraper|social|"
     r"sponsor|sponsored|subscribe|subscription|teaser|toolbar|widget|widgets)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_HEADERS = frozenset(["header", "hgroup"])
 SIGMA = 1.0  # lines of smoothing
-HELD = 0.9  # part of the cluster's text that the region holds
+
+
+def says(value: str) -> str:
+    """The word by which a role, class or id says that a container is no article, or the empty text."""
+    found = SAYS.search(value)
+    return found[1].lower() if found else ""
 
 
 class Lines(HTMLParser):
-    """Collects ``lines``: text, tags, link characters and the path of open containers."""
+    """Collects ``lines``: parts (text, in a link, doubts), tags, the path of open containers, heading level or 0.
+
+    Doubts are the elements open there whose name says that they are no article; ``kept_lines`` leaves them out.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.open: list[tuple[str, int, bool]] = []  # tag, container number or 0, left out
+        self.lines: list[tuple[list[tuple[str, bool, tuple[int, ...]]], int, tuple[int, ...], int]] = []
+        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container number or 0, left out, doubted
         self.path: tuple[int, ...] = ()
-        self.out = self.links = self.tags = self.linked = self.made = 0
-        self.parts: list[str] = []
+        self.doubted: tuple[int, ...] = ()
+        self.kinds = [""]  # tags of the containers
+        self.articles: set[int] = set()  # article and main containers
+        self.out = self.links = self.tags = self.made = 0
+        self.parts: list[tuple[str, bool, tuple[int, ...]]] = []
 
     def border(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, self.linked, self.path))
-                self.tags = self.linked = 0
+            if any(not text.isspace() for text, _, _ in self.parts):
+                block = next((tag for tag, *_ in reversed(self.open) if tag in BLOCKS), "")
+                self.lines.append((self.parts, self.tags, self.path, int(block[1]) if block in HEADINGS else 0))
+                self.tags = 0
             self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -75,43 +88,52 @@ class Lines(HTMLParser):
             if tag == "hr":
                 self.border()
             elif tag == "br" and not self.out:
-                self.parts.append(" ")
+                self.parts.append((" ", False, self.doubted))
             return
         if tag in BLOCKS:
             self.border()
             if tag == "p" or tag == "li" or tag[0] == "h" and tag[1:].isdigit():
                 self.close_open(tag)
-        gone = tag in LEFT_OUT or tag in PAGE_HEADERS and not any(t in ("article", "main") for t, _, _ in self.open)
+        gone = tag in LEFT_OUT or tag in PAGE_HEADERS and not any(t in ("article", "main") for t, *_ in self.open)
+        word = ""
         if not gone and attrs:
             gone = any(
-                v and (k in ("class", "id", "role") and SAYS.search(v) is not None and tag not in ("html", "body", "article", "main") or
-                       k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v) is not None)
+                v and (k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v) is not None)
                 or k == "hidden" and tag not in ("html", "body")
                 for k, v in attrs
             )
+            if not gone and tag not in ("html", "body", "article", "main"):
+                word = next((w for k, v in attrs if v and k in ("class", "id", "role") and (w := says(v))), "")
+        if word:
+            self.doubted += (self.made,)
+            self.made += 1
         number = 0
         if tag in CONTAINERS:
-            self.made += 1
-            number = self.made
+            number = len(self.kinds)
+            self.kinds.append(tag)
             self.path += (number,)
+            if tag in ("article", "main"):
+                self.articles.add(number)
         self.out += gone
         self.links += tag == "a"
-        self.open.append((tag, number, gone))
+        self.open.append((tag, number, gone, bool(word)))
 
     def close_open(self, tag: str) -> None:
         """A new ``tag`` ends one that is still open in the same container, as the standard says."""
         for i in range(len(self.open) - 1, -1, -1):
-            t, number, gone = self.open[i]
+            t, number, gone, doubted = self.open[i]
             if t == tag:
                 self.end_from(i)
                 return
-            if number or t in ("ul", "ol", "table", "blockquote", "form", "nav", "aside") or gone:
+            if number or t in ("ul", "ol", "table", "blockquote", "form", "nav", "aside") or gone or doubted:
                 return
 
     def end_from(self, i: int) -> None:
-        for tag, number, gone in reversed(self.open[i:]):
+        for tag, number, gone, doubted in reversed(self.open[i:]):
             if number:
                 self.path = self.path[:-1]
+            if doubted:
+                self.doubted = self.doubted[:-1]
             self.out -= gone
             self.links -= tag == "a"
         del self.open[i:]
@@ -129,9 +151,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.out:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.parts.append((data, self.links > 0, self.doubted))
 
     def unknown_decl(self, data: str) -> None:
         pass
@@ -149,27 +169,77 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def kept_lines(parser: Lines) -> list[tuple[str, int, int, tuple[int, ...], int]]:
+    """Lines as text, tags, characters inside links, path and heading level, without what doubts cover."""
+    out = []
+    for parts, tags, path, level in parser.lines:
+        parts = [(text, link) for text, link, doubts in parts if not doubts]
+        text = " ".join("".join([t for t, _ in parts]).split())
+        if text:
+            out.append((text, tags, sum(len(t) for t, link in parts if link), path, level))
+    return out
+
+
+def shared(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The longest beginning that all paths have."""
+    low, high = min(paths), max(paths)
+    return low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
+
+
 def main_text(html: str) -> str:
     """The article of a page, one block per line."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.border()
-    lines = parser.lines
+    lines = kept_lines(parser)
     if not lines:
         return ""
-    ratios = smooth([(len(text) - linked) / max(tags, 1) for text, tags, linked, _ in lines])
+    ratios = smooth([(len(text) - linked) / max(tags, 1) for text, tags, linked, _, _ in lines])
     mean = sum(ratios) / len(ratios)
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
-    held: dict[int, int] = {}
-    total = 0
-    for (text, _, linked, path), ratio in zip(lines, ratios, strict=True):
-        if ratio >= threshold:
-            total += len(text) - linked
-            for container in path:
-                held[container] = held.get(container, 0) + len(text) - linked
-    region = max((c for c, n in held.items() if n >= HELD * total), default=0)
-    return "\n".join(text for text, _, _, path in lines if not region or region in path)
+    cluster = [i for i, ratio in enumerate(ratios) if ratio >= threshold]
+    cluster = [i for i in cluster if len(lines[i][0]) > lines[i][2]] or cluster
+    region = shared([lines[i][3] for i in cluster])
+    kinds = [parser.kinds[c] for c in region]
+    if "article" in kinds:
+        region = region[: kinds.index("article") + 1]
+    elif "main" in kinds:
+        region = region[: len(kinds) - kinds[::-1].index("main")]
+    inside = [path[: len(region)] == region for *_, path, _ in lines]
+    start, end, around = beside(parser, lines, inside, region, cluster[0])
+    return "\n".join(
+        text for i, (text, _, linked, path, level) in enumerate(lines)
+        if inside[i] or start <= i < end and path[: len(around)] == around and (i == start or level or 2 * linked < len(text))
+    )
+
+
+def beside(parser: Lines, lines: list, inside: list[bool], region: tuple[int, ...], first_of_cluster: int) -> tuple[int, int, tuple[int, ...]]:
+    """Where the text goes on around the region: the first line, the end, and the container of a heading next to it.
+
+    The heading is the last of level 1 before the region in the nearest container around it, or else the last of any level. A
+    region with a heading of its own at its beginning, and an article or main element, take only a heading right beside them.
+    """
+    nothing = (0, 0, ())
+    first = inside.index(True)
+    own = {lines[i][4] for i in range(first, first_of_cluster + 1) if inside[i]} - {0}
+    if not region or 1 in own or parser.kinds[region[-1]] == "body":
+        return nothing
+    whole = region[-1] in parser.articles
+    for depth in range(len(region) - 1, -1, -1):
+        around = region[:depth]
+        heads = [i for i in range(first) if lines[i][4] and lines[i][3][:depth] == around]
+        if own or whole:
+            heads = [i for i in heads if lines[i][3] == around and (not own or lines[i][4] < min(own))]
+        if heads:
+            top = [i for i in heads if lines[i][4] == 1]
+            start = (top or heads)[-1]
+            page = not around or parser.kinds[around[-1]] == "body"
+            on = not whole and (not page or lines[start][3] == around)
+            return start, len(lines) if on else first, around
+        if own or whole:
+            return nothing
+    return nothing
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -246,6 +246,24 @@ def test_main_text():
     assert extraction.main_text("") == "" and extraction.main_text("<p><p></p>") == "" and extraction.main_text("plain text") == "plain text"
 
 
+def words(n, stem):
+    return " ".join(f"{stem}{i % 97}" for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1, 4, 20, 90])
+def test_main_text_is_whole_at_any_length(n):
+    lead, body, end = words(30, "lead"), f"<p>{words(60, 'body')}</p>" * n, f"<section><h2>End</h2><p>{words(6, 'end')}</p></section>"
+    want = ["Title", lead, *[words(60, "body")] * n, "End", words(6, "end")]
+    parts = f"<h1>Title</h1><div class=lead>{lead}</div><div class=text>{body}</div>{end}"
+    page = "<body><nav><a href=/>Home</a></nav><div id=header><h1>Site</h1></div>%s<div><ul><li><a href=/a>One more</a></ul></div><footer>foot</footer>"
+    for inner in (
+        f"<article>{parts}</article>", f"<div id=post>{parts}</div>", f"<article><header><h1>Title</h1></header><div>{lead}</div><div>{body}</div>{end}</article>",
+        f"<main><h1>Title</h1><article><p>{lead}</p>{body}{end}</article></main>", f"<main>{parts}</main>",
+    ):
+        assert extraction.main_text(page % inner).split("\n") == want, inner[:60]
+    assert extraction.main_text(f"<body>{parts}").split("\n") == want
+
+
 def test_pages_whole_article(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = {r.page_id: r for r in queries.op7_html(spark, sf).collect()}
