@@ -3,7 +3,8 @@
 Parser events of the standard library stream into lines: a line is the text between two block
 borders, with the number of tags that it took, the characters inside links, and the containers it
 stands in. Lines in containers that never hold an article (navigation, asides, forms, scripts,
-and those whose role, class or id says menu, advert, notice, comments and the like) are left out;
+and those whose role, class or id names a menu, advert, notice, comments and the like) are left out;
+such a name does not count around the page's only article or on most of the page's text.
 Of the rest the text-to-tag ratios are smoothed with a Gaussian along the page; lines above the
 threshold, one deviation, are the content cluster. The region is the smallest container that holds
 every line of the cluster, or the article or main element around it, and all its lines that are not
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -46,21 +48,33 @@ SAYS = re.compile(
     r"sponsor|sponsored|subscribe|subscription|teaser|toolbar|widget|widgets)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# Parts that make such a word a remark on the page around it.
+MODIFIES = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]|[_-](?:open|opened|closed)$", re.IGNORECASE)
+SIDE = re.compile(r"[_-](?:left|right)$", re.IGNORECASE)
+TALK = frozenset("comment comments commentlist disqus replies respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_HEADERS = frozenset(["header", "hgroup"])
 SIGMA = 1.0  # lines of smoothing
 
 
+@lru_cache(maxsize=4096)
 def says(value: str) -> str:
-    """The word by which a role, class or id says that a container is no article, or the empty text."""
-    found = SAYS.search(value)
-    return found[1].lower() if found else ""
+    """The word by which a role, class or id names a container that is no article, or the empty text.
+
+    A word behind has, with or no, or before open, speaks of the page around; so does one with a side beside other names.
+    """
+    names = value.split()
+    for name in names:
+        found = SAYS.search(name)
+        if found and not MODIFIES.search(name) and not (len(names) > 1 and SIDE.search(name)):
+            return found[1].lower()
+    return ""
 
 
 class Lines(HTMLParser):
     """Collects ``lines``: parts (text, in a link, doubts), tags, the path of open containers, heading level or 0.
 
-    Doubts are the elements open there whose name says that they are no article; ``kept_lines`` leaves them out.
+    Doubts are the elements open there whose name says that they are no article; ``kept_lines`` settles them.
     """
 
     def __init__(self):
@@ -70,8 +84,9 @@ class Lines(HTMLParser):
         self.path: tuple[int, ...] = ()
         self.doubted: tuple[int, ...] = ()
         self.kinds = [""]  # tags of the containers
-        self.articles: set[int] = set()  # article and main containers
-        self.out = self.links = self.tags = self.made = 0
+        self.articles: dict[int, tuple[int, ...]] = {}  # article and main containers, with the doubts they stand in
+        self.doubts: list[tuple[bool, bool]] = []  # whether of comments, whether inside an article or main
+        self.out = self.links = self.tags = 0
         self.parts: list[tuple[str, bool, tuple[int, ...]]] = []
 
     def border(self) -> None:
@@ -105,15 +120,15 @@ class Lines(HTMLParser):
             if not gone and tag not in ("html", "body", "article", "main"):
                 word = next((w for k, v in attrs if v and k in ("class", "id", "role") and (w := says(v))), "")
         if word:
-            self.doubted += (self.made,)
-            self.made += 1
+            self.doubted += (len(self.doubts),)
+            self.doubts.append((word in TALK, any(c in self.articles for c in self.path)))
         number = 0
         if tag in CONTAINERS:
             number = len(self.kinds)
             self.kinds.append(tag)
             self.path += (number,)
             if tag in ("article", "main"):
-                self.articles.add(number)
+                self.articles[number] = self.doubted
         self.out += gone
         self.links += tag == "a"
         self.open.append((tag, number, gone, bool(word)))
@@ -169,11 +184,40 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def lifted(parser: Lines) -> set[int]:
+    """Doubts that do not hold: those around the page's article, and those with most of its text outside links.
+
+    Where an article or main element has text of its own outside all doubts, only doubts inside one can be lifted by
+    their share; comments only where there is nothing else.
+    """
+    held = [0] * len(parser.doubts)
+    own: dict[int, int] = {}
+    total = 0
+    for parts, _, path, _ in parser.lines:
+        for text, link, doubts in parts:
+            n = 0 if link else len(text.strip())
+            total += n
+            for d in doubts:
+                held[d] += n
+            for c in path:
+                if n and parser.articles.get(c) == doubts:
+                    own[c] = own.get(c, 0) + n
+    for c in [c for c in own if any(parser.doubts[d][0] for d in parser.articles[c]) and 2 * own[c] <= total]:
+        del own[c]  # a comment
+    article = min(own, key=lambda c: (len(parser.articles[c]), -own[c]), default=None)
+    out = set() if article is None else set(parser.articles[article])
+    for d, (talk, inside) in enumerate(parser.doubts):
+        if 2 * held[d] > total and (article is None or inside) and (not talk or held[d] == total):
+            out.add(d)
+    return out
+
+
 def kept_lines(parser: Lines) -> list[tuple[str, int, int, tuple[int, ...], int]]:
-    """Lines as text, tags, characters inside links, path and heading level, without what doubts cover."""
+    """Lines as text, tags, characters inside links, path and heading level, without what doubts that hold cover."""
+    free = lifted(parser) if parser.doubts else set()
     out = []
     for parts, tags, path, level in parser.lines:
-        parts = [(text, link) for text, link, doubts in parts if not doubts]
+        parts = [(text, link) for text, link, doubts in parts if free.issuperset(doubts)]
         text = " ".join("".join([t for t, _ in parts]).split())
         if text:
             out.append((text, tags, sum(len(t) for t, link in parts if link), path, level))

@@ -264,6 +264,21 @@ def test_main_text_is_whole_at_any_length(n):
     assert extraction.main_text(f"<body>{parts}").split("\n") == want
 
 
+@pytest.mark.parametrize("wrapper", [
+    "class='content-area has-sidebar'", "id=wrap class='with-sidebar'", "class=no-sidebar", "class='layout sidebar-right'", "class=nav-open",
+    "class=sidebar-right", "class='widget widget-wrap'", "id=search",
+])
+def test_main_text_in_wrappers(wrapper):
+    paras = f"<p>{words(60, 'body')}</p>" * 4
+    others = "<div class=sidebar><p>Some side text here.</p></div><div class=comments><article class=comment><p>I like it very much.</p></article></div>"
+    for inner in (f"<article><h1>Title</h1>{paras}</article>", f"<main><h1>Title</h1>{paras}</main>", f"<h1>Title</h1>{paras}"):
+        page = f"<body><nav><a href=/>Home</a></nav><div {wrapper}>{inner}{others}</div><div class=site-footer>All about this site.</div>"
+        assert extraction.main_text(page).split("\n") == ["Title", *[words(60, "body")] * 4]
+    # a name that says so still leaves out what stands beside an article, however long
+    page = f"<body><div class=related-posts><p>{words(300, 'other')}</p></div><article><h1>Title</h1><p>Short.</p><div id=comments>{paras}</div></article>"
+    assert extraction.main_text(page) == "Title\nShort."
+
+
 def test_pages_whole_article(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     rows = {r.page_id: r for r in queries.op7_html(spark, sf).collect()}
