@@ -4,8 +4,8 @@ Three base patterns are matched first, leftmost and without overlap, each on its
 are too short are dropped. Then texts that name something sensitive are lexed: statements of the
 common source and configuration languages become pairs of a name and its literals. Names that were
 given a literal are constants, and where a constant or a concatenation is assigned on, its literals
-go along. A literal is scored by the names it reaches and by its own shape; those that pass and lie in
-no base span are added as spans of kind ``literal``.
+go along. A literal is scored by the names it reaches and by its own shape; of those that pass, the parts
+that no base span covers are added as spans of kind ``literal``. Redaction masks base spans and whole literals.
 
 Null and empty texts have no spans. Spans are code points, end exclusive. Repeated rows are scanned
 each.
@@ -16,10 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -137,20 +136,36 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     return out
 
 
-def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Literals that reach a sensitive name and look like secrets, outside the sorted spans ``taken``."""
-    if not SENSITIVE.search(text):
-        return []
+def literals(text: str) -> set[tuple[int, int]]:
+    """Literals that reach a sensitive name and look like secrets, in full."""
     found = set()
-    for name, literals in pairs(text):
-        if name_score(name) < 1:
-            continue
-        whole = "".join(text[a:b] for a, b, _ in literals)
-        if literal_score(whole, all(q for _, _, q in literals)) >= 0.8:
-            found.update((a, 3, b) for a, b, _ in literals if b > a)
-    starts = [s for s, _, _ in taken]
-    reach = list(accumulate((e for _, _, e in taken), max, initial=0))  # furthest end of the spans before each
-    return sorted((a, k, b) for a, k, b in found if reach[bisect_left(starts, b)] <= a)
+    if SENSITIVE.search(text):
+        for name, value in pairs(text):
+            if name_score(name) == 1:
+                whole = "".join(text[a:b] for a, b, _ in value)
+                if literal_score(whole, all(q for _, _, q in value)) >= 0.8:
+                    found.update((a, b) for a, b, _ in value if b > a)
+    return found
+
+
+def literal_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of ``literals`` outside the sorted spans ``taken``."""
+    starts, ends = [], []  # of the spans together
+    for s, _, e in taken:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    out = set()
+    for a, b in literals(text):
+        for i in range(bisect_right(ends, a), bisect_left(starts, b)):
+            if a < starts[i]:
+                out.add((a, 3, starts[i]))
+            a = ends[i]
+        if a < b:
+            out.add((a, 3, b))
+    return sorted(out)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -188,15 +203,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_text(text: str | None, mark: str = "[REDACTED]") -> str | None:
     """``text`` with every secret replaced by ``mark``; of an assignment the name stays."""
-    _, spans = scan(text)
-    if not spans:
+    if not text:
         return text
-    cuts = []
-    for a, kind, b in spans:
-        cuts.append((ASSIGN.match(text, a).start(1) if kind == 0 else a, b))
+    cuts = [(ASSIGN.match(text, a).start(1) if kind == 0 else a, b) for a, kind, b in base_spans(text)]
     out, at = [], 0
-    for a, b in sorted(cuts):
-        if a >= at:
+    for a, b in sorted([*cuts, *literals(text)]):
+        if a >= at:  # a cut that overlaps the one before shares its mark
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join(out) + text[at:]

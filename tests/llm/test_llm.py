@@ -225,6 +225,24 @@ def test_secrets_base_and_added():
     assert secret_scan.redact_text("my password = hunter2222 ok") == "my password = [REDACTED] ok"
 
 
+def test_secrets_beyond_base_spans():
+    def kinds(t):
+        return {(k, t[a:b]) for a, k, b in secret_scan.scan(t)[1]}
+
+    text = 'db_password = "Winter2024!#xyz&77"\nnext'
+    assert kinds(text) == {(0, 'password = "Winter2024'), (3, "!#xyz&77")}
+    assert secret_scan.redact_text(text) == 'db_password = "[REDACTED]"\nnext'
+    text = "db_password = hunter2!x9#Q and more"
+    assert secret_scan.redact_text(text) == "db_password = [REDACTED] and more"
+    text = f"client_secret = '{'0a' * 15}!Zq'"  # two base spans, neither covers the literal
+    assert secret_scan.redact_text(text) == "client_secret = '[REDACTED]'"
+    text = f"auth_key = '!Zq{'0a' * 15}#Kd'"  # a base span inside it
+    assert secret_scan.redact_text(text) == "auth_key = '[REDACTED]'"
+    text = "passphrase = '!x#Y9 password=abcdef1 q?Z4wwWw'"  # an assignment inside it
+    assert secret_scan.redact_text(text) == "passphrase = '[REDACTED]'" and {k for k, _ in kinds(text)} == {0, 3}
+    assert kinds("api_key = 'abcDEF123456'") == {(0, "api_key = 'abcDEF123456")}  # one base span covers it
+
+
 def test_secrets_frames(spark):
     rows = secret_scan.find_secrets(frame(spark, [*ODD, "token=abcdef1", "token=abcdef1"])).collect()
     assert len(rows) == len(ODD) + 2 and [r.n_assign for r in rows[-2:]] == [1, 1] and rows[1].spans == ""
