@@ -2,7 +2,8 @@
 
 Three base patterns are matched first, leftmost and without overlap, each on its own; matches that
 are too short are dropped. Then texts that name something sensitive are lexed: statements of the
-common source and configuration languages become pairs of a name and its literals. Names that were
+common source and configuration languages become pairs of a name and its literals, of any length and also
+over several lines (triple quotes, quoted armoured keys, here-documents, block scalars). Names that were
 given a literal are constants, and where a constant or a concatenation is assigned on, its literals
 go along. A literal is scored by the names it reaches and by its own shape; of those that pass, the parts
 that no base span covers are added as spans of kind ``literal``. Redaction masks base spans and whole literals.
@@ -46,15 +47,24 @@ HARMLESS = frozenset(
 )
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|<.*>|\$\{?.*\}?|%.*%|your.*|my_?.*here|change_?me|example.*|placeholder|none|null|true|false|todo|test|dummy|redacted|\[.*\])$")
 SENSITIVE = re.compile(r"(?i)pass|pwd|secret|token|api.?key|credential|(?:access|account|auth|client|encryption|private|shared|signing).?key|auth.?header")
-NAMED = re.compile(
-    r"""(?:--|["'`<$@]|\b)?(?P<name>[^\W\d][\w.\-]{0,127})["'`\]>]{0,2}[ \t]{0,16}"""
-    r"""(?P<op>:=|=>|=(?![=>])|:(?![:/])|(?<=>)(?=[^<\s]))[ \t]{0,16}"""
+PAIR = (
+    r"""[\d.\-]*+(?P<name>[^\W\d][\w.\-]*+)["'`\]>]{0,2}[ \t]*+"""
+    r"""(?P<op>:=|=>|=(?![=>])|:(?![:/])|(?<=>)(?=[^<\s]))[ \t]*+"""
 )
-STRING = re.compile(r'''[bfruBFRU]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)''')
+NAMED, NEXT = re.compile(r"(?<![\w.\-])" + PAIR), re.compile(PAIR)
+# In triple quotes, armoured keys over several lines, and strings of one line; the last group is the value.
+STRING = re.compile(
+    r"""[bfruBFRU]{0,2}(?:\"{3}((?:[^"\\]++|\\[\s\S]|"(?!""))*+)\"{3}|'{3}((?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3}|(["'`])(-----BEGIN\ [^"'`\\]*+)\3|"""
+    r""""((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)"""
+)
+HERE = re.compile(r"""(?:["']?\$\([ \t]*+cat[ \t]++)?<<<?[~-]?[ \t]*+(["']?)(?P<tag>[^\W\d]\w*+)\1[^\n]*+\n""")
+BLOCK = re.compile(r"""(?:[!&][^\s]++[ \t]++)?[|>][-+\d]{0,2}[ \t]*+(?:\#[^\n]*+)?\r?\n""")
+BEFORE_KEY = re.compile(r"""[ ]*+(?:[-?][ ]++)*+["']?\Z""")
+FIRST_WORDS = re.compile(r"(?m)^[ \t]*+(\w++)")
+ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]++-----")
 REFERENCE = re.compile(r"\$?\{?\{?[ ]?(?P<name>[^\W\d][\w.]{0,127})[ ]?\}{0,2}")
 BARE = re.compile(r"""[^\s;,{}()\[\]"'`<>]+""")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\||&)[ \t]*")
-LONGEST = 4096  # of a literal that can be a secret
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -97,7 +107,10 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str, quoted: bool) -> float:
     """How much a literal looks like a secret, from its length, characters and entropy."""
-    if len(value) < 6 or len(value) > LONGEST or PLACEHOLDER.match(value):
+    value = ARMOUR.sub("", value)
+    if "\n" in value:  # lines are wrapped, not words of a text
+        value = "".join(map(str.strip, value.split("\n")))
+    if len(value) < 6 or PLACEHOLDER.match(value):
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
@@ -105,34 +118,90 @@ def literal_score(value: str, quoted: bool) -> float:
     return score - 0.5 * (" " in value) - 0.4 * (not quoted and not re.search(r"\d", value))
 
 
+def block_end(text: str, at: int, end: int, indent: int) -> int:
+    """The end of the lines from ``at`` that are blank or indented by more than ``indent``, without blank ones behind."""
+    last = at
+    while at < end:
+        stop = text.find("\n", at, end)
+        stop = end if stop < 0 else stop
+        if not text[at : min(at + indent + 1, stop)].isspace():
+            if stop > at:
+                break
+        elif not text[at:stop].isspace():
+            last = stop
+        at = stop + 1
+    return last
+
+
+class Bodies:
+    """Values over several lines: here-documents and block scalars."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.lines: dict[str, list[int]] | None = None  # where lines begin, by their first word
+
+    def find(self, name_at: int, op: str, at: int, end: int) -> tuple[int, int, int] | None:
+        """Start and end of the body of a value at ``at``, and where the statement ends."""
+        if m := HERE.match(self.text, at, end):
+            if self.lines is None:
+                self.lines = {}
+                for w in FIRST_WORDS.finditer(self.text):
+                    self.lines.setdefault(w[1], []).append(w.start())
+            ends = self.lines.get(m["tag"], [])
+            i = bisect_left(ends, m.end())
+            if i < len(ends) and ends[i] < end:
+                return m.end(), max(m.end(), ends[i] - 1), self.text.index(m["tag"], ends[i]) + len(m["tag"])
+        elif op == ":" and (m := BLOCK.match(self.text, at, end)):
+            line = self.text.rfind("\n", 0, name_at) + 1
+            if before := BEFORE_KEY.match(self.text, line, name_at):
+                stop = block_end(self.text, m.end(), end, len(before[0].rstrip("\"'")))
+                return (m.end(), stop, stop) if stop > m.end() else None
+        return None
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
-    """Assignments as a name and the literals (start, end, quoted) its value is made of, constants resolved."""
+    """Assignments as a name and the literals (start, end, quoted) its value is made of, constants resolved.
+
+    Values over several lines are literals and are lexed inside as well.
+    """
     constants: dict[str, list[tuple[int, int, bool]]] = {}
     out = []
-    at = 0
-    while m := NAMED.search(text, at):
-        name, here, value = m["name"], m.end(), []
-        while True:
-            if s := STRING.match(text, here):
-                group = next(g for g in (1, 2, 3) if s[g] is not None)
-                value.append((s.start(group), s.end(group), True))
-                here = s.end()
-            elif (r := REFERENCE.match(text, here)) and r["name"] in constants:
-                value += constants[r["name"]]
-                here = r.end()
-            elif not value and (b := BARE.match(text, here)):
-                end = b.start() + len(b[0].rstrip(".,:"))
-                value.append((b.start(), max(end, b.start()), False))
-                here = b.end()
-            j = JOIN.match(text, here) if value and value[-1][2] else None
-            if not j:
-                break
-            here = j.end()
-        if value:
-            out.append((name, value))
-            constants[name] = value
-        # a bare value may itself be a name that is assigned, as in a = b = "c"
-        at = here if value and value[-1][2] else max(m.end(), m.start() + 1)
+    bodies = Bodies(text)
+    regions = [(0, len(text))]
+    while regions:
+        at, end = regions.pop()
+        while m := NEXT.match(text, at, end) or NAMED.search(text, at, end):
+            name, here, value, inner = m["name"], m.end(), [], []
+            body = bodies.find(m.start("name"), m["op"], here, end)
+            if body:
+                value.append((*body[:2], True))
+                inner.append(body[:2])
+                here = body[2]
+            while not body:
+                if s := STRING.match(text, here, end):
+                    value.append((*s.span(s.lastindex), True))
+                    here = s.end()
+                    if s.lastindex < 3:
+                        inner.append(s.span(s.lastindex))
+                elif (r := REFERENCE.match(text, here, end)) and r["name"] in constants:
+                    value += constants[r["name"]]
+                    here = r.end()
+                elif not value and (b := BARE.match(text, here, end)):
+                    stop = b.start() + len(b[0].rstrip(".,:"))
+                    value.append((b.start(), max(stop, b.start()), False))
+                    here = b.end()
+                j = JOIN.match(text, here, end) if value and value[-1][2] else None
+                if not j:
+                    break
+                here = j.end()
+            if value:
+                out.append((name, value))
+                constants[name] = value
+            # a bare value may itself be a name that is assigned, as in a = b = "c"
+            at = here if value and value[-1][2] else max(m.end(), m.start() + 1)
+            if inner:
+                regions += [(at, end), *inner[:0:-1]]
+                at, end = inner[0]
     return out
 
 

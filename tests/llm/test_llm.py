@@ -243,6 +243,29 @@ def test_secrets_beyond_base_spans():
     assert kinds("api_key = 'abcDEF123456'") == {(0, "api_key = 'abcDEF123456")}  # one base span covers it
 
 
+def test_secrets_of_any_length_and_over_lines():
+    rng = random.Random(4)
+    key = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=10_000))
+    pem = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *[key[i : i + 64] for i in range(0, 1600, 64)], "-----END RSA PRIVATE KEY-----"])
+    deep = lambda t, n: "\n".join(" " * n + line for line in t.split("\n"))
+    gap = " " * 40
+    for text, want in [
+        (f'private_key = "{key}"\nx = 1', 'private_key = "#"\nx = 1'),
+        (f"access_key: {key}\nx: 1", "access_key: #\nx: 1"),
+        (f"pwd{gap}={gap}'{key[:20]}'", f"pwd{gap}={gap}'#'"),
+        (f'private_key = """{pem}"""\nx = 1', 'private_key = """#"""\nx = 1'),
+        (f"credentials = '''{pem}'''", "credentials = '''#'''"),
+        (f'PRIVATE_KEY="{pem}"\nX=1', 'PRIVATE_KEY="#"\nX=1'),
+        (f"a: 1\nprivate_key: |\n{deep(pem, 2)}\n\nnext: hello", "a: 1\nprivate_key: |\n#\n\nnext: hello"),
+        (f"- a: x\n  private_key: >-\n{deep(pem, 4)}\n- a: y", "- a: x\n  private_key: >-\n#\n- a: y"),
+        (f"data:\n  conf.yaml: |-\n    private_key: |\n{deep(pem, 6)}\n    other: x\nn: h", "data:\n  conf.yaml: |-\n    private_key: |\n#\n    other: x\nn: h"),
+        (f"PRIVATE_KEY=$(cat <<'EOF'\n{pem}\nEOF\n)\nX=1", "PRIVATE_KEY=$(cat <<'EOF'\n#\nEOF\n)\nX=1"),
+        (f"private_key = <<-EOT\n{deep(pem, 4)}\n  EOT\nx = 1", "private_key = <<-EOT\n#\n  EOT\nx = 1"),
+        ('doc = """\npassphrase = "Zx9!kkLm2"\n""" + x\nauth_key = "Qr9!kkLm2"', 'doc = """\npassphrase = "#"\n""" + x\nauth_key = "#"'),
+    ]:
+        assert secret_scan.redact_text(text, "#") == want
+
+
 def test_secrets_frames(spark):
     rows = secret_scan.find_secrets(frame(spark, [*ODD, "token=abcdef1", "token=abcdef1"])).collect()
     assert len(rows) == len(ODD) + 2 and [r.n_assign for r in rows[-2:]] == [1, 1] and rows[1].spans == ""
