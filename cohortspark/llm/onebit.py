@@ -10,7 +10,7 @@ so far, are reranked by the exact inner product on the original vectors in doubl
 Every row is coded; the centre is the mean of a bounded sample of rows and only sets how tight the
 bounds are. Rows whose vector is null, zero, or holds null or a non-finite component take no part.
 Equal vectors have equal scores; ties go to the smaller id. A shorter vector counts as filled
-up with zeros.
+up with zeros. A query whose row is repeated asks once; repeated rows are candidates each.
 """
 
 from __future__ import annotations
@@ -91,5 +91,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = 256, errors:
     ``is_query`` is a condition on ``vec_id``; the query's own id is no candidate.
     """
     rows = usable(vectors, id_col, vec_col).where(F.exists("vec", lambda x: x != 0))
-    found = search(rows, is_query, k, "double", tile_search(k, bits, errors))
+    found = search(rows, is_query, k, "double", tile_search(k, bits, errors), once=True)
     return found.withColumn("rank", F.col("rank").cast("int"))

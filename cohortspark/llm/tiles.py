@@ -24,7 +24,7 @@ ROW_BLOCK = 16384
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows that take part: id and vector without nulls or non-finite components; repeated rows count once."""
+    """Rows that take part: id and vector without nulls or non-finite components; repeated rows are kept."""
     vec = F.col("vec").cast(T.ArrayType(T.DoubleType()))
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(vectors[id_col].alias("vec_id"), vectors[vec_col].alias("vec"))
@@ -46,9 +46,12 @@ def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
 def search(
     rows: DataFrame, is_query, k: int, score_type: str,
     tile: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]],
+    once: bool = False,
 ) -> DataFrame:
     """Best ``k`` rows per query: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
+    Repeated rows are candidates each. Repeats of a query's row all ask, so that each candidate stands in its ranks as often;
+    with ``once`` rows of equal id and vector ask once.
     ``tile(query_ids, queries, row_ids, rows)`` yields per query the ids and scores of at least its ``k`` best rows.
     """
     rows = stage(rows, "vectors")
@@ -69,6 +72,8 @@ def search(
         vecs, ids = matrix(table.column("vec")), table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         q, r = order[asks[order]], order[~asks[order]]
+        if once and len(np.unique(ids[q])) < len(q):  # all rows of an id are in one block
+            q = np.array(list({(ids[i], (vecs[i] + 0.0).tobytes()): i for i in q[::-1]}.values()))[::-1]
         out: list[list] = [[], [], []]
         for query, found, scores in tile(ids[q], vecs[q], ids[r], vecs[r]):
             out[0].append(np.full(len(found), query))

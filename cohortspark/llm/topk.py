@@ -8,7 +8,7 @@ and the survivors are scored exactly in integers. No row is left out that could
 
 Components are floor(256 * x) of the double x. Rows whose vector is null, holds null or a
 non-finite component take no part; a shorter vector counts as filled up with zeros; an empty vector
-scores zero. Repeated rows are candidates each. Scores beyond 64 bits are exact inside and
+scores zero. Repeated rows are candidates each, and each asks, as the query's SQL says. Scores beyond 64 bits are exact inside and
 are returned as the nearest long.
 """
 

@@ -389,6 +389,18 @@ def test_nearest_recall(spark):
     assert set(got) == set(queries_) and hit >= 0.9 * 20 * len(queries_)
 
 
+def test_nearest_of_repeated_queries(spark):
+    rows, _ = vectors(spark)
+    rows = [(i, v) for i, v in rows if i is not None and i < 400]
+    repeated = [*rows, rows[40], rows[40], rows[80], rows[7]]
+    find = lambda r: sorted(map(tuple, onebit.nearest(spark.createDataFrame(r, "vec_id long, embedding array<double>"), F.col("vec_id") % 40 == 0).collect()))
+    got, want = find(repeated), find(rows)
+    for q in (40, 80):
+        ids = [r[2] for r in got if r[0] == q]
+        assert len(ids) == 20 and all(ids.count(i) == 1 for i in ids if i not in (7, 40, 80))
+        assert {r[2] for r in want if r[0] == q} >= set(ids) and len(set(ids)) >= 17
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(0)
     bad, clean = ["moron", "scumbag", "idiotic"], [f"word{c}{d}" for c in "abcdefgh" for d in "ijklmnop"]
