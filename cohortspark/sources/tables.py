@@ -156,8 +156,11 @@ def select_runs(df: DataFrame, state="finished", revisions=(), filters=None, tas
 # --- fingerprints of inputs -------------------------------------------------------------
 
 def input_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, modified) of a Parquet input, from the file listing: no file is read."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    """(file, size, modified) of a Parquet input, from the file listing: no file is read.
+
+    Files count as for the Parquet reader: whatever their suffix, unless the name starts with _ or a dot.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "[^_.]*").load(path)
     return listed.select(
         F.col("path").alias("file_path"), F.col("length").alias("file_size"),
         F.col("modificationTime").alias("file_modification_time"),

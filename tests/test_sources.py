@@ -71,6 +71,23 @@ def test_signature_follows_the_files(spark, folder):
     assert a != TB.input_signature(spark, [f"{folder}/t"], TB.default_signature_settings())
 
 
+def test_signature_follows_files_without_a_suffix(spark, folder):
+    import shutil
+    from pathlib import Path
+
+    spark.range(5).coalesce(1).write.parquet(f"{folder}/t")
+    part = next(Path(f"{folder}/t").glob("*.parquet"))
+    a = TB.input_signature(spark, [f"{folder}/t"])
+    for name in ("_metadata", "_old", ".part-1"):
+        shutil.copy(part, f"{folder}/t/{name}")
+    assert a == TB.input_signature(spark, [f"{folder}/t"]) and TB.input_files(spark, f"{folder}/t").count() == 1
+    shutil.copy(part, f"{folder}/t/part-00001")
+    assert spark.read.parquet(f"{folder}/t").count() == 10 and TB.input_files(spark, f"{folder}/t").count() == 2
+    assert a != TB.input_signature(spark, [f"{folder}/t"])
+    shutil.copy(part, f"{folder}/part-single")
+    assert TB.input_files(spark, f"{folder}/part-single").count() == 1
+
+
 def dataset(spark, stays):
     ts = stays.select("stay_id", F.array(F.array(F.lit(1.0))).alias("timeseries"), F.array(F.array(F.lit(True))).alias("mask"))
     return {"static": stays, "timeseries": ts, "labels": stays.select("stay_id", F.lit(1).alias("t"))}
