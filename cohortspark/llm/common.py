@@ -135,33 +135,3 @@ def skew_safe_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str
     heavy = F.broadcast(right.where(hot))
     light = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti")
     return left.join(heavy, keys).unionByName(light.join(right.where(~hot), keys))
-
-
-MOST_BITS = 1 << 26  # 8 MB, whatever the data
-
-
-def semi_join(left: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Left semi join of wide rows with distinct ``ids``; most rows without a partner are not shuffled.
-
-    A Bloom filter of bounded size goes to the executors first, as Spark's own run-time filters
-    do for very large scans; the join behind it is exact.
-    """
-    n = ids.count()
-    bits = 1 << min(max(10, (16 * n).bit_length()), MOST_BITS.bit_length() - 1)
-    at = F.explode(F.array(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(4)])).alias("at")
-    words = ids.select(at).groupBy((F.col("at") / 64).cast("long").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")
-    ).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
-    table[words.column("word").to_numpy()] = words.column("set").to_numpy().view(np.uint64)
-    sent = left.sparkSession.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def maybe(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        found = np.ones(len(a), bool)
-        for x in (a, b, c, d):
-            x = x.to_numpy().astype(np.uint64)
-            found &= (sent.value[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-        return pa.array(found)
-
-    return left.where(maybe(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(4)])).join(ids, key, "left_semi")

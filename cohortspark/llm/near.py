@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import semi_join, ship, sized_chunks, skew_safe_join, tidy
+from cohortspark.llm.common import ship, sized_chunks, skew_safe_join, tidy
 from cohortspark.session import stage
 
 WORDS = 5
@@ -322,4 +322,4 @@ def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return semi_join(rows, needed, "doc_id").mapInArrow(tidy(run), f"doc_id {kind}, set binary")
+    return rows.join(needed, "doc_id", "left_semi").mapInArrow(tidy(run), f"doc_id {kind}, set binary")

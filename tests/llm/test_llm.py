@@ -114,6 +114,12 @@ def brute_near(texts):
     return sets, label
 
 
+def test_full_sets_join_in_the_engine(spark):
+    sets = near.full_sets(frame(spark, ["a b c d e f", "g h i j k l", None]), spark.createDataFrame([(0,), (2,)], "doc_id long"), "doc_id", "text")
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "ArrowEvalPython" not in plan and {r.doc_id for r in sets.collect()} == {0, 2}
+
+
 def test_near_duplicates(spark):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(300)]
