@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import extraction, lines, middle, near, onebit, packing, pieces, secret_scan, topk, toxicity, warc
+from cohortspark.llm import align, extraction, lines, middle, near, onebit, packing, pieces, secret_scan, topk, toxicity, warc
 from cohortspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,8 @@ FROM p
 @query("op13_middle", MIDDLE_SQL)
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_align")
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
