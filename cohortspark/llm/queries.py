@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import align, extraction, lines, middle, near, onebit, packing, pieces, secret_scan, topk, toxicity, warc
+from cohortspark.llm import align, extraction, lines, middle, near, onebit, packing, pieces, repeats, secret_scan, topk, toxicity, warc
 from cohortspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,9 @@ def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_align")
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_repeats")
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
