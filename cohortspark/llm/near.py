@@ -5,16 +5,16 @@ minima of ``MINIMA`` universal hash functions; representatives with an equal ban
 share a bucket. Candidates are confirmed by their signatures first, then on the full sets:
 
 1. every member of a bucket is paired with the bucket's smallest id;
-2. members whose signature is too far from that one's are paired with all other members that
-   their signatures are near to;
-3. pairs are confirmed on the full sets, one per document first, then those whose ends are
+2. members whose signature is too far from that one's are compared with all other members, in tiles, first by
+   signatures, which leaves the members that are near to another one, then by their full sets;
+3. pairs of step 1 are confirmed on the full sets, one per document first, then those whose ends are
    still in different components; components come from alternating large-star and small-star;
-4. a member that is in the end not in the component of its bucket's smallest id is paired with the
+4. a member that is in the end not in the component of its bucket's smallest id is compared with the
    members of other components as in 2.
 
-So no link that a bucket shows is lost, and no bucket is expanded into all its pairs: pairs inside a
-component are never made. Large buckets of step 2 and 4 are compared in tiles, and a pair is made in one
-of its buckets only. The chance that a pair
+So no link that a bucket shows is lost, and no bucket is expanded into its pairs: a tile gives its near members, then a
+spanning forest of its links, and never more rows than it has members. Two members are compared in one
+of their buckets only. The chance that a pair
 at the threshold shares no bucket is below 1e-5 with 32 bands of 4 minima, and 1e-6 that its signature fails.
 
 Shingles are compared as 64-bit hashes. Documents without words have an empty set and are linked with
@@ -157,12 +157,26 @@ def near_by_signature(pairs: DataFrame, reps: DataFrame, share: int) -> DataFram
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
-def pairs_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFrame:
-    """Near pairs (a, b) of buckets: a from the members marked ``asks``, b from all members of another ``group``.
+def tiles(members: DataFrame, carried: DataFrame) -> DataFrame:
+    """Members of buckets with the columns of ``carried`` (by doc_id), copied to tiles (key, x, y) of asking and of all members.
 
-    ``members``: key, doc_id, n (members of the bucket), n_asks (those that ask), asks, group (null: a group of its
-    own). Buckets are cut into tiles of asking and of all members.
-    A pair with several buckets in common comes from the one of its first equal band.
+    ``members``: key, doc_id, n (members of the bucket), n_asks (those that ask), asks, group (null: a group of its own).
+    """
+    x, y = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n_asks", "n"))
+    own = lambda tiles: F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
+    every = lambda tiles: F.explode(F.sequence(F.lit(0), tiles - 1))
+    full = members.join(carried, "doc_id").withColumn("group", F.coalesce("group", "doc_id"))
+    columns = ["doc_id", "group", *[c for c in carried.columns if c != "doc_id"]]
+    right = full.select("key", own(y).alias("y"), every(x).alias("x"), *columns, F.lit(False).alias("left"), F.lit(True).alias("right"))
+    left = full.where("asks").select("key", every(y).alias("y"), own(x).alias("x"), *columns, F.lit(True).alias("left"), F.lit(False).alias("right"))
+    return right.unionByName(left)
+
+
+def near_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFrame:
+    """Members (key, doc_id, asks) of buckets whose signatures are near to that of a member that asks, or that ask and have such a one.
+
+    ``members`` as in ``tiles``; members of one ``group`` are not compared. Two members with several buckets in
+    common count in the one of their first equal band. A tile gives no more rows than it has members.
     """
     id_type = reps.schema["doc_id"].dataType.simpleString()
     floor = sig_floor(share)
@@ -177,7 +191,7 @@ def pairs_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFra
         key = table.column("key")[0].as_py()
         right = np.flatnonzero(answers)
         right = right[np.argsort(size[right], kind="stable")]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        seen = np.zeros(len(ids), bool)
         for i in np.flatnonzero(asks).tolist():
             lo = np.searchsorted(size[right], -(-size[i] * share // 100), "left")
             hi = np.searchsorted(size[right], size[i] * 100 // share, "right")
@@ -185,19 +199,55 @@ def pairs_in_buckets(members: DataFrame, reps: DataFrame, share: int) -> DataFra
             near = near[(group[near] != group[i]) & (ids[near] != ids[i])]
             near = near[(sig[near] == sig[i]).sum(axis=1) >= floor]
             near = near[bands[near, (bands[near] == bands[i]).argmax(axis=1)] == key]
-            a.append(np.maximum(ids[near], ids[i]))
-            b.append(np.minimum(ids[near], ids[i]))
+            seen[near] = True
+            seen[i] = len(near) > 0
+        out = table.select(["key", "doc_id", "left"]).filter(pa.array(seen))
+        return out.rename_columns(["key", "doc_id", "asks"])
+
+    dealt = tiles(members, reps.select("doc_id", "sig", "bands", "n_shingles"))
+    return dealt.groupBy("key", "x", "y").applyInArrow(run, f"key bigint, doc_id {id_type}, asks boolean").distinct()
+
+
+def links_in_buckets(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between members of buckets, a from those that ask, confirmed on the full ``sets`` (doc_id, set).
+
+    ``members`` as in ``tiles``. A tile gives a spanning forest of its links, so fewer rows than it has members.
+    """
+    id_type = sets.schema["doc_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, group = table.column("doc_id").to_numpy(), table.column("group").to_numpy()
+        asks, answers = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        size = np.array([len(x) for x in own])
+        values = np.concatenate([own[j] for j in answers]) if len(answers) else np.empty(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(answers)), size[answers])[order]
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        a, b = [], []
+        for i in asks.tolist():
+            lo, hi = np.searchsorted(values, own[i], "left"), np.searchsorted(values, own[i], "right")
+            reach = hi - lo
+            at = np.arange(reach.sum()) + np.repeat(lo - np.cumsum(reach) + reach, reach)
+            both = np.bincount(owner[at], minlength=len(answers))
+            linked = np.flatnonzero(100 * both >= share * (size[i] + size[answers] - both))
+            for j in answers[linked].tolist():
+                x, y = root(group[i]), root(group[j])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
         kind = table.schema.field("doc_id").type
-        return pa.table({"a": pa.array(np.concatenate(a)).cast(kind), "b": pa.array(np.concatenate(b)).cast(kind)})
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
-    x, y = (F.ceil(F.col(c) / TILE).cast("int") for c in ("n_asks", "n"))
-    own = lambda tiles: F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
-    every = lambda tiles: F.explode(F.sequence(F.lit(0), tiles - 1))
-    full = members.join(reps.select("doc_id", "sig", "bands", "n_shingles"), "doc_id").withColumn("group", F.coalesce("group", "doc_id"))
-    carried = ["doc_id", "sig", "bands", "n_shingles", "group"]
-    right = full.select("key", own(y).alias("y"), every(x).alias("x"), *carried, F.lit(False).alias("left"), F.lit(True).alias("right"))
-    left = full.where("asks").select("key", every(y).alias("y"), own(x).alias("x"), *carried, F.lit(True).alias("left"), F.lit(False).alias("right"))
-    return right.unionByName(left).groupBy("key", "x", "y").applyInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    dealt = tiles(members, sets)
+    return dealt.groupBy("key", "x", "y").applyInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -272,20 +322,22 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     starred = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     near_hub = stage(near_by_signature(starred, reps, share), "near-hub")
     far = members.where("doc_id <> hub").join(near_hub.toDF("doc_id", "hub"), ["doc_id", "hub"], "left_anti")
-    found = stage(_asked(members, far, None, reps, share), "near-others")
-    candidates = stage(near_hub.unionByName(found).distinct(), "candidates")
-    needed = stage(candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct(), "needed")
+    found = _asked(members, far, None, reps, share)
+    needed = stage(near_hub.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(found.select("doc_id")).distinct(), "needed")
     sets = stage(full_sets(docs, needed, id_col, text_col), "sets")
-    first = candidates.groupBy("a").agg(F.min("b").alias("b"))
-    comps = stage(components(confirmed(first, sets, share)), "components")
-    comps = grown(comps, confirmed(apart(candidates, comps), sets, share))
+    first = near_hub.groupBy("a").agg(F.min("b").alias("b"))
+    start = confirmed(first, sets, share).unionByName(_linked(found, None, sets, share))
+    comps = stage(components(start), "components")
+    comps = grown(comps, confirmed(apart(near_hub, comps), sets, share))
     # members that are after all in another component than the smallest id of their bucket
     placed = members.join(comps, "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
     hubs = buckets.select("key", "hub").join(comps.toDF("hub", "component"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_group"))
     left = placed.join(near_hub.toDF("doc_id", "hub"), ["doc_id", "hub"], "left_semi").join(hubs, "key").where("group <> hub_group")
-    late = stage(_asked(members, left.select("key", "doc_id", "n"), comps, reps, share), "late")
+    late = _asked(members, left.select("key", "doc_id", "n"), comps, reps, share)
     if late.take(1):
-        comps = grown(comps, confirmed(apart(late, comps), sets, share))
+        more = late.select("doc_id").distinct().join(sets, "doc_id", "left_anti")
+        sets = sets.unionByName(stage(full_sets(docs, more, id_col, text_col), "more-sets"))
+        comps = grown(comps, _linked(late, comps, sets, share))
     placed = stage(
         classes.join(comps.withColumnRenamed("doc_id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id")),
         "placed",
@@ -297,17 +349,26 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
 
 
 def _asked(members: DataFrame, asking: DataFrame, comps: DataFrame | None, reps: DataFrame, share: int) -> DataFrame:
-    """Near pairs of the members ``asking`` (key, doc_id) with the other members of their buckets."""
+    """The members ``asking`` (key, doc_id) and others of their buckets, as far as their signatures are near: staged, as ``tiles`` wants them."""
     asking = stage(asking.select("key", "doc_id", "n").distinct(), "asking")
     keys = stage(asking.groupBy("key").agg(F.count(F.lit(1)).alias("n_asks"), F.max("n").alias("n")), "asking-keys")
     own = skew_safe_join(members.select("key", "doc_id"), keys, ["key"], "n")
     own = own.join(asking.select("key", "doc_id", F.lit(True).alias("asks")), ["key", "doc_id"], "left")
-    own = own.withColumn("asks", F.coalesce("asks", F.lit(False)))
+    own = _grouped(own.withColumn("asks", F.coalesce("asks", F.lit(False))), comps)
+    near = near_in_buckets(own, reps, share).groupBy("key", "doc_id").agg(F.max("asks").alias("asks"))
+    return stage(near, "near-members")
+
+
+def _grouped(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     if comps is None:
-        own = own.withColumn("group", F.col("doc_id"))
-    else:
-        own = own.join(comps.withColumnRenamed("component", "group"), "doc_id", "left")
-    return pairs_in_buckets(own, reps, share)
+        return members.withColumn("group", F.col("doc_id"))
+    return members.join(comps.withColumnRenamed("component", "group"), "doc_id", "left")
+
+
+def _linked(near: DataFrame, comps: DataFrame | None, sets: DataFrame, share: int) -> DataFrame:
+    """Links among the members that ``_asked`` gave."""
+    keys = stage(near.groupBy("key").agg(F.sum(F.col("asks").cast("bigint")).alias("n_asks"), F.count(F.lit(1)).alias("n")), "near-keys")
+    return stage(links_in_buckets(_grouped(skew_safe_join(near, keys, ["key"], "n"), comps), sets, share), "links")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
