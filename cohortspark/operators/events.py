@@ -141,14 +141,14 @@ def merge_batches(batches: Sequence[DataFrame], features: Sequence[str]) -> Data
 
 
 def fill_stay_hours(
-    binned: DataFrame, stays: DataFrame, features: Sequence[str], horizon: int
+    binned: DataFrame, stays: DataFrame, features: Sequence[str], horizon: int, unique: bool = False
 ) -> DataFrame:
     """Every hour of each stay up to ``min(ceil(los), horizon)``, gaps as null / False."""
     from cohortspark.operators.grid import stay_hours
 
     inside = binned.filter((F.col("hour") >= 0) & (F.col("hour") < horizon))
     hours = F.least(F.ceil(F.col("los_days") * 24.0), F.lit(horizon))
-    return stay_hours(inside, stays, features, hours)
+    return stay_hours(inside, stays, features, hours, unique)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -32,28 +32,27 @@ def one_per_hour(sparse: DataFrame) -> DataFrame:
     """One row per (stay, hour): of repeated hours the greatest row by its other columns.
 
     Rows have no order of their own, so without order columns this stands for the last one: the
-    choice is the same on any partitioning. It runs before anything is collected per stay.
+    choice is the same on any partitioning. Each task keeps one row per hour before the shuffle.
     """
     rest = [c for c in sparse.columns if c not in ("stay_id", "hour")]
-    if not rest:
-        return sparse.distinct()
-    row = F.max(F.struct(*rest)).alias("_row")
-    return sparse.groupBy("stay_id", "hour").agg(row).select("stay_id", "hour", "_row.*")
+    return keep_last(sparse, ["stay_id", "hour"], rest) if rest else sparse.distinct()
 
 
 def dense_grid(
     sparse: DataFrame, stays: DataFrame, features: Sequence[str], length: int,
-    order: Sequence[str] | None = None, nan: bool = False,
+    order: Sequence[str] | None = None, nan: bool = False, unique: bool = False,
 ) -> DataFrame:
     """One row per stay: ``timeseries`` and ``mask`` arrays of ``length`` hours.
 
     Hours outside ``[0, length)`` are dropped and repeated hours keep one row, the last by
     ``order`` or as in ``one_per_hour``. Both steps run on the (stay, hour) key, so what is
     collected per stay is bounded by ``length`` however many raw rows it has. Stays
-    without rows stay in, all missing. ``nan`` writes missing cells as NaN.
+    without rows stay in, all missing. ``nan`` writes missing cells as NaN; ``unique`` says that
+    no hour repeats, as after binning, and saves the step.
     """
     rows = valid_hours(sparse, length)
-    rows = keep_last(rows, ["stay_id", "hour"], order) if order else one_per_hour(rows)
+    if not unique:
+        rows = keep_last(rows, ["stay_id", "hour"], order) if order else one_per_hour(rows)
     vals, masks = row_vectors(rows, features)
     per_hour = rows.select("stay_id", F.col("hour").cast("int"), vals.alias("v"), masks.alias("m"))
     per_stay = per_hour.groupBy("stay_id").agg(
@@ -77,23 +76,24 @@ def dense_grid(
 
 
 def grid_rows(
-    sparse: DataFrame, stays: DataFrame, features: Sequence[str], length: int
+    sparse: DataFrame, stays: DataFrame, features: Sequence[str], length: int, unique: bool = False
 ) -> DataFrame:
     """Wide rows: every stay x hour with the sparse values, gaps as null / False."""
-    return stay_hours(valid_hours(sparse, length), stays, features, F.lit(length))
+    return stay_hours(valid_hours(sparse, length), stays, features, F.lit(length), unique)
 
 
 def stay_hours(
-    sparse: DataFrame, stays: DataFrame, features: Sequence[str], hours: Column
+    sparse: DataFrame, stays: DataFrame, features: Sequence[str], hours: Column, unique: bool = False
 ) -> DataFrame:
     """Wide rows for hours ``0 .. hours - 1`` of each stay.
 
     Only the sparse rows are shuffled, by stay; the full grid is unfolded afterwards
     inside the task. The result stays partitioned by stay, so windows and groupings
     by stay need no further exchange. Repeated hours keep one row (``one_per_hour``), so
-    what is collected per stay is bounded by its hours.
+    what is collected per stay is bounded by its hours; ``unique`` says that none repeats.
     """
-    sparse = one_per_hour(sparse)
+    if not unique:
+        sparse = one_per_hour(sparse)
     rest = [c for c in sparse.columns if c not in ("stay_id", "hour")]
     cells = F.struct(F.col("hour").cast("int").alias("hour"), F.struct(*rest).alias("c"))
     per_stay = sparse.groupBy("stay_id").agg(
@@ -199,4 +199,4 @@ def long_to_dense(
         mine = F.col("feature_name") == f
         aggs.append(F.max(F.when(mine & F.col("observed"), F.col("value"))).alias(f))
         aggs.append(F.coalesce(F.max(F.when(mine, F.col("observed"))), F.lit(False)).alias(f"{f}_mask"))
-    return dense_grid(known.groupBy("stay_id", "hour").agg(*aggs), stays, features, length)
+    return dense_grid(known.groupBy("stay_id", "hour").agg(*aggs), stays, features, length, unique=True)

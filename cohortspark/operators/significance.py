@@ -17,80 +17,15 @@ from cohortspark.operators.ordering import (
     value_cuts,
     with_bucket,
 )
-from cohortspark.session import cut_lineage
+from cohortspark.operators.resampling import PRIME, WeightedSums, cell_key, metric_states, replicates, weights
+from cohortspark.session import broadcast_if_small, cut_lineage
 
 NAN = float("nan")
 EXACT_PAIRS = 50
+FEW_FAMILIES = 100_000
 
 
-# --- bootstrap of metrics that are ratios of sums ---------------------------------------
-
-def mean_metrics() -> dict[str, tuple[Column, Column]]:
-    """Metrics as (numerator, denominator) per row; their replicate is a ratio of sums."""
-    p, y = F.col("prediction"), F.col("label")
-    one = F.lit(1.0)
-    hit = p >= 0.5
-    return {
-        "accuracy": ((hit == (y == 1)).cast("double"), one),
-        "brier_score": (F.pow(p - y, 2), one),
-        "mse": (F.pow(p - y, 2), one),
-        "mae": (F.abs(p - y), one),
-        "positive_rate": ((y == 1).cast("double"), one),
-        "precision": ((hit & (y == 1)).cast("double"), hit.cast("double")),
-        "recall": ((hit & (y == 1)).cast("double"), (y == 1).cast("double")),
-    }
-
-
-def replicate_means(
-    df: DataFrame, parts: dict[str, tuple[Column, Column]], n: int, seed: int,
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """(replicate, name columns): ratios of sums under Poisson resampling weights.
-
-    Rows with the same numbers collapse to one cell with a count ``c``; the sum of
-    ``c`` Poisson(1) weights is one Poisson(c) draw, so the cell is drawn once. A task
-    keeps ``n`` sums per group and hands on only those.
-    """
-    by = list(by)
-    names = [f"_{k}_{i}" for k in parts for i in (0, 1)]
-    exprs = [pair[i].cast("double").alias(f"_{k}_{i}") for k, pair in parts.items() for i in (0, 1)]
-    cells = df.select(*by, *exprs).groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_c"))
-    keyed = cells.withColumn("_h", F.xxhash64(F.lit(int(seed)), *by, *names))
-
-    def fold(batches):
-        sums: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(by, dropna=False, sort=False).indices.items() if by else (
-                ((), np.arange(len(pdf))),
-            )
-            for g, idx in groups:
-                g = g if isinstance(g, tuple) else (g,)
-                total = sums.setdefault(g, np.zeros((n, len(names))))
-                for at in np.array_split(idx, max(1, len(idx) // 2048)):
-                    part = pdf.iloc[at]
-                    x = part[names].to_numpy(dtype="float64")
-                    h = part["_h"].to_numpy().view(np.uint64)
-                    total += cell_weights(h, part["_c"].to_numpy(), n).T @ x
-        for g, total in sums.items():
-            out = pd.DataFrame(total, columns=names)
-            out.insert(0, "replicate", np.arange(1, n + 1))
-            for c, v in zip(reversed(by), reversed(g)):
-                out.insert(0, c, v)
-            yield out
-
-    schema = T.StructType(
-        [df.schema[c] for c in by]
-        + [T.StructField("replicate", T.IntegerType())]
-        + [T.StructField(c, T.DoubleType()) for c in names]
-    )
-    sums = keyed.mapInPandas(fold, schema).groupBy(*by, "replicate").agg(
-        *[F.sum(c).alias(c) for c in names]
-    )
-    return sums.select(
-        *by, "replicate",
-        *[F.when(F.col(f"_{k}_1") > 0, F.col(f"_{k}_0") / F.col(f"_{k}_1")).alias(k) for k in parts],
-    )
-
+# --- intervals -----------------------------------------------------------------------------
 
 def interval(
     replicates: DataFrame, names: Sequence[str], by: Sequence[str] = (), level: float = 0.95
@@ -113,44 +48,56 @@ def interval(
 
 
 def bootstrap_ci(
-    df: DataFrame, metric: str | Callable[[DataFrame], DataFrame], n: int = 1000, seed: int = 42,
+    df: DataFrame, metric: str | WeightedSums | Callable[[DataFrame], DataFrame], n: int = 1000, seed: int = 42,
     level: float = 0.95, ids: Sequence[str] = ("stay_id",),
 ) -> DataFrame:
     """Point estimate and percentile interval of one metric.
 
-    ``metric`` is a name of ``mean_metrics``, ``auroc``, ``auprc``, or a function that maps a
-    frame with columns ``replicate, weight, prediction, label`` to ``(replicate, value)``.
+    ``metric`` is ``auroc``, ``auprc``, a name of ``metric_states``, a metric of one's own as ``WeightedSums``, or,
+    for what is no function of sums, a function that maps a frame with columns ``replicate, weight,
+    prediction, label`` to ``(replicate, value)``; only the last copies rows per replicate.
     """
     if metric in ("auroc", "auprc"):
         from cohortspark.operators.metrics import ranking_metrics
 
         point = ranking_metrics(df).select(F.col(metric).alias("point"))
-        reps = replicate_ranking(df, n, seed)
-        name = metric
-    elif callable(metric):
+        reps = replicate_ranking(df, n, seed, draws=cell_key(seed, ["_y"], ["prediction"]))
+        return point.crossJoin(interval(reps, [metric], (), level))  # two one-row frames
+    if not isinstance(metric, (str, WeightedSums)):
         whole = df.withColumns({"replicate": F.lit(0), "weight": F.lit(1)})
         point = metric(whole).select(F.col("value").alias("point"))
         rep = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
         rep = rep.withColumn("weight", poisson_one(cell_uniform(seed, "replicate", *ids)))
-        reps, name = metric(rep.filter("weight > 0")), "value"
-    else:
-        num, den = mean_metrics()[metric]
-        point = df.agg((F.sum(num) / F.sum(den)).alias("point"))
-        reps = replicate_means(df, {metric: (num, den)}, n, seed)
-        name = metric
-    return point.crossJoin(interval(reps, [name], (), level))  # two one-row frames
+        return point.crossJoin(interval(metric(rep.filter("weight > 0")), ["value"], (), level))  # two one-row frames
+    name = metric if isinstance(metric, str) else "value"
+    return bootstrap_intervals(df, {name: metric_states()[metric] if isinstance(metric, str) else metric}, n, seed, (), level).select(
+        "point", "metric", "ci_lower", "ci_upper", "std", "n_valid"
+    )
+
+
+def bootstrap_intervals(
+    df: DataFrame, metrics: dict[str, WeightedSums], n: int = 1000, seed: int = 42, by: Sequence[str] = (), level: float = 0.95,
+) -> DataFrame:
+    """(by, metric, point, ci_lower, ci_upper, std, n_valid) of several metrics and groups from one pass over the rows."""
+    by = list(by)
+    reps = cut_lineage(replicates(df, metrics, n, seed, by))  # read for the points and for the intervals
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("point")) for x in metrics]))
+    points = reps.filter("replicate = 0").select(*by, cells.alias("_c")).select(*by, "_c.*")
+    spread = interval(reps.filter("replicate > 0"), list(metrics), by, level)
+    joined = null_safe_join(points, spread, [*by, "metric"], "left")  # a row per group and metric on either side
+    return joined.withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
 
 
 # --- bootstrap of ranking metrics ----------------------------------------------------------
 
 def replicate_ranking(
     df: DataFrame, n: int, seed: int, score: str = "prediction", label: str = "label",
-    key: Sequence[str] | None = None,
+    key: Sequence[str] | None = None, draws: Column | None = None,
 ) -> DataFrame:
     """(replicate, auroc, auprc) under Poisson resampling weights, single-class ones null.
 
     Rows of equal label and ``key`` (the score, or several scores that share the draws)
-    collapse to cells. Cells go to score buckets, one bucket to one task, sorted by score.
+    collapse to cells; ``draws`` of their label ``_y`` and key fixes their weights. Cells go to score buckets, one bucket to one task, sorted by score.
     A first pass adds up each bucket's class weights; their running totals become the
     bucket's offsets, which a second pass reads ahead of the bucket's cells. Both passes
     stream: a task holds one Arrow batch and a few numbers per replicate.
@@ -161,7 +108,7 @@ def replicate_ranking(
     cells = cut_lineage(  # the cut points and both passes read it
         cells.select(
             "_y", "_c", (-F.col(score).cast("double")).alias("_s"),
-            F.xxhash64(F.lit(int(seed)), "_y", *key).alias("_h"),
+            (F.xxhash64(F.lit(int(seed)), "_y", *key) if draws is None else draws).alias("_h"),
         )
     )
     cut = with_bucket(cells, "_s", value_cuts(cells, "_s"))
@@ -285,79 +232,48 @@ def _weighted_chunks(part: pd.DataFrame, n: int, rows: int = 1024):
 
 def cell_weights(h: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     """(cells x n) resampling weights of cells with row counts, fixed by the cell's hash."""
-    w = _poisson(h[:, None], np.arange(n, dtype=np.uint64)[None, :]).astype("int64")
-    for i in np.flatnonzero(count > 1):
-        w[i] = np.random.Generator(np.random.Philox(key=int(h[i]))).poisson(count[i], n)
-    return w
-
-
-def _poisson(h: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    """Poisson(1) counts from a 64-bit mix of row hash and replicate."""
-    with np.errstate(over="ignore"):
-        x = h + (rep + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    u = (x >> np.uint64(11)).astype("float64") * 2.0**-53
-    return np.searchsorted(_POISSON_STEPS, u, side="right").astype("int32")
-
-
-_POISSON_STEPS = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 13)]))
+    return weights((h % np.uint64(PRIME)).astype(np.int64), np.asarray(count, np.int64), n)
 
 
 # --- paired bootstrap ---------------------------------------------------------------------------
 
 def paired_bootstrap(
-    df: DataFrame, metric: str, a: str, b: str, n: int = 1000, seed: int = 42,
+    df: DataFrame, metric: str | WeightedSums, a: str, b: str, n: int = 1000, seed: int = 42,
     higher_is_better: bool = True,
 ) -> DataFrame:
-    """One-sided shift test of two scores on the same replicate weights."""
-
-    def named(c):
-        return df.withColumn("prediction", F.col(c))
+    """One-sided shift test of two scores on the same replicate weights.
 
+    ``metric`` is ``auroc``, ``auprc``, a name of ``metric_states``, or one's own ``WeightedSums``.
+    """
     if metric in ("auroc", "auprc"):
         from cohortspark.operators.metrics import ranking_metrics
 
-        whole = [ranking_metrics(named(c)).select(F.col(metric).alias(f"score_{k}"))
+        whole = [ranking_metrics(df.withColumn("prediction", F.col(c))).select(F.col(metric).alias(f"score_{k}"))
                  for k, c in (("a", a), ("b", b))]
         point = whole[0].crossJoin(whole[1])  # one row each
+        draws = cell_key(seed, ["_y"], [a, b])
         ra, rb = (
-            replicate_ranking(df, n, seed, c, key=[a, b]).select("replicate", F.col(metric).alias(k))
+            replicate_ranking(df, n, seed, c, key=[a, b], draws=draws).select("replicate", F.col(metric).alias(k))
             for k, c in (("a", a), ("b", b))
         )
         reps = ra.join(rb, "replicate")
     else:
-        parts = {}
-        exprs = []
-        for k, c in (("a", a), ("b", b)):
-            num, den = _with_prediction(metric, c)
-            parts[k] = (num, den)
-            exprs.append((F.sum(num) / F.sum(den)).alias(f"score_{k}"))
-        point = df.agg(*exprs)
-        reps = replicate_means(df, parts, n, seed)
+        state = metric_states()[metric] if isinstance(metric, str) else metric
+        both = cut_lineage(replicates(df, {"value": state}, n, seed, (), {"_a": a, "_b": b}))  # n + 1 rows
+        both = both.select("replicate", F.col("value_a").alias("a"), F.col("value_b").alias("b"))
+        point = both.filter("replicate = 0").select(F.col("a").alias("score_a"), F.col("b").alias("score_b"))
+        reps = both.filter("replicate > 0")
     delta = F.col("score_a") - F.col("score_b")
     boot = F.col("a") - F.col("b")
     extreme = boot >= 2 * delta if higher_is_better else boot <= 2 * delta
-    joined = reps.filter(boot.isNotNull() & ~F.isnan(boot)).crossJoin(F.broadcast(point))
+    # the point is one row; it stays when no replicate is valid
+    joined = point.join(reps.filter(boot.isNotNull() & ~F.isnan(boot)), F.lit(True), "left")
     tested = joined.agg(
         F.first("score_a").alias("score_a"), F.first("score_b").alias("score_b"),
-        F.first(delta).alias("delta"), F.avg(extreme.cast("double")).alias("p_value"),
-        F.count(F.lit(1)).alias("n_valid"),
+        F.first(delta).alias("delta"), F.coalesce(F.avg(extreme.cast("double")), F.lit(NAN)).alias("p_value"),
+        F.count("replicate").alias("n_valid"),
     )
-    return tested.withColumn("significant_at_005", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
-
-
-def _with_prediction(metric: str, column: str) -> tuple[Column, Column]:
-    p, y = F.col(column), F.col("label")
-    hit = p >= 0.5
-    one = F.lit(1.0)
-    return {
-        "accuracy": ((hit == (y == 1)).cast("double"), one),
-        "brier_score": (F.pow(p - y, 2), one),
-        "mse": (F.pow(p - y, 2), one),
-        "mae": (F.abs(p - y), one),
-    }[metric]
+    return tested.withColumn("significant_at_005", F.coalesce(~F.isnan("p_value") & (F.col("p_value") < 0.05), F.lit(False)))
 
 
 # --- signed-rank test -----------------------------------------------------------------------------
@@ -454,16 +370,13 @@ def normal_tail(z: Column) -> Column:
 def bonferroni(df: DataFrame, family: Sequence[str], p: str = "p_value") -> DataFrame:
     """Times the number of finite p-values in the family, at most 1; NaN stays NaN.
 
-    Families with more than a thousandth of the rows are fewer than a thousand: their counts
-    are broadcast, and only rows of smaller families are shuffled.
+    The counts are one row per family; they are broadcast if they are few, and joined by a shuffle, which
+    splits a hot family, if not. The input is read twice, so it is written out once.
     """
+    df = cut_lineage(df)
     known = F.col(p).isNotNull() & ~F.isnan(p)
-    n = df.groupBy(*family).agg(F.count_if(known).alias("_m"), F.count(F.lit(1)).alias("_rows"))
-    total = n.agg(F.sum("_rows").alias("_all"))
-    heavy = n.crossJoin(F.broadcast(total)).filter(F.col("_rows") * 1000 > F.col("_all"))  # one row: the total
-    seen = null_safe_join(df, F.broadcast(heavy.select(*family, "_m")), list(family), "left")
-    rest = null_safe_join(seen.filter("_m IS NULL").drop("_m"), n.drop("_rows"), list(family))
-    joined = seen.filter("_m IS NOT NULL").unionByName(rest)
+    n = df.groupBy(*family).agg(F.count_if(known).alias("_m"))
+    joined = null_safe_join(df, broadcast_if_small(n, FEW_FAMILIES) if family else F.broadcast(n), list(family))
     fixed = F.when(known, F.least(F.col(p) * F.col("_m"), F.lit(1.0))).otherwise(NAN)
     return joined.withColumn("p_value_bonferroni", fixed).withColumn(
         "significant_bonferroni_005", known & (F.col("p_value_bonferroni") < 0.05)

@@ -77,7 +77,7 @@ SELECT stay_id, hour, error, coalesce(error_mask, false) AS error_mask FROM
  (SELECT stay_id, CAST(unnest(range(CAST(least(ceil(los_days * 24), 48) AS BIGINT))) AS INTEGER) AS hour
   FROM stays) LEFT JOIN hourly USING (stay_id, hour)"""))
 def gap_filled_hours(spark, sf):
-    full = EV.fill_stay_hours(A.hourly(spark, sf), A.stays(spark, sf), A.FEATURES, 48)
+    full = EV.fill_stay_hours(A.hourly(spark, sf), A.stays(spark, sf), A.FEATURES, 48, unique=True)
     return full.select("stay_id", "hour", "error", "error_mask")
 
 

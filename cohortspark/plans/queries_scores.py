@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import embeddings as EM
 from cohortspark.operators import fairness as FA
 from cohortspark.operators import metrics as ME
+from cohortspark.operators import resampling as RS
 from cohortspark.operators import significance as SG
 from cohortspark.plans import analogs as A
 from cohortspark.plans.queries_cohort import r6
@@ -350,6 +351,109 @@ def positive_rate_interval(spark, sf):
     )
 
 
+# --- resampled metrics: SQL repeats the draws ---------------------------------------------------------
+
+N_REPS = 25
+
+
+def _cells_ctes(prefix: str, by: str, keys: list[str], group: list[str] | None = None, seed: int = 42) -> str:
+    """Subqueries with the cells of ``pred``, their draws, and the cells of every replicate with a weight ``w`` (0: the rows)."""
+    group = [by] if group is None else group
+    cols = ", ".join([*group, *keys])
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    cells = f"SELECT *, {RS.key_sql(seed, group, keys)} AS h FROM (SELECT {cols}, count(*) AS c FROM pred WHERE {known} GROUP BY ALL)"
+    # two cells may share a key: the weight is drawn for a key and a count
+    drawn = RS.draws_sql(f"(SELECT DISTINCT h, c FROM {prefix}_cells)", N_REPS).replace("SELECT h, replicate, CAST", "SELECT h, c, replicate, CAST").replace(
+        "GROUP BY h, replicate", "GROUP BY h, c, replicate")
+    return f"""RECURSIVE pred AS ({CTES["pred"]}), {prefix}_cells AS ({cells}), {drawn},
+{prefix} AS (SELECT {cols}, replicate, weight AS w FROM {prefix}_cells JOIN drawn USING (h, c)
+  UNION ALL SELECT {cols}, 0, c FROM {prefix}_cells)"""
+
+
+_B_TABLE = """sum(w) FILTER (prediction >= 0.5 AND label = 1) AS tp, sum(w) FILTER (prediction >= 0.5 AND label = 0) AS fp,
+  sum(w) FILTER (prediction < 0.5 AND label = 0) AS tn, sum(w) FILTER (prediction < 0.5 AND label = 1) AS fn"""
+_B_INTERVALS = """SELECT status, metric, round(any_value(v) FILTER (replicate = 0), 6) AS point,
+  round(quantile_cont(v, 0.025) FILTER (replicate > 0 AND NOT isnan(v)), 6) AS ci_lower, round(quantile_cont(v, 0.975) FILTER (replicate > 0 AND NOT isnan(v)), 6) AS ci_upper,
+  round(stddev_samp(v) FILTER (replicate > 0 AND NOT isnan(v)), 6) AS std, count(*) FILTER (replicate > 0 AND NOT isnan(v)) AS n_valid"""
+
+
+def _rounded(df):
+    return r6(df, "point", "ci_lower", "ci_upper", "std")
+
+
+@query("bootstrap_binary", f"""WITH {_cells_ctes("b", "status", ["prediction", "label"])},
+t AS (SELECT status, replicate, {_B_TABLE}, sum(w) AS n, sum(w * (prediction - label) ** 2) AS e FROM b GROUP BY status, replicate),
+g AS (SELECT status, replicate, sum(abs(p - y)) / sum(n) AS ece FROM (
+  SELECT status, replicate, least(floor(prediction * 15), 14) AS bin, sum(w) AS n, sum(w * prediction) AS p, sum(w * label) AS y FROM b GROUP BY ALL) GROUP BY ALL),
+v AS (UNPIVOT (SELECT status, replicate, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+  CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS specificity, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, (tp + tn) / n::DOUBLE AS accuracy, e / n AS brier_score, ece
+  FROM t JOIN g USING (status, replicate)) ON f1, specificity, precision, recall, accuracy, brier_score, ece INTO NAME metric VALUE v)
+{_B_INTERVALS} FROM v GROUP BY ALL""")
+def bootstrap_binary(spark, sf):
+    """Seven binary metrics per status from one pass, compared replicate for replicate."""
+    states = RS.metric_states()
+    names = ["f1", "specificity", "precision", "recall", "accuracy", "brier_score", "ece"]
+    return _rounded(SG.bootstrap_intervals(A.predictions(spark, sf), {k: states[k] for k in names}, N_REPS, 42, ["status"]))
+
+
+@query("bootstrap_regression", f"""WITH {_cells_ctes("b", "status", ["prediction", "label"]).replace(f"pred AS ({CTES['pred']})", f"pred AS (SELECT status, prediction, target AS label FROM ({CTES['pred']}))")},
+t AS (SELECT status, replicate, sum(w) AS n, sum(w * (prediction - label) ** 2) AS e, sum(w * abs(prediction - label)) AS a, sum(w * label) AS y, sum(w * label * label) AS yy FROM b GROUP BY ALL),
+v AS (UNPIVOT (SELECT status, replicate, e / n AS mse, a / n AS mae, sqrt(e / n) AS rmse, 1 - e / (yy - y * y / n) AS r2 FROM t)
+  ON mse, mae, rmse, r2 INTO NAME metric VALUE v)
+{_B_INTERVALS} FROM v GROUP BY ALL""")
+def bootstrap_regression(spark, sf):
+    states = RS.metric_states()
+    rows = A.predictions(spark, sf).withColumn("label", F.col("target"))
+    return _rounded(SG.bootstrap_intervals(rows, {k: states[k] for k in ("mse", "mae", "rmse", "r2")}, N_REPS, 42, ["status"]))
+
+
+@query("bootstrap_own_metric", f"""WITH {_cells_ctes("b", "status", ["prediction", "label"])},
+t AS (SELECT status, replicate, {_B_TABLE}, sum(w) AS n, sum(w * -ln(CASE WHEN label = 1 THEN greatest(prediction, 0.01) ELSE 1 - least(prediction, 0.99) END)) AS l FROM b GROUP BY status, replicate),
+v AS (UNPIVOT (SELECT status, replicate, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS balanced_accuracy, l / n AS log_loss FROM t)
+  ON balanced_accuracy, log_loss INTO NAME metric VALUE v)
+{_B_INTERVALS} FROM v GROUP BY ALL""")
+def bootstrap_own_metric(spark, sf):
+    """Metrics of a caller's own, by features and a function of their sums."""
+    import numpy as np
+
+    def losses(rows):
+        p, y = rows["prediction"].to_numpy(float), rows["label"].to_numpy(float)
+        loss = -np.log(np.where(y == 1, np.maximum(p, 0.01), 1 - np.minimum(p, 0.99)))
+        return np.stack([np.ones(len(p)), loss], axis=1)
+
+    table = RS.metric_states()["f1"].features
+    own = {
+        "balanced_accuracy": RS.WeightedSums(4, table, lambda s: (s[:, 0] / (s[:, 0] + s[:, 3]) + s[:, 2] / (s[:, 2] + s[:, 1])) / 2),
+        "log_loss": RS.WeightedSums(2, losses, lambda s: s[:, 1] / s[:, 0]),
+    }
+    return _rounded(SG.bootstrap_intervals(A.predictions(spark, sf), own, N_REPS, 42, ["status"]))
+
+
+@query("paired_bootstrap_f1", f"""WITH {_cells_ctes("b", "", ["prediction", "prediction_b", "label"], [])},
+t AS (SELECT replicate, sum(w) FILTER (prediction >= 0.5 AND label = 1) AS tp, sum(w) FILTER ((prediction >= 0.5) <> (label = 1)) AS f,
+  sum(w) FILTER (prediction_b >= 0.5 AND label = 1) AS tp_b, sum(w) FILTER ((prediction_b >= 0.5) <> (label = 1)) AS f_b FROM b GROUP BY ALL),
+v AS (SELECT replicate, 2 * tp / (2 * tp + f) AS a, 2 * tp_b / (2 * tp_b + f_b) AS b FROM t), p AS (SELECT a, b FROM v WHERE replicate = 0)
+SELECT round(any_value(p.a), 6) AS score_a, round(any_value(p.b), 6) AS score_b, round(any_value(p.a - p.b), 6) AS delta,
+  round(avg(CAST(v.a - v.b >= 2 * (p.a - p.b) AS INTEGER)), 6) AS p_value, count(*) AS n_valid, avg(CAST(v.a - v.b >= 2 * (p.a - p.b) AS INTEGER)) < 0.05 AS significant_at_005
+FROM v, p WHERE replicate > 0""")
+def paired_bootstrap_f1(spark, sf):
+    out = SG.paired_bootstrap(A.predictions(spark, sf), "f1", "prediction", "prediction_b", n=N_REPS)
+    return r6(out, "score_a", "score_b", "delta", "p_value")
+
+
+@query("bootstrap_ranking", f"""WITH {_cells_ctes("b", "", ["prediction"], ["label"])},
+s AS (SELECT replicate, prediction, sum(w) FILTER (label = 1)::DOUBLE AS pos, sum(w) FILTER (label = 0)::DOUBLE AS neg FROM b WHERE replicate > 0 GROUP BY ALL),
+c AS (SELECT replicate, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, sum(coalesce(pos, 0)) OVER o AS tp, sum(coalesce(neg, 0)) OVER o AS fp
+  FROM s WINDOW o AS (PARTITION BY replicate ORDER BY prediction DESC))
+SELECT CAST(replicate AS INTEGER) AS replicate, round(1 - sum(pos * (fp - neg / 2)) / (sum(pos) * sum(neg)), 6) AS auroc,
+  round(sum(pos * tp / greatest(tp + fp, 1)) / sum(pos), 6) AS auprc FROM c GROUP BY replicate""")
+def bootstrap_ranking(spark, sf):
+    """Both ranking metrics of every replicate."""
+    draws = RS.cell_key(42, ["_y"], ["prediction"])
+    return r6(SG.replicate_ranking(A.predictions(spark, sf), N_REPS, 42, draws=draws), "auroc", "auprc")
+
+
 CTES["pair"] = """
 SELECT o_orderpriority AS task, l_suppkey % 7 AS scope, l_linenumber AS seed, l_suppkey,
   avg(l_discount) FILTER (l_returnflag = 'A') AS value_a, avg(l_discount) FILTER (l_returnflag = 'N') AS value_b

@@ -21,11 +21,11 @@ FE = A.FEATURES
 
 
 def dense(spark, sf, length=T):
-    return GR.dense_grid(A.hourly(spark, sf), A.stays(spark, sf), FE, length)
+    return GR.dense_grid(A.hourly(spark, sf), A.stays(spark, sf), FE, length, unique=True)
 
 
 def grid(spark, sf, length=T):
-    return GR.grid_rows(A.hourly(spark, sf), A.stays(spark, sf), FE, length)
+    return GR.grid_rows(A.hourly(spark, sf), A.stays(spark, sf), FE, length, unique=True)
 
 
 def cells(spark, sf, length=T):
@@ -69,7 +69,7 @@ def dense_grid(spark, sf):
 @query("dense_grid_nan", W(_C, """
 SELECT feature_name, count(*) FILTER (value IS NULL) AS n_nan, round(sum(value), 4) AS total FROM cell GROUP BY 1"""))
 def dense_grid_nan(spark, sf):
-    g = GR.dense_grid(A.hourly(spark, sf), A.stays(spark, sf), FE, T, nan=True)
+    g = GR.dense_grid(A.hourly(spark, sf), A.stays(spark, sf), FE, T, nan=True, unique=True)
     rows = g.select(F.explode("timeseries").alias("row")).select(
         F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in FE]).alias("feature_name"), F.col("row").alias("v"))).alias("c")
     )

@@ -36,8 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named is None:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = os.path.join(tempfile.gettempdir(), "cohortspark-shared")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cohortspark-shared"))
+        named = spark.sparkContext.getCheckpointDir()
     return named
 
 
