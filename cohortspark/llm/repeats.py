@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from cohortspark.session import stage
 WINDOW = 200
 RUN = 1 << 10  # windows of a run; longer ones are cut
 MOST = 4096  # distinct pieces of an anchor in a shard
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 CHUNK = 1_500_000  # bytes worked on at once
 
 _rng = np.random.default_rng(20240311)
@@ -109,7 +109,10 @@ def runs_of(parts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...
     return of, at - (ends - np.diff(ends, prepend=0))[of], n, anchor[at].view(np.int64), marks.view(np.int64), loops
 
 
-def cut(texts: DataFrame, window: int, gram: int, chunk: int = CHUNK) -> DataFrame:
+RUNS = "first array<bigint>, n array<bigint>, anchor array<bigint>, mark array<bigint>, loops array<boolean>"
+
+
+def cut(texts: DataFrame, window: int, gram: int, chunk: int = CHUNK, keep_text: bool = True) -> DataFrame:
     """``texts`` (text, any other columns) with ord, a number of the row's own, and the runs as arrays first, n, anchor, mark, loops."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +145,23 @@ def cut(texts: DataFrame, window: int, gram: int, chunk: int = CHUNK) -> DataFra
                     rows = [np.concatenate(c) for c in zip(*columns, strict=True)]
                 offsets = pa.array(np.searchsorted(rows[0], np.arange(hi - lo + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in rows[1:]]
-                own = batch.slice(lo, hi - lo)
+                own = batch.slice(lo, hi - lo).select(kept)
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(number + np.arange(lo, hi)), *lists], [*own.schema.names, "ord", "first", "n", "anchor", "mark", "loops"]
+                    [*own.columns, pa.array(number + np.arange(lo, hi)), *lists], [*kept, "ord", "first", "n", "anchor", "mark", "loops"]
                 )
                 lo = hi
             number += len(column)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
-    return texts.mapInArrow(tidy(run), f"{kinds}, ord bigint, first array<bigint>, n array<bigint>, anchor array<bigint>, mark array<bigint>, loops array<boolean>")
+    kept = [c for c in texts.columns if keep_text or c != "text"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+    return texts.mapInArrow(tidy(run), f"{kinds}, ord bigint, {RUNS}")
+
+
+def _again(anchor: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Places of pieces that came before."""
+    order = np.lexsort((mark, anchor))
+    same = (anchor[order][1:] == anchor[order][:-1]) & (mark[order][1:] == mark[order][:-1])
+    return order[1:][same]
 
 
 def shard_marks(pieces: DataFrame, window: int, rows_held: int, names_held: int) -> DataFrame:
@@ -172,6 +183,7 @@ def shard_marks(pieces: DataFrame, window: int, rows_held: int, names_held: int)
                 return
             anchor, mark, weight, n_rows, n = np.concatenate(kept, axis=1)
             starts = np.cumsum(sizes) - sizes
+            weight[_again(anchor, mark)] = 0  # equal rows of one document give a piece twice; its weight has both
             repeated = np.memmap(os.path.join(folder, "marks"), bool, "w+", shape=(size + 1,))
             # neighbours that share a window are one group; of its first member only the place is kept until a second comes
             weight_so_far, first_place = 0, -1
@@ -204,8 +216,8 @@ def shard_marks(pieces: DataFrame, window: int, rows_held: int, names_held: int)
     return pieces.mapInArrow(tidy(run), "anchor bigint, mark bigint, n_rows bigint, from array<bigint>, to array<bigint>")
 
 
-def piece_texts(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The bytes of the ``wanted`` runs (ord, and a list own of anchor, mark, weight, n_rows, first, n), a row each."""
+def piece_texts(found: DataFrame, window: int) -> DataFrame:
+    """The bytes of the wanted runs of texts (text, and a list own of anchor, mark, weight, n_rows, first, n), a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "mark", "weight", "n_rows", "n"]
@@ -223,58 +235,84 @@ def piece_texts(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     texts.append(bytes(at[first[i] : first[i] + n[i] + window - 1]))
                 yield pa.RecordBatch.from_arrays([*(part.field(c) for c in names), pa.array(texts, pa.binary())], [*names, "text"])
 
-    rows = texts.select("ord", "text").join(wanted, "ord").select("text", "own")
-    return rows.mapInArrow(tidy(run), "anchor bigint, mark bigint, weight bigint, n_rows bigint, n bigint, text binary")
+    return found.select("text", "own").mapInArrow(tidy(run), "anchor bigint, mark bigint, weight bigint, n_rows bigint, n bigint, text binary")
 
 
 def repeated_windows(
-    texts: DataFrame, window: int, grams: list[int], most: int = MOST, shard_bytes: int = SHARD_BYTES, rows_held: int = suffixes.ROWS_HELD,
-    names_held: int = suffixes.NAMES_HELD, chunk: int = CHUNK,
-) -> tuple[DataFrame, DataFrame]:
-    """The staged ``texts`` (text, weight and any other columns) with ord, and per ord the repeated windows as spans (from, to)."""
-    rows = stage(cut(texts, window, grams[0], chunk), "runs")
+    rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], window: int, grams: list[int], most: int = MOST, shard_bytes: int = SHARD_BYTES,
+    rows_held: int = suffixes.ROWS_HELD, names_held: int = suffixes.NAMES_HELD, chunk: int = CHUNK,
+) -> DataFrame:
+    """Per ord the repeated windows of its text as spans (from, to).
+
+    ``rows`` are staged runs as ``cut`` gives them, with a weight; ``fetch`` adds to rows with ord the column text.
+    """
     zipped = F.explode(F.arrays_zip("first", "n", "anchor", "mark", "loops")).alias("r")
     runs = rows.select("ord", "weight", zipped).select("ord", "weight", "r.*")
+    counts = runs.groupBy("anchor").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n_runs"), F.max("loops").alias("loops"))
+    anchors = stage(counts.where("total > 1 OR loops").select("anchor", "n_runs"), "anchors")
+    mine = stage(skew_safe_join(runs.drop("loops"), anchors, ["anchor"], "n_runs").drop("n_runs"), "candidate-runs")
     place = F.col("ord").cast("decimal(20,0)") * F.lit(2**42).cast("decimal(13,0)") + (F.col("first") * 2**11 + F.col("n"))
     pieces = stage(
-        runs.groupBy("anchor", "mark").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_rows"), F.min(place).alias("place"), F.max("loops").alias("loops")), "pieces"
-    )
-    anchors = stage(
-        pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("weight").alias("total"), F.max("loops").alias("loops")).where("total > 1 OR loops").select("anchor", "n_pieces"), "anchors"
-    )
-    last = len(grams) == 1
-    mine = skew_safe_join(pieces, anchors, ["anchor"], "n_pieces").select(
-        F.expr(f"place div {2**42}").alias("ord"), F.expr(f"CAST(place % {2**42} AS BIGINT)").alias("rest"), "anchor", "mark", "weight", "n_rows",
-        (F.lit(not last) & (F.col("n_pieces") > most)).alias("wide"),
+        mine.groupBy("anchor", "mark").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_rows"), F.min(place).alias("place")).select(
+            "anchor", "mark", "weight", "n_rows", F.expr(f"place div {2**42}").alias("ord"), F.expr(f"CAST(place % {2**42} AS BIGINT)").alias("rest")
+        ).select("*", F.expr(f"rest div {2**11}").alias("first"), F.expr(f"rest % {2**11}").alias("n")).drop("rest"),
+        "pieces",
     )
-    mine = stage(mine.select("*", F.expr(f"rest div {2**11}").alias("first"), F.expr(f"rest % {2**11}").alias("n")).drop("rest"), "candidates")
+    wide = None
+    if len(grams) > 1:
+        many = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_pieces")).where(F.col("n_pieces") > most)
+        wide = stage(many, "wide-anchors")
+        wide = wide if wide.take(1) else None
 
     def texts_of(part: DataFrame) -> DataFrame:
         own = F.collect_list(F.struct("anchor", "mark", "weight", "n_rows", "first", "n")).alias("own")
-        return piece_texts(rows, part.groupBy("ord").agg(own), window)
-
-    size, wide = mine.agg(F.sum(F.when(~F.col("wide"), F.col("n") + window)), F.max("wide")).first()
-    dealt = texts_of(mine.where("NOT wide")).repartition(max(1, -(-(size or 0) // shard_bytes)), "anchor")
-    marks = shard_marks(dealt, window, rows_held, names_held)
-    if wide:
-        inner = texts_of(mine.where("wide")).select("text", "weight", "n_rows", F.col("anchor").alias("outer_anchor"), F.col("mark").alias("outer_mark"))
-        staged, spans = repeated_windows(inner, window, grams[1:], most, shard_bytes, rows_held, names_held, chunk)
+        return piece_texts(fetch(part.groupBy("ord").agg(own)), window)
+
+    narrow = pieces
+    if wide is not None:
+        split = stage(skew_safe_join(pieces, wide, ["anchor"], "n_pieces").drop("n_pieces"), "wide-pieces")
+        narrow = stage(pieces.join(split.select("anchor", "mark"), ["anchor", "mark"], "left_anti"), "narrow-pieces")
+    size = narrow.agg(F.sum(F.col("n") + window)).first()[0] or 0
+    marks = shard_marks(texts_of(narrow).repartition(max(1, -(-size // shard_bytes)), "anchor"), window, rows_held, names_held)
+    if wide is not None:
+        inner = texts_of(split).select("text", "weight", "n_rows", F.col("anchor").alias("outer_anchor"), F.col("mark").alias("outer_mark"))
+        inner = stage(cut(inner, window, grams[1], chunk), "wide-runs")
+        spans = repeated_windows(
+            inner, lambda wanted: inner.select("ord", "text").join(wanted, "ord"), window, grams[1:], most, shard_bytes, rows_held, names_held, chunk
+        )
         own = spans.groupBy("ord").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-        keyed = staged.select("ord", "n_rows", F.col("outer_anchor").alias("anchor"), F.col("outer_mark").alias("mark")).join(own, "ord")
+        keyed = inner.select("ord", "n_rows", F.col("outer_anchor").alias("anchor"), F.col("outer_mark").alias("mark")).join(own, "ord")
+        keyed = keyed.dropDuplicates(["anchor", "mark"])  # equal rows of one document may give a piece twice
         marks = marks.unionByName(keyed.select("anchor", "mark", "n_rows", F.col("spans.from").alias("from"), F.col("spans.to").alias("to")))
     marks = stage(marks, "marks")
-    back = skew_safe_join(runs.select("ord", "first", "anchor", "mark"), marks, ["anchor", "mark"], "n_rows")
+    back = skew_safe_join(mine.select("ord", "first", "anchor", "mark"), marks, ["anchor", "mark"], "n_rows")
     spans = back.select("ord", "first", F.explode(F.arrays_zip("from", "to")).alias("s"))
-    return rows, spans.select("ord", (F.col("first") + F.col("s.from")).alias("from"), (F.col("first") + F.col("s.to")).alias("to"))
+    return spans.select("ord", (F.col("first") + F.col("s.from")).alias("from"), (F.col("first") + F.col("s.to")).alias("to"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the other bytes)."""
     ship(docs.sparkSession)
     grams = sorted({max(1, window // 8), max(1, window - 16), window})
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"), F.lit(1).cast("bigint").alias("weight"))
-    rows, spans = repeated_windows(texts, window, grams, **limits)
-    own = spans.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("own"))
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))  # with its id it tells a document; rows equal in both share their spans
+    rows = stage(cut(texts.withColumn("weight", F.lit(1).cast("bigint")), window, grams[0], limits.get("chunk", CHUNK), keep_text=False), "runs")
+    ids = rows.select("ord", "doc_id", "h")
+
+    def with_text(found: DataFrame, columns: list[str], how: str) -> DataFrame:
+        """``texts`` joined with ``found`` (doc_id, h and ``columns``)."""
+        found = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), *columns)
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+        return texts.join(found, same, how).select("doc_id", "text", *columns)
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        keyed = stage(wanted.join(ids, "ord").select("doc_id", "h", "own"), "wanted")
+        return with_text(keyed, ["own"], "inner")
+
+    spans = repeated_windows(rows, fetch, window, grams, **limits)
+    merged = spans.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("own"))
+    # rows equal in id and text have equal spans
+    own = merged.join(ids, "ord").select("doc_id", "h", "own").dropDuplicates(["doc_id", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,5 +337,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = rows.select("ord", "doc_id", "text").join(own, "ord", "left").select("doc_id", "text", "own")
-    return whole.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return with_text(own, ["own"], "left").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

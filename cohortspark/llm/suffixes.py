@@ -26,7 +26,7 @@ BLOCK = 1 << 15  # rows worked on at once
 READ = 1 << 20  # symbols read at once
 ROWS_HELD = 1_500_000  # rows a queue keeps in memory
 NAMES_HELD = 3_000_000  # length up to which a string of names is sorted in memory
-BYTES_ROW = 24
+SHARED_BITS = 16
 
 
 class Text:
@@ -365,10 +365,11 @@ def suffixes(
     text: Text, depth: int, folder: str, rows_held: int = ROWS_HELD, names_held: int = NAMES_HELD,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes from the largest to the smallest, block by block: places and what each shares with the one before."""
+    depth = min(depth, (1 << SHARED_BITS) - 1)
     top = max((int(text.symbols[x : x + READ].max()) for x in range(0, text.size, READ)), default=0)
     queue = BucketQueue(folder, 1, rows_held)
     rising = Pass(text, depth, queue, top + 1)
-    falls, buckets = Rows(folder, 3), []
+    falls, buckets = Rows(folder, 1), []  # place and shared prefix in one number
     last = np.array([[text.size - 1, 0, 0]])
     last[:, 2] = text.before(last[:, 0]).view(np.int64)
     queue.push([int(text.symbols[text.size - 1])], [0, 1], last)
@@ -380,7 +381,7 @@ def suffixes(
         start, end_place = falls.n, None
         if symbol == queue.first():
             for rows in queue.pop(symbol):
-                falls.add(rows)
+                falls.add(rows[:, :1] << SHARED_BITS | rows[:, 1:2])
                 end_place = int(rows[-1, 0])
                 rising.take(rows, symbol, top)
             buckets.append((symbol, start, falls.n))
@@ -392,7 +393,7 @@ def suffixes(
             rising.take(rows, symbol, top)
             seed = next(seeds, None)
     queue.drop()
-    fallen = falls.done()
+    fallen = falls.done()[:, 0]
     queue = BucketQueue(folder, -1, rows_held)
     falling = Pass(text, depth, queue, top + 1)
     while queue.first() is not None or buckets:
@@ -405,11 +406,12 @@ def suffixes(
                 yield rows[:, 0], rows[:, 1]
         if buckets and buckets[-1][0] == symbol:
             _, start, end = buckets.pop()
-            shared_after = 0 if end_place is None else min(text.run(end_place, depth), text.run(int(fallen[end - 1, 0]), depth))
+            shared_after = 0 if end_place is None else min(text.run(end_place, depth), text.run(int(fallen[end - 1]) >> SHARED_BITS, depth))
             for y in range(end, start, -BLOCK):
-                rows = np.array(fallen[max(start, y - BLOCK) : y])[::-1].copy()
-                own = rows[:, 1].copy()
-                rows[1:, 1], rows[0, 1] = own[:-1], shared_after
+                packed = np.array(fallen[max(start, y - BLOCK) : y])[::-1]
+                places, own = packed >> SHARED_BITS, packed & ((1 << SHARED_BITS) - 1)
+                shared = np.concatenate(([shared_after], own[:-1]))
+                rows = np.stack([places, shared, text.before(places).view(np.int64)], axis=1)
                 shared_after = int(own[-1])
                 falling.take(rows, 0, symbol - 1)
                 yield rows[:, 0], rows[:, 1]

@@ -81,3 +81,12 @@ def test_no_rows_and_nothing_long_enough(spark):
     docs = spark.createDataFrame([(1, "a" * 199), (1, None)], "doc_id long, text string")
     assert repeats.remove_repeats(docs.where("false")).count() == 0
     assert sorted(tuple(r)[:4] for r in repeats.remove_repeats(docs).collect()) == [(1, 0, 0, 0), (1, 199, 0, 0)]
+
+
+def test_equal_rows_of_one_document_repeat_each_other(spark):
+    rng = random.Random(1)
+    one, two = ("".join(rng.choices("abcdefgh", k=300)) for _ in range(2))
+    docs = spark.createDataFrame([(1, one), (1, one), (None, two), (None, two), (2, one[:50] + two[:100])], "doc_id long, text string")
+    for limits in ({}, {"most": 0}):
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs, 64, **limits).collect())
+        assert got == [(0, 300, 300), (0, 300, 300), (1, 300, 300), (1, 300, 300), (2, 150, 100)]
