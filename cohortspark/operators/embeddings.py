@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,20 +40,97 @@ def global_stats(df: DataFrame, vec: str = "embedding") -> DataFrame:
     )
 
 
-def covariance(df: DataFrame, vec: str = "embedding") -> tuple[int, np.ndarray]:
-    """Row count and D x D sample covariance.
+def gram(df: DataFrame, vec: str = "embedding", unit: bool = False) -> DataFrame:
+    """(i, j, s): sums over all rows of x_i * x_j for i <= j; i = -1 stands for the constant one, so (-1, -1) counts the rows.
 
-    The products are summed on the executors in a tree; only the D x D matrix, whose
-    size is set by the vector width, reaches the driver.
+    With ``unit`` rows are scaled to length one first. Rows that are null or hold a null or non-finite number, or
+    whose width is not that of most rows of their task's first batch, fail: a vector table has one width. A task
+    hands on one number per pair of dimensions.
     """
-    dense = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(dense, "v"))
-    n = matrix.numRows()
-    if n == 0:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            column = batch.column("v").drop_null()
+            if not len(column):
+                continue
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(x) % len(column) or total is not None and len(x) // len(column) + 1 != len(total):
+                raise ValueError("vectors differ in width")
+            x = x.reshape(len(column), -1)
+            if unit:
+                x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-8)
+            x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+            part = x.T @ x
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i - 1, pa.int32()), pa.array(j - 1, pa.int32()), pa.array(total[i, j])], ["i", "j", "s"])
+
+    rows = df.select(F.col(vec).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+
+
+def gram_matrix(df: DataFrame, vec: str = "embedding", unit: bool = False) -> np.ndarray:
+    """The sums of ``gram`` as one symmetric matrix on the driver; its size is set by the vector width."""
+    rows = gram(df, vec, unit).collect()
+    out = np.zeros((max((r["j"] for r in rows), default=-2) + 2,) * 2)
+    for i, j, s in rows:
+        out[i + 1, j + 1] = out[j + 1, i + 1] = s
+    return out
+
+
+def covariance(df: DataFrame, vec: str = "embedding") -> tuple[int, np.ndarray]:
+    """Row count and D x D sample covariance, from one pass over the rows."""
+    g = gram_matrix(df, vec)
+    if not len(g):
         return 0, np.zeros((0, 0))
+    n = round(g[0, 0])
     if n == 1:
-        return 1, np.zeros((matrix.numCols(), matrix.numCols()))
-    return n, matrix.computeCovariance().toArray()
+        return 1, np.zeros((len(g) - 1,) * 2)
+    return n, (g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / n) / (n - 1)
+
+
+def participation(df: DataFrame, vec: str = "embedding") -> DataFrame:
+    """Total variance, squared norm of the covariance and participation ratio, from the Gram sums alone."""
+    g = gram(df, vec)
+    ends = g.filter("i = -1 AND j >= 0").select("j", F.col("s").alias("m"))  # a row per dimension
+    n = g.filter("j = -1").select(F.col("s").alias("n"))  # one row
+    centred = g.filter("i >= 0").join(F.broadcast(ends.toDF("i", "mi")), "i").join(F.broadcast(ends.toDF("j", "mj")), "j").crossJoin(F.broadcast(n))
+    c = F.when(F.col("n") > 1, (F.col("s") - F.col("mi") * F.col("mj") / F.col("n")) / (F.col("n") - 1)).otherwise(0.0)
+    both = centred.select("i", "j", "n", c.alias("c"))
+    out = both.agg(
+        F.max("n").cast("bigint").alias("n_samples"), F.sum(F.when(F.col("i") == F.col("j"), F.col("c")).otherwise(0.0)).alias("total_variance"),
+        F.sum(F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0) * F.col("c") * F.col("c")).alias("squared_norm"),
+    )
+    t, q = F.col("total_variance"), F.col("squared_norm")
+    return out.withColumn("participation_ratio", F.when(q == 0, 0.0).otherwise(t * t / q))
+
+
+def cosine_moments(df: DataFrame, vec: str = "embedding") -> DataFrame:
+    """Exact mean and population std of the cosines of all pairs of different rows, without making a pair.
+
+    With unit rows u, the cosines of all ordered pairs add up to |sum u|^2, and their squares to the squared norm
+    of the Gram matrix; each row's pair with itself is taken off.
+    """
+    g = gram(df, vec, unit=True)
+    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    own = F.col("i") >= 0
+    sums = g.agg(
+        F.coalesce(F.max(F.when(F.col("j") == -1, F.col("s"))), F.lit(0.0)).alias("n"),
+        F.sum(F.when((F.col("i") == -1) & (F.col("j") >= 0), F.col("s") * F.col("s")).otherwise(0.0)).alias("a"),
+        F.sum(F.when(own, twice * F.col("s") * F.col("s")).otherwise(0.0)).alias("b"),
+        F.sum(F.when(own & (F.col("i") == F.col("j")), F.col("s")).otherwise(0.0)).alias("d"),
+    )
+    # |u| is 1 but for zero rows, whose cosine with themselves is 0 and has no part in either sum
+    pairs = F.col("n") * (F.col("n") - 1)
+    mean, square = (F.col("a") - F.col("d")) / pairs, (F.col("b") - F.col("d")) / pairs
+    some = F.col("n") > 1
+    return sums.select(
+        F.when(some, mean).otherwise(0.0).alias("mean_cosine"),
+        F.when(some, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))).otherwise(0.0).alias("std_cosine"),
+        F.coalesce(pairs / 2, F.lit(0.0)).cast("bigint").alias("n_pairs"),
+    )
 
 
 def eigenvalues(df: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -159,10 +236,15 @@ def collapse(dims: DataFrame, similarity: DataFrame, cosine_limit: float = 0.95)
 def quality_report(
     df: DataFrame, id_col: str, vec: str = "embedding", n_pairs: int = 10000, seed: int = 42
 ) -> DataFrame:
-    """All diagnostics in one row, with rule-based ``warnings`` and ``recommendations``."""
+    """All diagnostics in one row, with rule-based ``warnings`` and ``recommendations``.
+
+    Cosines are those of all pairs; only the uniformity comes from ``n_pairs`` sampled ones.
+    """
     basic = global_stats(df, vec).drop("embedding_dim")
     shape = dimensionality(eigenvalues(df, vec))
-    fall = collapse(dim_stats(df, vec), pair_similarity(sampled_pairs(df, n_pairs, id_col, vec, seed)))
+    spread = pair_similarity(sampled_pairs(df, n_pairs, id_col, vec, seed)).select("uniformity")
+    pairs = cosine_moments(df, vec).crossJoin(spread)  # two one-row frames
+    fall = collapse(dim_stats(df, vec), pairs)
     row = basic.crossJoin(shape).crossJoin(fall)  # three one-row frames
     dim = F.col("embedding_dim")
     flat = F.col("effective_rank") < dim * 0.1

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import set_fingerprint
+from cohortspark.operators.ordering import null_safe_join
 
 STD_FLOOR = 1e-6
 
@@ -19,6 +20,52 @@ def _usable(value: Column, observed: Column, policy: str) -> Column:
     return F.when(ok, value)
 
 
+def feature_states(
+    rows: DataFrame, features: Sequence[str], policy: str = "repair", by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, feature_idx, feature, n_obs, mean, m2): what the statistics of observed cells are made of.
+
+    States of disjoint rows add up (``merged_states``), so new stays need no second look at old ones. All
+    features come from one scan.
+    """
+    states = []
+    for i, f in enumerate(features):
+        v = _usable(F.col(f).cast("double"), F.col(f"{f}_mask"), policy)
+        n = F.count(v)
+        states.append(
+            F.struct(
+                F.lit(i).alias("feature_idx"), F.lit(f).alias("feature"), n.alias("n_obs"),
+                F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(v) * n, F.lit(0.0)).alias("m2"),
+            )
+        )
+    return rows.groupBy(*by).agg(F.array(*states).alias("_s")).select(*by, F.explode("_s").alias("_r")).select(*by, "_r.*")
+
+
+def merged_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One state per feature (and ``by``) from the states of parts.
+
+    The spread of a whole is that of its parts around their own means, plus that of the means around the common one.
+    """
+    keys = [*by, "feature_idx", "feature"]
+    whole = states.groupBy(*keys).agg(F.sum("n_obs").alias("_n"), F.sum(F.col("n_obs") * F.col("mean")).alias("_t"))
+    whole = whole.select(*keys, F.when(F.col("_n") > 0, F.col("_t") / F.col("_n")).otherwise(0.0).alias("_mean"))
+    gap = F.col("mean") - F.col("_mean")
+    return null_safe_join(states, whole, keys).groupBy(*keys).agg(
+        F.sum("n_obs").alias("n_obs"), F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n_obs") * gap * gap).alias("m2")
+    )
+
+
+def stats_of(states: DataFrame, policy: str = "repair") -> DataFrame:
+    """(feature_idx, feature, mean, std, n_obs) of one state per feature."""
+    n = F.col("n_obs")
+    std = F.when(n > 1, F.sqrt(F.col("m2") / (n - 1)))
+    if policy == "repair":
+        fixed = F.when(F.coalesce(std, F.lit(0.0)) <= STD_FLOOR, 1.0).otherwise(std)
+    else:
+        fixed = F.when(n <= 1, 1.0).otherwise(F.greatest(std, F.lit(STD_FLOOR)))
+    return states.select("feature_idx", "feature", "mean", fixed.alias("std"), "n_obs")
+
+
 def feature_stats(
     rows: DataFrame, features: Sequence[str], policy: str = "repair", only_train: bool = True
 ) -> DataFrame:
@@ -26,28 +73,30 @@ def feature_stats(
 
     ``policy='repair'`` drops infinite cells and turns a std of at most 1e-6 into 1;
     ``'clamp'`` keeps them and lifts the std to 1e-6 (1 when n <= 1). All features
-    come from one scan; a ``split`` column restricts the fit to the train stays.
+    come from one scan; a ``split`` column restricts the fit to the train stays. Hours without an observed
+    cell need not be there.
     """
     if only_train:
         if "split" not in rows.columns:
             raise ValueError("train-only statistics need a split column")
         rows = rows.filter(F.col("split") == "train")
-    stats = []
-    for i, f in enumerate(features):
-        v = _usable(F.col(f).cast("double"), F.col(f"{f}_mask"), policy)
-        n, std = F.count(v), F.stddev_samp(v)
-        if policy == "repair":
-            fixed = F.when(F.coalesce(std, F.lit(0.0)) <= STD_FLOOR, 1.0).otherwise(std)
-        else:
-            fixed = F.when(n <= 1, 1.0).otherwise(F.greatest(std, F.lit(STD_FLOOR)))
-        stats.append(
-            F.struct(
-                F.lit(i).alias("feature_idx"), F.lit(f).alias("feature"),
-                F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), fixed.alias("std"),
-                n.alias("n_obs"),
-            )
-        )
-    return rows.agg(F.array(*stats).alias("_s")).select(F.explode("_s").alias("_r")).select("_r.*")
+    return stats_of(feature_states(rows, features, policy), policy)
+
+
+def updated_stats(
+    spark, path: str, rows: DataFrame, features: Sequence[str], part: str, policy: str = "repair"
+) -> DataFrame:
+    """Statistics of all parts written under ``path``, after the state of ``part`` was written from ``rows``.
+
+    A part that is there already is not read again. Only states are merged: a row per feature and part.
+    """
+    from cohortspark.sources.tables import path_exists
+
+    where = f"{path}/part={part}"
+    if not path_exists(spark, where):
+        feature_states(rows, features, policy).coalesce(1).write.mode("overwrite").parquet(where)
+    states = spark.read.parquet(path).filter(F.col("feature").isin(*features))
+    return stats_of(merged_states(states), policy)
 
 
 def stats_row(stats: DataFrame) -> DataFrame:

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.config import SPLIT_RATIOS
-from cohortspark.operators.ordering import hash_rank
-
-#: a key with no more rows than this is never worth a plan of its own
-MANY_ROWS = 100_000
+from cohortspark.operators.ordering import cut_by_draw
 
 
 def _check_ratios(ratios) -> None:
@@ -20,21 +17,13 @@ def _check_ratios(ratios) -> None:
 def split_patients(stays: DataFrame, seed: int = 42, ratios=SPLIT_RATIOS) -> DataFrame:
     """(patient_id, split): shuffle the distinct patients, cut at ``int(n * ratio)``.
 
-    The shuffled position is exact and needs no global sort: patients are ranked
-    inside hash buckets and the buckets' sizes give the offsets.
+    The cuts are exact and need no global sort: only the two draws at the cuts are looked for.
     """
     _check_ratios(ratios)
     patients = stays.select(F.col("patient_id").cast("string").alias("patient_id")).distinct()
-    ranked = hash_rank(patients, ["patient_id"], seed)
-    size = patients.agg(F.count(F.lit(1)).alias("_n"))
-    n_train = F.floor(F.col("_n") * F.lit(ratios[0]))
-    n_val = F.floor(F.col("_n") * F.lit(ratios[1]))
-    return ranked.crossJoin(F.broadcast(size)).select(  # one row: the patient count
-        "patient_id",
-        F.when(F.col("rank") < n_train, "train")
-        .when(F.col("rank") < n_train + n_val, "val")
-        .otherwise("test").alias("split"),
-    )
+    n_train, n_val = (lambda n, r=r: F.floor(n * F.lit(r)) for r in ratios[:2])
+    cut = cut_by_draw(patients, ["patient_id"], seed, {"_train": n_train, "_seen": lambda n: n_train(n) + n_val(n)})
+    return cut.select("patient_id", F.when(F.col("_train"), "train").when(F.col("_seen"), "val").otherwise("test").alias("split"))
 
 
 def assign_split(stays: DataFrame, split: DataFrame, strict: bool = True) -> DataFrame:
@@ -61,15 +50,12 @@ def skew_safe_lookup(
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))
-    heavy = counts.crossJoin(F.broadcast(total)).filter(  # one row: the total
-        (F.col("_n") > F.col("_all") * share) & (F.col("_n") > MANY_ROWS)
-    )
-    hot = [r[key] for r in heavy.select(key).collect()]  # fewer than 1 / share keys
-    if not hot:
-        return rows.join(table, key, "left")
-    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
-    few = rows.filter(is_hot).join(F.broadcast(table.filter(is_hot)), key, "left")
-    rest = rows.filter(~is_hot).join(table.filter(~is_hot), key, "left")
+    heavy = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > F.col("_all") * share).select(key)  # one row: the total
+    added = [c for c in table.columns if c != key]
+    hot = heavy.join(table, key).withColumn("_hot", F.lit(True))  # fewer than 1 / share keys
+    seen = rows.join(F.broadcast(hot), key, "left")
+    few = seen.filter("_hot").drop("_hot")
+    rest = seen.filter("_hot IS NULL").drop("_hot", *added).join(table, key, "left")
     return rest.unionByName(few)
 
 
@@ -108,12 +94,8 @@ def label_fraction(stays: DataFrame, fraction: float, seed: int = 42, by: str |
     """Mark ``max(1, int(n * fraction))`` stays as ``in_subset``, the same ones per seed."""
     if not 0.0 < fraction <= 1.0:
         raise ValueError("fraction must be in (0, 1]")
-    groups = [by] if by else []
-    ranked = hash_rank(stays, ["stay_id"], seed, groups)
-    size = stays.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(size, groups) if groups else ranked.crossJoin(F.broadcast(size))
-    keep = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction)))
-    return joined.withColumn("in_subset", F.col("rank") < keep).drop("_n", "rank")
+    keep = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction)))
+    return cut_by_draw(stays, ["stay_id"], seed, {"in_subset": keep}, [by] if by else [])
 
 
 def split_record(assigned: DataFrame, seed: int, ratios=SPLIT_RATIOS) -> DataFrame:

@@ -489,6 +489,28 @@ def signed_rank_test(spark, sf):
     return out.select("task", "n_pairs", "n_nonzero_pairs", "statistic", F.round("z_score", 6).alias("z_score"))
 
 
+CTES["sdiff"] = """
+SELECT task, l_suppkey % 10 AS part, l_suppkey, seed, value_a, value_b, round(value_a - value_b, 9) AS diff FROM pair
+WHERE value_a IS NOT NULL AND value_b IS NOT NULL AND seed <= 1 + l_suppkey % 3"""
+_SUBSETS = """ways(r, counts) AS (
+  SELECT 0, [1.0::DOUBLE] UNION ALL
+  SELECT r + 1, list_transform(range(0, len(counts) + r + 1), lambda s: coalesce(counts[s + 1], 0.0) + CASE WHEN s >= r + 1 THEN coalesce(counts[s - r], 0.0) ELSE 0.0 END)
+  FROM ways WHERE r < 50)"""
+
+
+@query("signed_rank_exact", W("pair sdiff", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_SUBSETS},
+ranked AS (SELECT *, rank() OVER (PARTITION BY task, part ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY task, part, abs(diff)) - 1) / 2.0 AS r FROM sdiff WHERE diff <> 0),
+sums AS (SELECT task, part, count(*) AS n, coalesce(sum(r) FILTER (diff > 0), 0) AS wp, coalesce(sum(r) FILTER (diff < 0), 0) AS wm FROM ranked GROUP BY task, part)
+SELECT task, part, (SELECT count(*) FROM sdiff d WHERE d.task = s.task AND d.part = s.part) AS n_pairs, n AS n_nonzero_pairs, least(wp, wm) AS statistic,
+  round(least(2 * list_sum(counts[1:CAST(ceil(least(wp, wm)) AS INTEGER) + 1]) / 2.0 ** n, 1.0), 9) AS p_value
+FROM sums s JOIN ways ON ways.r = n WHERE n <= 50""")
+def signed_rank_exact(spark, sf):
+    """Small families, whose p-values come from the distribution of rank sums."""
+    rows = paired_rows(spark, sf).withColumn("part", F.col("l_suppkey") % 10).filter("seed <= 1 + l_suppkey % 3")
+    out = SG.signed_rank(rows, ["task", "part"]).filter("n_nonzero_pairs BETWEEN 1 AND 50")
+    return out.select("task", "part", "n_pairs", "n_nonzero_pairs", "statistic", F.round("p_value", 9).alias("p_value"))
+
+
 @query("effect_sizes", W("pair pdiff", """
 SELECT task, count(*) AS n_pairs, round(avg(value_a - value_b) / stddev_samp(value_a - value_b), 6) AS paired_d,
   round((avg(value_a) - avg(value_b)) / sqrt((var_samp(value_a) + var_samp(value_b)) / 2), 6) AS pooled_d FROM pdiff GROUP BY task"""))
@@ -547,6 +569,29 @@ def embedding_dimensionality(spark, sf):
 CTES["enorm"] = "SELECT vec_id, embedding::DOUBLE[] AS v, greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-8) AS nrm FROM embeddings"
 
 
+CTES["eunit"] = "SELECT vec_id, list_transform(v, lambda x: x / nrm) AS u FROM enorm"
+
+
+@query("embedding_cosines", W("enorm eunit", """
+SELECT round(avg(c), 8) AS mean_cosine, round(stddev_pop(c), 8) AS std_cosine, count(*) AS n_pairs
+FROM (SELECT list_inner_product(a.u, b.u) AS c FROM eunit a JOIN eunit b ON a.vec_id < b.vec_id)"""))
+def embedding_cosines(spark, sf):
+    """Moments of the cosines of all pairs, from sums over single rows; SQL makes every pair."""
+    out = EM.cosine_moments(A.table(spark, sf, "embeddings"))
+    return out.withColumns({c: F.round(c, 8) for c in ("mean_cosine", "std_cosine")})
+
+
+@query("embedding_participation", W("edim", """
+SELECT any_value(n) AS n_samples, round(sum(c) FILTER (i = j), 8) AS total_variance, round(sum(c * c), 8) AS squared_norm,
+  round(sum(c) FILTER (i = j) ** 2 / sum(c * c), 6) AS participation_ratio
+FROM (SELECT i, j, count(*) AS n, covar_samp(x, y) AS c FROM (
+  SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, vec_id FROM embeddings) JOIN (
+  SELECT generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS y, vec_id FROM embeddings) USING (vec_id) GROUP BY i, j)"""))
+def embedding_participation(spark, sf):
+    out = EM.participation(A.table(spark, sf, "embeddings"))
+    return out.withColumns({"total_variance": F.round("total_variance", 8), "squared_norm": F.round("squared_norm", 8), "participation_ratio": F.round("participation_ratio", 6)})
+
+
 @query("embedding_pair_similarity", W("edim", """
 SELECT least(10000, (count(*) // 64) * (count(*) // 64 - 1) // 2) AS n_pairs, true AS cosine_in_range, true AS uniformity_in_range FROM edim"""))
 def embedding_pair_similarity(spark, sf):

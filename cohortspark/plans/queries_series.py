@@ -15,6 +15,7 @@ from cohortspark.plans import analogs as A
 from cohortspark.plans.queries_cohort import r6, split_stays
 from cohortspark.plans.registry import CTES, query
 from cohortspark.plans.registry import with_tables as W
+from cohortspark.session import cut_lineage
 
 T = 48  # hours of the grids below
 FE = A.FEATURES
@@ -291,12 +292,14 @@ def tabular_vector(spark, sf):
 
 # --- normalization ------------------------------------------------------------------------------
 
-def train_rows(spark, sf):
-    return grid(spark, sf).join(split_stays(spark, sf).select("stay_id", "split"), "stay_id")
+def train_rows(spark, sf, binned=None):
+    """The observed hours with their split; hours without an observed cell add nothing to a statistic."""
+    hours = CO.valid_hours(A.hourly(spark, sf) if binned is None else binned, T)
+    return hours.join(split_stays(spark, sf).select("stay_id", "split"), "stay_id")
 
 
-def stats(spark, sf, policy="repair"):
-    return N.feature_stats(train_rows(spark, sf), FE, policy)
+def stats(spark, sf, policy="repair", binned=None):
+    return N.feature_stats(train_rows(spark, sf, binned), FE, policy)
 
 
 def _stats_sql(std):
@@ -326,7 +329,9 @@ def normalization_stats_clamped(spark, sf):
 SELECT stay_id, hour, feature_name, round(CASE WHEN observed THEN (value - mean) / std ELSE 0.0 END, 5) AS value
 FROM cell JOIN fstats ON feature = feature_name"""))
 def normalized_grid(spark, sf):
-    done = N.normalize_dense(dense(spark, sf), stats(spark, sf))
+    binned = cut_lineage(A.hourly(spark, sf))  # read for the statistics and for the grid
+    wide = GR.dense_grid(binned, A.stays(spark, sf), FE, T, unique=True)
+    done = N.normalize_dense(wide, stats(spark, sf, binned=binned))
     long = GR.dense_to_long(done, FE)
     return long.select("stay_id", "hour", "feature_name", F.round("value", 5).alias("value"))
 
@@ -335,10 +340,33 @@ def normalized_grid(spark, sf):
 SELECT stay_id, hour, round(coalesce((error - (SELECT mean FROM fstats WHERE feature = 'error')) / (SELECT std FROM fstats WHERE feature = 'error'), 0.0), 5) AS error
 FROM grid"""))
 def normalized_rows(spark, sf):
-    out = N.normalize_rows(grid(spark, sf), stats(spark, sf), FE)
+    binned = cut_lineage(A.hourly(spark, sf))  # read for the statistics and for the grid
+    rows = GR.grid_rows(binned, A.stays(spark, sf), FE, T, unique=True)
+    out = N.normalize_rows(rows, stats(spark, sf, binned=binned), FE)
     return out.select("stay_id", "hour", F.round("error", 5).alias("error"))
 
 
+@query("normalized_features", W(_N + " cell", """
+SELECT stay_id, hour, max(v) FILTER (feature = 'click') AS click, max(v) FILTER (feature = 'error') AS error, max(v) FILTER (feature = 'purchase') AS purchase,
+  max(v) FILTER (feature = 'signup') AS signup, max(v) FILTER (feature = 'view') AS view
+FROM (SELECT stay_id, hour, feature, round(CASE WHEN observed THEN (value - mean) / std ELSE 0.0 END, 5) AS v FROM cell JOIN fstats ON feature = feature_name)
+GROUP BY stay_id, hour"""))
+def normalized_features(spark, sf):
+    """Wide rows of all features, binned once."""
+    binned = cut_lineage(A.hourly(spark, sf))
+    rows = GR.grid_rows(binned, A.stays(spark, sf), FE, T, unique=True)
+    out = N.normalize_rows(rows, stats(spark, sf, binned=binned), FE)
+    return out.select("stay_id", "hour", *[F.round(f, 5).alias(f) for f in FE])
+
+
+@query("merged_normalization_stats", W(_N, "SELECT feature_idx, feature, round(mean, 8) AS mean, round(std, 8) AS std, n_obs FROM fstats"))
+def merged_normalization_stats(spark, sf):
+    """The statistics of the train stays from states per patient: parts add up to the whole."""
+    rows = train_rows(spark, sf).filter("split = 'train'").withColumn("part", F.pmod(F.xxhash64("stay_id"), F.lit(7)))
+    states = N.feature_states(rows, FE, by=["part"]).drop("part")
+    return N.stats_of(N.merged_states(states)).withColumns({c: F.round(c, 8) for c in ("mean", "std")})
+
+
 @query("mean_imputed_grid", W(_N + " cell", """
 SELECT feature_name, count(*) AS n, round(avg(coalesce(value, mean)), 5) AS mean_value FROM cell JOIN fstats ON feature = feature_name GROUP BY 1"""))
 def mean_imputed_grid(spark, sf):
