@@ -3,9 +3,11 @@
 Three base patterns are matched first, leftmost and without overlap, each on its own; matches that
 are too short are dropped. Then texts that name something sensitive are lexed: statements of the
 common source and configuration languages become pairs of a name and its literals, of any length and also
-over several lines (triple quotes, quoted armoured keys, here-documents, block scalars). Names that were
+over several lines (triple quotes, quoted armoured keys, here-documents, block scalars). Declarations with a type,
+fallbacks behind a question mark, ``or`` or a lookup, lists and maps of literals, literals next to each other, assignments
+of several names, setters and calls with a name and a value are read as well. Names that are
 given a literal are constants, and where a constant or a concatenation is assigned on, its literals
-go along. A literal is scored by the names it reaches and by its own shape; of those that pass, the parts
+go along, also if the constant is defined further down. A literal is scored by the names it reaches, word by word, and by its own shape; of those that pass, the parts
 that no base span covers are added as spans of kind ``literal``. Redaction masks base spans and whole literals.
 
 Null and empty texts have no spans. Spans are code points, end exclusive. Repeated rows are scanned
@@ -36,19 +38,28 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "literal")
 HINTS = ("passw", "secret", "token", "api")  # every base assignment holds one of them in lower case
 
-# Words that make a name sensitive alone, pairs of words that do, and last words that say it is no secret.
-ALONE = frozenset("password passwd pwd passphrase passcode secret secrets token apikey credential credentials".split())
+# Words that make a name sensitive alone, pairs of words that do, words before ``key`` that say it is none of a lock, and last
+# words that say the name holds something about a secret.
+ALONE = frozenset("password passwd passwort pwd pass pw passphrase passcode secret token apikey credential cred".split())
 PAIRS = frozenset(
-    "access key,api key,account key,auth key,client key,encryption key,private key,secret key,shared key,signing key,auth header".split(",")
+    "access key,api key,account key,auth key,client key,deploy key,encryption key,license key,master key,private key,secret key,session key,"
+    "shared key,signing key,ssh key,storage key,webhook key,auth header".split(",")
+)
+PLAIN_KEYS = frozenset(
+    "alt arrow cache column composite config ctrl cursor dict enter escape event file foreign function group hash home hot i18n index json "
+    "lookup main map message natural object order page partition primary public registry route row search shift sort sorting tab translation unique".split()
 )
 HARMLESS = frozenset(
-    "count counts url uri path file filename name names hint id ids len length max min type field label policy prompt regex pattern "
-    "ttl expiry expires timeout size limit budget vocab index ref env var".split()
+    "count url uri path file filename name hint id len length max min type field label policy prompt regex pattern "
+    "ttl expiry expire timeout size limit budget vocab index ref env var used usage left remaining total rate status state version".split()
 )
-PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|<.*>|\$\{?.*\}?|%.*%|your.*|my_?.*here|change_?me|example.*|placeholder|none|null|true|false|todo|test|dummy|redacted|\[.*\])$")
-SENSITIVE = re.compile(r"(?i)pass|pwd|secret|token|api.?key|credential|(?:access|account|auth|client|encryption|private|shared|signing).?key|auth.?header")
+SETTERS = frozenset("set with put add define store assign update use".split())
+LOOKUPS = frozenset("getenv get env environ getordefault getproperty getstring fetch setdefault config var lookup optional".split())
+WRAPS = frozenset("str string bytes secretstr secret b64decode encode decode strip trim new sensitive".split())
+PLACEHOLDER = re.compile(r"(?i)^([.~]*/[\w./\-]+|\d{4}-\d\d-\d\d[t\d:.z+\- ]*|[a-z][a-z0-9+.\-]*://[^:@\s]*|x+|\*+|\.+|<.*>|\$\{?.*\}?|%.*%|your.*|my_?.*here|change_?me|example.*|placeholder|none|null|true|false|todo|test|dummy|redacted|\[.*\])$")
+SENSITIVE = re.compile(r"(?i)pass|pwd|secret|token|cred|key[\"'\])]{0,2}[ \t]*+[:=,]|key\w{0,8}[ \t]*+[(:=]|auth")
 PAIR = (
-    r"""[\d.\-]*+(?P<name>[^\W\d][\w.\-]*+)["'`\]>]{0,2}[ \t]*+"""
+    r"""[\d.\-]*+(?P<name>[^\W\d][\w.\-]*+)(?:\[\w*+\])?["'`\]>]{0,2}[ \t]*+"""
     r"""(?P<op>:=|=>|=(?![=>])|:(?![:/])|(?<=>)(?=[^<\s]))[ \t]*+"""
 )
 NAMED, NEXT = re.compile(r"(?<![\w.\-])" + PAIR), re.compile(PAIR)
@@ -61,10 +72,19 @@ HERE = re.compile(r"""(?:["']?\$\([ \t]*+cat[ \t]++)?<<<?[~-]?[ \t]*+(["']?)(?P<
 BLOCK = re.compile(r"""(?:[!&][^\s]++[ \t]++)?[|>][-+\d]{0,2}[ \t]*+(?:\#[^\n]*+)?\r?\n""")
 BEFORE_KEY = re.compile(r"""[ ]*+(?:[-?][ ]++)*+["']?\Z""")
 FIRST_WORDS = re.compile(r"(?m)^[ \t]*+(\w++)")
+CONSTANT = re.compile(r"[A-Z]+(?:_[A-Z0-9]+)+\Z")  # the name of a setting, not its value
 ARMOUR = re.compile(r"-----(?:BEGIN|END) [A-Z0-9 ]++-----")
 REFERENCE = re.compile(r"\$?\{?\{?[ ]?(?P<name>[^\W\d][\w.]{0,127})[ ]?\}{0,2}")
 BARE = re.compile(r"""[^\s;,{}()\[\]"'`<>]+""")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\|\||&)[ \t]*")
+# The type of a declaration, between a colon and the sign of assignment, and one between a name and that sign.
+TYPED = re.compile(r"&?(?:'\w++[ \t]++)?[^\W\d][\w.:]*+(?:(?:[<\[][\w ,.|&?*]*+)++[>\]]++)?+\??[ \t]*+=(?![=>])[ \t]*+")
+DECLARED = re.compile(r"(?:var|const)[ \t]++([^\W\d]\w*+)[ \t]++[*\[\]]*+\Z")
+CALL = re.compile(r"""(?P<fn>[^\W\d][\w.]*+)[ \t]*+\(\s*+(?=["'`])""")
+COMMA = re.compile(r"\s*+,\s*+")
+SEVERAL = re.compile(r"""(?<![\w.,])(?P<names>[^\W\d]\w*+(?:[ \t]*+,[ \t]*+[^\W\d]\w*+)++)[ \t]*+:?=(?!=)[ \t]*+(?=["'`])""")
+BEARER = re.compile(r"""(?i)authori[sz]ation["'\]]{0,2}[ \t]*+[:=,][ \t]*+["']?(?:bearer|basic|token)[ \t]++([\w.~+/=\-]{8,}+)""")
+TOKEN = re.compile(r"""(?P<word>[^\W\d][\w.]*+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<comment>\#|//)|\|\||\?\?|=>|[^\s]""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -92,17 +112,19 @@ def may_hold_hex(text: str) -> bool:
 
 
 def words_of(name: str) -> list[str]:
-    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+    """The words of a name in lower case, plurals as singulars."""
+    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+    return [w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] not in "su" else w for w in words]
 
 
 def name_score(name: str) -> float:
-    """0 for harmless names up to 1 for names of secrets."""
+    """0 for harmless names, 1 for names of secrets, 0.5 for keys of an unknown kind."""
     words = [w for w in words_of(name) if not w.isdigit()]
     if not words or words[-1] in HARMLESS or words[0] in ("max", "min", "num", "n", "use", "has", "is"):
         return 0.0
     if any(w in ALONE for w in words) or any(f"{a} {b}" in PAIRS for a, b in zip(words, words[1:], strict=False)):
         return 1.0
-    return 0.0
+    return 0.5 if len(words) > 1 and words[-1] == "key" and words[-2] not in PLAIN_KEYS else 0.0
 
 
 def literal_score(value: str, quoted: bool) -> float:
@@ -159,12 +181,19 @@ class Bodies:
         return None
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
+Value = list[tuple[int, int, bool]]
+LONG_NAME = 600  # characters looked at for a keyword and a name in front of a type
+MOST_AROUND = 5  # expressions of sensitive names that are read within each other; keeps broken brackets linear
+
+
+def pairs(text: str) -> list[tuple[str, Value]]:
     """Assignments as a name and the literals (start, end, quoted) its value is made of, constants resolved.
 
     Values over several lines are literals and are lexed inside as well.
     """
-    constants: dict[str, list[tuple[int, int, bool]]] = {}
+    constants: dict[str, Value] = {}
+    later: dict[str, list[str]] = {}  # names that were given a name without a literal yet
+    around: list[int] = []  # where the expressions of names around end
     out = []
     bodies = Bodies(text)
     regions = [(0, len(text))]
@@ -194,14 +223,119 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
                 if not j:
                     break
                 here = j.end()
+            if m["op"] == "=" and (d := DECLARED.search(text, max(at, m.start("name") - LONG_NAME), m.start("name"))):
+                name = d[1]  # the word before the sign was its type
+            quoted = bool(value) and value[0][2]
+            if not quoted:
+                around = [e for e in around if e > here]
+                if len(around) < MOST_AROUND and name_score(name):  # further in, the names around have the literals
+                    groups, stop = behind(text, m.end(), end, m["op"])
+                    out += [(name, group) for group in groups]
+                    around.append(stop)
+                if (r := REFERENCE.match(text, m.end(), end)) and r["name"] != name:
+                    later.setdefault(r["name"], []).append(name)
             if value:
                 out.append((name, value))
-                constants[name] = value
+                if quoted or value[0][0] != m.end():
+                    constants[name] = value
             # a bare value may itself be a name that is assigned, as in a = b = "c"
             at = here if value and value[-1][2] else max(m.end(), m.start() + 1)
             if inner:
                 regions += [(at, end), *inner[:0:-1]]
                 at, end = inner[0]
+    known = [n for n in later if n in constants]
+    while known:  # constants defined after their use, on and on
+        source = known.pop()
+        for name in later.pop(source, ()):
+            out.append((name, constants[source]))
+            if name not in constants:
+                constants[name] = constants[source]
+                if name in later:
+                    known.append(name)
+    return out
+
+
+def behind(text: str, at: int, end: int, op: str) -> tuple[list[Value], int]:
+    """The literals that the expression at ``at`` may give, in groups of adjoining ones, and its end: all but names and prompts in calls.
+
+    The expression ends with its line, unless a bracket is open.
+    """
+    if op == ":" and (t := TYPED.match(text, at, end)):
+        at = t.end()
+    open_: list[tuple[str, str, int]] = []  # bracket, word before it, commas so far
+    out: list[Value] = []
+    last, last_end, asked = "", at, False
+    while at < end:
+        line = text.find("\n", at, end) if not open_ else -1
+        while at < end and text[at].isspace() and at != line:
+            at += 1
+        if at >= end or at == line:
+            break
+        if s := STRING.match(text, at, end):
+            span = (*s.span(s.lastindex), True)
+            at = s.end()
+            after = text[at : at + 80].lstrip()
+            key = bool(open_) and open_[-1][0] == "{" and after[:1] == ":" or after[:2] == "=>"
+            if open_ and open_[-1][1]:
+                word, n = open_[-1][1].lower().rsplit(".", 1)[-1], open_[-1][2]
+                fits = open_[-1][0] == "(" and (word in LOOKUPS and n > 0 or word in WRAPS)
+            else:
+                fits = bool(open_) or last in ("", "'", "?", "||", "??", "or", "else", "+", ".") or asked and last == ":"
+            if fits and not key:
+                if last in ("'", "+", ".") and out and out[-1]:
+                    out[-1].append(span)
+                else:
+                    out.append([span])
+            last, last_end = "'", at
+            continue
+        m = TOKEN.match(text, at, end)
+        if m["comment"] or m[0] == ";":
+            break
+        if m["open"]:
+            word = last if m[0] != "{" and last_end == at and (last[:1].isalpha() or last[:1] in "_'])") else ""
+            open_.append((m[0], word, 0))
+            last = "("
+        elif m["close"]:
+            if not open_:
+                break
+            open_.pop()
+            last = ")"
+        else:
+            if m[0] == "," and not open_:
+                break
+            if m[0] == "," and open_:
+                open_[-1] = (*open_[-1][:2], open_[-1][2] + 1)
+            asked = asked or m[0] == "?"
+            last = m["word"] or m[0]
+        at = last_end = m.end()
+    return out, at
+
+
+def calls(text: str) -> list[tuple[str, Value]]:
+    """Names and literals of setters, of calls with a name and a value, and of assignments to several names at once."""
+    out = []
+    for m in CALL.finditer(text):
+        own, at = [], m.end()
+        while s := STRING.match(text, at):
+            own.append(s.span(s.lastindex))
+            c = COMMA.match(text, s.end())
+            at = c.end() if c else len(text)
+        if len(own) == 1:
+            words = re.split(r"(?<=[a-z])(?=[A-Z])|[_.]", m["fn"])
+            setter = next((i for i, w in enumerate(words) if w.lower() in SETTERS), None)
+            if setter is not None and setter + 1 < len(words):
+                out.append(("_".join(words[setter + 1 :]), [(*own[0], True)]))
+        elif len(own) > 1 and own[0][1] - own[0][0] <= 64:
+            out.append((text[slice(*own[0])], [(*own[1], True)]))
+    for m in SEVERAL.finditer(text):
+        at = m.end()
+        for name in m["names"].split(","):
+            s = STRING.match(text, at)
+            if not s:
+                break
+            out.append((name.strip(), [(*s.span(s.lastindex), True)]))
+            c = COMMA.match(text, s.end())
+            at = c.end() if c else len(text)
     return out
 
 
@@ -209,11 +343,13 @@ def literals(text: str) -> set[tuple[int, int]]:
     """Literals that reach a sensitive name and look like secrets, in full."""
     found = set()
     if SENSITIVE.search(text):
-        for name, value in pairs(text):
-            if name_score(name) == 1:
+        for name, value in (*pairs(text), *calls(text)):
+            certain = name_score(name)
+            if certain:
                 whole = "".join(text[a:b] for a, b, _ in value)
-                if literal_score(whole, all(q for _, _, q in value)) >= 0.8:
+                if literal_score(whole, all(q for _, _, q in value)) >= (0.8 if certain == 1 else 1.05) and not CONSTANT.match(whole):
                     found.update((a, b) for a, b, _ in value if b > a)
+        found.update(m.span(1) for m in BEARER.finditer(text))
     return found
 
 
