@@ -2,9 +2,10 @@
 
 Parser events of the standard library stream into lines: a line is the text between two block
 borders, with the number of tags that it took, the characters inside links, and the containers it
-stands in. Lines in containers that never hold an article (navigation, asides, forms, scripts,
+stands in. Lines in containers that never hold an article (navigation, asides, scripts, forms, hidden ones,
 and those whose role, class or id names a menu, advert, notice, comments and the like) are left out;
-such a name does not count around the page's only article or on most of the page's text.
+a form, a hidden part or such a name does not count around the page's only article or on most of the page's text, and a name like
+``related`` or ``share`` inside an article neither on a paragraph nor on a longer part that is not mostly links.
 Of the rest the text-to-tag ratios are smoothed with a Gaussian along the page; lines above the
 threshold, one deviation, are the content cluster. The region is the smallest container that holds
 every line of the cluster, or the article or main element around it, and all its lines that are not
@@ -22,6 +23,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset(
-    "applet aside audio button canvas datalist dialog footer form frameset head iframe map menu nav noframes noscript object script "
+    "applet aside audio button canvas datalist dialog footer frameset head iframe map menu nav noframes noscript object script "
     "select style svg template textarea title video".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
@@ -51,7 +53,13 @@ SAYS = re.compile(
 # Parts that make such a word a remark on the page around it.
 MODIFIES = re.compile(r"(?:^|[_-])(?:has|with|without|no)[_-]|[_-](?:open|opened|closed)$", re.IGNORECASE)
 SIDE = re.compile(r"[_-](?:left|right)$", re.IGNORECASE)
+# Words that a part of an article's own text may have for a name as well.
+OWN_WORDS = frozenset("menu promotion related respond search share sharing skip social teaser widget widgets".split())
+TEXT_BLOCKS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+LONG = 200  # characters outside links from which a part of an article with such a name is text
 TALK = frozenset("comment comments commentlist disqus replies respond".split())
+FENCES = frozenset("ul ol table blockquote form nav aside".split())
+HIDDEN = re.compile(r"display\s*:\s*none")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PAGE_HEADERS = frozenset(["header", "hgroup"])
 SIGMA = 1.0  # lines of smoothing
@@ -71,29 +79,42 @@ def says(value: str) -> str:
     return ""
 
 
+class Line(NamedTuple):
+    parts: list[tuple[str, bool, int]]  # text, in a link, innermost doubt or 0
+    tags: int
+    container: int  # innermost open container
+    level: int  # of a heading, or 0
+
+
 class Lines(HTMLParser):
-    """Collects ``lines``: parts (text, in a link, doubts), tags, the path of open containers, heading level or 0.
+    """Collects ``lines``; containers, articles and doubts are numbered as they open and know their parents.
 
-    Doubts are the elements open there whose name says that they are no article; ``kept_lines`` settles them.
+    Doubts are elements whose name, or the fact that they are hidden or a form, says that they are no article; ``kept_lines`` settles
+    them. Every look at what is open goes by the place of its last one, so the time is linear in the page.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[list[tuple[str, bool, tuple[int, ...]]], int, tuple[int, ...], int]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, container number or 0, left out, doubted
-        self.path: tuple[int, ...] = ()
-        self.doubted: tuple[int, ...] = ()
-        self.kinds = [""]  # tags of the containers
-        self.articles: dict[int, tuple[int, ...]] = {}  # article and main containers, with the doubts they stand in
-        self.doubts: list[tuple[bool, bool]] = []  # whether of comments, whether inside an article or main
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # tag, container, left out, doubted, article or main
+        self.places: dict[str, list[int]] = {}  # of open elements, by tag
+        self.blocks: list[int] = []
+        self.walls: list[int] = []  # that an end tag of something inside does not reach beyond
+        self.fences: list[int] = []  # that a start tag does not end anything beyond
+        self.kinds, self.parent, self.end, self.path = [""], [0], [0], [0]  # of containers; the last: those open
+        self.article, self.article_parent, self.article_doubt = [0], [0], [0]  # container, and innermost article and doubt around
+        self.articles = [0]  # those open
+        self.doubts, self.doubt_parent = [(False, False, False)], [0]  # of comments, inside an article, a word of its own
+        self.doubted = [0]  # those open
+        self.text_of: dict[tuple[int, int], int] = {}  # characters outside links by innermost article and doubt
         self.out = self.links = self.tags = 0
-        self.parts: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.parts: list[tuple[str, bool, int]] = []
 
     def border(self) -> None:
         if self.parts:
             if any(not text.isspace() for text, _, _ in self.parts):
-                block = next((tag for tag, *_ in reversed(self.open) if tag in BLOCKS), "")
-                self.lines.append((self.parts, self.tags, self.path, int(block[1]) if block in HEADINGS else 0))
+                block = self.open[self.blocks[-1]][0] if self.blocks else ""
+                self.lines.append(Line(self.parts, self.tags, self.path[-1], int(block[1]) if block in HEADINGS else 0))
                 self.tags = 0
             self.parts = []
 
@@ -103,139 +124,191 @@ class Lines(HTMLParser):
             if tag == "hr":
                 self.border()
             elif tag == "br" and not self.out:
-                self.parts.append((" ", False, self.doubted))
+                self.parts.append((" ", False, self.doubted[-1]))
             return
         if tag in BLOCKS:
             self.border()
             if tag == "p" or tag == "li" or tag[0] == "h" and tag[1:].isdigit():
                 self.close_open(tag)
-        gone = tag in LEFT_OUT or tag in PAGE_HEADERS and not any(t in ("article", "main") for t, *_ in self.open)
-        word = ""
-        if not gone and attrs:
-            gone = any(
-                v and (k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none", v) is not None)
-                or k == "hidden" and tag not in ("html", "body")
-                for k, v in attrs
-            )
-            if not gone and tag not in ("html", "body", "article", "main"):
-                word = next((w for k, v in attrs if v and k in ("class", "id", "role") and (w := says(v))), "")
+        inside = len(self.articles) > 1
+        gone = tag in LEFT_OUT or tag in PAGE_HEADERS and not inside
+        word = "form" if tag == "form" else ""
+        if not gone and attrs and tag not in ("html", "body"):
+            if any(k == "hidden" or v and (k == "aria-hidden" and v == "true" or k == "style" and HIDDEN.search(v)) for k, v in attrs):
+                word = "hidden"
+            elif tag not in ("article", "main"):
+                word = next((w for k, v in attrs if v and k in ("class", "id", "role") and (w := says(v))), word)
+                if word in OWN_WORDS and tag in TEXT_BLOCKS:
+                    word = ""
+        at = len(self.open)
         if word:
-            self.doubted += (len(self.doubts),)
-            self.doubts.append((word in TALK, any(c in self.articles for c in self.path)))
-        number = 0
+            self.doubt_parent.append(self.doubted[-1])
+            self.doubted.append(len(self.doubts))
+            self.doubts.append((word in TALK, inside, word in OWN_WORDS))
+        whole = tag in ("article", "main")
         if tag in CONTAINERS:
-            number = len(self.kinds)
+            self.parent.append(self.path[-1])
+            self.path.append(len(self.kinds))
             self.kinds.append(tag)
-            self.path += (number,)
-            if tag in ("article", "main"):
-                self.articles[number] = self.doubted
+            self.end.append(0)
+            if whole:
+                self.article_parent.append(self.articles[-1])
+                self.articles.append(len(self.article))
+                self.article.append(self.path[-1])
+                self.article_doubt.append(self.doubted[-1])
         self.out += gone
         self.links += tag == "a"
-        self.open.append((tag, number, gone, bool(word)))
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+        if whole or tag in ("body", "table"):
+            self.walls.append(at)
+        if tag in CONTAINERS or tag in FENCES or gone or word:
+            self.fences.append(at)
+        self.open.append((tag, tag in CONTAINERS, gone, bool(word), whole))
 
     def close_open(self, tag: str) -> None:
         """A new ``tag`` ends one that is still open in the same container, as the standard says."""
-        for i in range(len(self.open) - 1, -1, -1):
-            t, number, gone, doubted = self.open[i]
-            if t == tag:
-                self.end_from(i)
-                return
-            if number or t in ("ul", "ol", "table", "blockquote", "form", "nav", "aside") or gone or doubted:
-                return
-
-    def end_from(self, i: int) -> None:
-        for tag, number, gone, doubted in reversed(self.open[i:]):
-            if number:
-                self.path = self.path[:-1]
+        own = self.places.get(tag)
+        if own and (not self.fences or own[-1] >= self.fences[-1]):
+            self.end_from(own[-1])
+
+    def end_from(self, at: int) -> None:
+        while len(self.open) > at:
+            tag, container, gone, doubted, whole = self.open.pop()
+            self.places[tag].pop()
+            for stack in (self.blocks, self.walls, self.fences):
+                if stack and stack[-1] == len(self.open):
+                    stack.pop()
+            if container:
+                self.end[self.path.pop()] = len(self.kinds) - 1
+            if whole:
+                self.articles.pop()
             if doubted:
-                self.doubted = self.doubted[:-1]
+                self.doubted.pop()
             self.out -= gone
             self.links -= tag == "a"
-        del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.border()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.end_from(i)
-                return
-            if self.open[i][0] in ("article", "main", "body", "table") and tag not in CONTAINERS | LEFT_OUT | {"html"}:
-                return
+        own = self.places.get(tag)
+        if own and (not self.walls or own[-1] >= self.walls[-1] or tag in CONTAINERS or tag in LEFT_OUT or tag in ("html", "form")):
+            self.end_from(own[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.out:
-            self.parts.append((data, self.links > 0, self.doubted))
+            linked, doubt = self.links > 0, self.doubted[-1]
+            self.parts.append((data, linked, doubt))
+            if not linked:
+                key = (self.articles[-1], doubt)
+                self.text_of[key] = self.text_of.get(key, 0) + len(data.strip())
 
     def unknown_decl(self, data: str) -> None:
         pass
 
+    def finish(self) -> None:
+        self.border()
+        self.end_from(0)
+        self.end[0] = len(self.kinds) - 1
 
-def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing; the window is cut off at the ends of the page."""
-    reach = math.ceil(2 * sigma)
-    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
-    out = []
-    for i in range(len(values)):
-        lo, hi = max(0, i - reach), min(len(values), i + reach + 1)
-        own = weights[lo - i + reach : hi - i + reach]
-        out.append(sum(v * w for v, w in zip(values[lo:hi], own, strict=True)) / sum(own))
+
+def up(values: list[int], parent: list[int]) -> list[int]:
+    """Sums over each number and all below it."""
+    out = list(values)
+    for i in range(len(out) - 1, 0, -1):
+        out[parent[i]] += out[i]
     return out
 
 
-def lifted(parser: Lines) -> set[int]:
-    """Doubts that do not hold: those around the page's article, and those with most of its text outside links.
+def lifted(parser: Lines) -> list[bool]:
+    """Whether a doubt does not hold: around the page's article, with most of its text outside links, or the article's own text by a name.
 
     Where an article or main element has text of its own outside all doubts, only doubts inside one can be lifted by
     their share; comments only where there is nothing else.
     """
-    held = [0] * len(parser.doubts)
-    own: dict[int, int] = {}
-    total = 0
-    for parts, _, path, _ in parser.lines:
-        for text, link, doubts in parts:
-            n = 0 if link else len(text.strip())
-            total += n
-            for d in doubts:
-                held[d] += n
-            for c in path:
-                if n and parser.articles.get(c) == doubts:
-                    own[c] = own.get(c, 0) + n
-    for c in [c for c in own if any(parser.doubts[d][0] for d in parser.articles[c]) and 2 * own[c] <= total]:
-        del own[c]  # a comment
-    article = min(own, key=lambda c: (len(parser.articles[c]), -own[c]), default=None)
-    out = set() if article is None else set(parser.articles[article])
-    for d, (talk, inside) in enumerate(parser.doubts):
-        if 2 * held[d] > total and (article is None or inside) and (not talk or held[d] == total):
-            out.add(d)
+    held, linked = [0] * len(parser.doubts), [0] * len(parser.doubts)
+    for (_, doubt), n in parser.text_of.items():
+        held[doubt] += n
+    for line in parser.lines:
+        for text, link, doubt in line.parts:
+            linked[doubt] += len(text.strip()) if link else 0
+    held, linked = up(held, parser.doubt_parent), up(linked, parser.doubt_parent)
+    total = held[0]
+    talks = [False] * len(parser.doubts)  # whether a doubt or one around it is of comments
+    depth = [0] * len(parser.doubts)
+    for d in range(1, len(parser.doubts)):
+        talks[d] = parser.doubts[d][0] or talks[parser.doubt_parent[d]]
+        depth[d] = depth[parser.doubt_parent[d]] + 1
+    own = [0] * len(parser.article)
+    for (article, doubt), n in parser.text_of.items():
+        if article and parser.article_doubt[article] == doubt:
+            own[article] += n
+    for a in range(len(own) - 1, 0, -1):  # an article's text is also that of the one around it, under the same doubts
+        if (around := parser.article_parent[a]) and parser.article_doubt[around] == parser.article_doubt[a]:
+            own[around] += own[a]
+    real = [a for a in range(1, len(own)) if own[a] and not (talks[parser.article_doubt[a]] and 2 * own[a] <= total)]  # others are comments
+    best = min(real, key=lambda a: (depth[parser.article_doubt[a]], -own[a]), default=None)
+    out = [False] * len(parser.doubts)
+    if best is not None:
+        d = parser.article_doubt[best]
+        while d:
+            out[d] = True
+            d = parser.doubt_parent[d]
+    for d in range(1, len(out)):
+        talk, inside, word = parser.doubts[d]
+        if 2 * held[d] > total and (best is None or inside) and (not talk or held[d] == total):
+            out[d] = True
+        if word and inside and held[d] >= LONG and 4 * linked[d] < held[d]:
+            out[d] = True
     return out
 
 
-def kept_lines(parser: Lines) -> list[tuple[str, int, int, tuple[int, ...], int]]:
-    """Lines as text, tags, characters inside links, path and heading level, without what doubts that hold cover."""
-    free = lifted(parser) if parser.doubts else set()
+def kept_lines(parser: Lines) -> list[tuple[str, int, int, int, int]]:
+    """Lines as text, tags, characters inside links, container and heading level, without what doubts that hold cover."""
+    free = lifted(parser)
+    free[0] = True
+    for d in range(1, len(free)):
+        free[d] &= free[parser.doubt_parent[d]]
     out = []
-    for parts, tags, path, level in parser.lines:
-        parts = [(text, link) for text, link, doubts in parts if free.issuperset(doubts)]
+    for line in parser.lines:
+        parts = [(text, link) for text, link, doubt in line.parts if free[doubt]]
         text = " ".join("".join([t for t, _ in parts]).split())
         if text:
-            out.append((text, tags, sum(len(t) for t, link in parts if link), path, level))
+            out.append((text, line.tags, sum(len(t) for t, link in parts if link), line.container, line.level))
+    return out
+
+
+def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
+    """Gaussian smoothing; the window is cut off at the ends of the page."""
+    reach = math.ceil(2 * sigma)
+    weights = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    out = []
+    for i in range(len(values)):
+        lo, hi = max(0, i - reach), min(len(values), i + reach + 1)
+        own = weights[lo - i + reach : hi - i + reach]
+        out.append(sum(v * w for v, w in zip(values[lo:hi], own, strict=True)) / sum(own))
     return out
 
 
-def shared(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
-    """The longest beginning that all paths have."""
-    low, high = min(paths), max(paths)
-    return low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
 
 
-def main_text(html: str) -> str:
-    """The article of a page, one block per line."""
+def parsed(html: str) -> Lines:
+    """The lines of a page. Behind the last tag's end nothing but text is read, so that no unended tag is tried again and again."""
     parser = Lines()
-    parser.feed(html)
+    last = html.rfind(">") + 1
+    m = UNENDED.search(html, last)
+    parser.feed(html[: m.start()] if m else html)
     parser.close()
-    parser.border()
+    parser.finish()
+    return parser
+
+
+def main_text(html: str) -> str:
+    """The article of a page, one block per line."""
+    parser = parsed(html)
     lines = kept_lines(parser)
     if not lines:
         return ""
@@ -244,46 +317,54 @@ def main_text(html: str) -> str:
     threshold = min(math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)), max(ratios))
     cluster = [i for i, ratio in enumerate(ratios) if ratio >= threshold]
     cluster = [i for i in cluster if len(lines[i][0]) > lines[i][2]] or cluster
-    region = shared([lines[i][3] for i in cluster])
-    kinds = [parser.kinds[c] for c in region]
-    if "article" in kinds:
-        region = region[: kinds.index("article") + 1]
-    elif "main" in kinds:
-        region = region[: len(kinds) - kinds[::-1].index("main")]
-    inside = [path[: len(region)] == region for *_, path, _ in lines]
-    start, end, around = beside(parser, lines, inside, region, cluster[0])
+    # containers are numbered as they open, so the one around the first and the last number is around all
+    places = [lines[i][3] for i in cluster]
+    region, last = min(places), max(places)
+    while parser.end[region] < last:
+        region = parser.parent[region]
+    around, c = [], region
+    while c:
+        around.append(c)
+        c = parser.parent[c]
+    articles = [c for c in around if parser.kinds[c] == "article"]
+    mains = [c for c in around if parser.kinds[c] == "main"]
+    region = articles[-1] if articles else mains[0] if mains else region
+    inside = [region <= line[3] <= parser.end[region] for line in lines]
+    start, end, part = beside(parser, lines, inside, region, cluster[0])
     return "\n".join(
-        text for i, (text, _, linked, path, level) in enumerate(lines)
-        if inside[i] or start <= i < end and path[: len(around)] == around and (i == start or level or 2 * linked < len(text))
+        text for i, (text, _, linked, place, level) in enumerate(lines)
+        if inside[i] or start <= i < end and part <= place <= parser.end[part] and (i == start or level or 2 * linked < len(text))
     )
 
 
-def beside(parser: Lines, lines: list, inside: list[bool], region: tuple[int, ...], first_of_cluster: int) -> tuple[int, int, tuple[int, ...]]:
+def beside(parser: Lines, lines: list, inside: list[bool], region: int, first_of_cluster: int) -> tuple[int, int, int]:
     """Where the text goes on around the region: the first line, the end, and the container of a heading next to it.
 
     The heading is the last of level 1 before the region in the nearest container around it, or else the last of any level. A
     region with a heading of its own at its beginning, and an article or main element, take only a heading right beside them.
     """
-    nothing = (0, 0, ())
+    nothing = (0, 0, 0)
     first = inside.index(True)
     own = {lines[i][4] for i in range(first, first_of_cluster + 1) if inside[i]} - {0}
-    if not region or 1 in own or parser.kinds[region[-1]] == "body":
+    if not region or 1 in own or parser.kinds[region] == "body":
+        return nothing
+    whole = parser.kinds[region] in ("article", "main")
+    heads = [i for i in range(first) if lines[i][4]]
+    around = parser.parent[region]
+    if own or whole:
+        heads = [i for i in heads if lines[i][3] == around and (not own or lines[i][4] < min(own))]
+    elif heads:
+        latest = max(lines[i][3] for i in heads)  # a heading in front of the region is in a container around it that opened before
+        while latest < around:
+            around = parser.parent[around]
+        heads = [i for i in heads if around <= lines[i][3] <= parser.end[around]]
+    if not heads:
         return nothing
-    whole = region[-1] in parser.articles
-    for depth in range(len(region) - 1, -1, -1):
-        around = region[:depth]
-        heads = [i for i in range(first) if lines[i][4] and lines[i][3][:depth] == around]
-        if own or whole:
-            heads = [i for i in heads if lines[i][3] == around and (not own or lines[i][4] < min(own))]
-        if heads:
-            top = [i for i in heads if lines[i][4] == 1]
-            start = (top or heads)[-1]
-            page = not around or parser.kinds[around[-1]] == "body"
-            on = not whole and (not page or lines[start][3] == around)
-            return start, len(lines) if on else first, around
-        if own or whole:
-            return nothing
-    return nothing
+    top = [i for i in heads if lines[i][4] == 1]
+    start = (top or heads)[-1]
+    page = not around or parser.kinds[around] == "body"
+    on = not whole and (not page or lines[start][3] == around)
+    return start, len(lines) if on else first, around
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
