@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark import config as C
 from cohortspark.operators import gates
 
 ID_OFFSET = 100_000_000
@@ -116,3 +117,24 @@ def combine(
         "timeseries": a["timeseries"].unionByName(b["timeseries"]),
         "labels": merged_labels(a["labels"], b["labels"]),
     }
+
+
+def patients_collide(a: DataFrame, b: DataFrame) -> bool:
+    common = a.select("patient_id").join(b.select("patient_id"), "patient_id", "left_semi")
+    return not common.limit(1).isEmpty()
+
+
+def combine_checked(
+    a: dict[str, DataFrame], b: dict[str, DataFrame], names: tuple[str, str], required: Sequence[str] = C.BENCHMARK_TASKS,
+) -> dict[str, DataFrame]:
+    """``combine`` behind all gates, with the combined ``manifest`` of the tasks both sides have.
+
+    Fails closed: what metadata or manifests do not confirm is an error, and all findings are named at once.
+    """
+    gates.require(gates.combine_findings(a, b, names, required), "the datasets cannot be combined", show=50)
+    spaced = [namespaced_patients(side["static"], name) for side, name in zip((a, b), names, strict=True)]
+    if patients_collide(*spaced):
+        raise gates.GateError("patient ids collide after namespacing")
+    out = combine(a, b, names)
+    shared = a["manifest"].join(b["manifest"].select("task"), "task", "left_semi")
+    return out | {"manifest": shared}

@@ -181,6 +181,115 @@ def artifact_readiness(
     return counts.withColumn("n_features", F.lit(n_features)).withColumn("ready", ready)
 
 
+INVARIANTS = ("feature_set", "seq_length_hours", "min_stay_hours", "label_horizon_hours")
+
+
+def combine_findings(
+    a: dict[str, DataFrame], b: dict[str, DataFrame], names: tuple[str, str], required: Sequence[str] = C.BENCHMARK_TASKS,
+) -> DataFrame:
+    """(check, side, detail) for all that forbids combining two processed datasets; no rows mean they may be.
+
+    Each side has ``metadata`` (one row), ``manifest`` (a row per task), ``timeseries`` and ``labels``. What the
+    metadata do not say counts as a finding. All constraints are one table over the two metadata rows and the two short manifests;
+    no row of the data is read.
+    """
+    from pyspark.sql import types as T
+
+    spark = a["labels"].sparkSession
+    facts = []
+    for side, name in ((a, names[0]), (b, names[1])):
+        meta, manifest = side.get("metadata"), side.get("manifest")
+        if meta is None:
+            facts.append(("metadata", name, "there is no metadata"))
+        if manifest is None:
+            facts.append(("label_manifest", name, "there is no label manifest"))
+        lost = sorted(set(required) - set(side["labels"].columns))
+        if lost:
+            facts.append(("label_columns", name, f"labels lack {lost}"))
+    facts += [("series_schema", "both", d) for d in schema_differences(a["timeseries"], b["timeseries"])]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("check", "side", "detail")])
+    out = [spark.createDataFrame(facts, schema)]
+    if all(side.get(k) is not None for side in (a, b) for k in ("metadata", "manifest")):
+        out += _metadata_findings(a, b, names, required)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _metadata_findings(a, b, names, required) -> list[DataFrame]:
+    def row(side: dict[str, DataFrame], end: str) -> DataFrame:
+        meta = side["metadata"]
+        values = [
+            (F.col(c).cast("string") if c in meta.columns else F.lit(None).cast("string")).alias(f"{c}_{end}") for c in INVARIANTS
+        ]
+        lists = [
+            (F.col(c).cast("array<string>") if c in meta.columns else F.lit(None).cast("array<string>")).alias(f"{c}_{end}")
+            for c in ("feature_names", "tasks")
+        ]
+        return meta.limit(1).select(*values, *lists).crossJoin(  # one row each
+            side["manifest"].agg(F.collect_set("task").alias(f"manifest_{end}"))  # a name per task
+        )
+
+    both = row(a, "a").crossJoin(row(b, "b"))  # two one-row frames
+    fa, fb = F.col("feature_names_a"), F.col("feature_names_b")
+    same_set = F.coalesce((F.size(F.array_except(fa, fb)) == 0) & (F.size(F.array_except(fb, fa)) == 0), F.lit(False))
+    need = F.array(*[F.lit(t) for t in required])
+    checks = [
+        ("feature_order", "both", same_set & (fa != fb), F.lit("the same features in another order")),
+        ("features", "both", ~same_set, F.concat_ws(
+            "; ", F.concat(F.lit("only a: "), F.array_join(F.sort_array(F.array_except(fa, fb)), ",")),
+            F.concat(F.lit("only b: "), F.array_join(F.sort_array(F.array_except(fb, fa)), ",")))),
+    ]
+    for c in INVARIANTS:
+        x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
+        checks.append(("invariant", "both", ~x.eqNullSafe(y), F.concat(F.lit(f"{c}: "), F.coalesce(x, F.lit("none")), F.lit(" and "), F.coalesce(y, F.lit("none")))))
+    for end, name in (("a", names[0]), ("b", names[1])):
+        for check, held in (("tasks", f"tasks_{end}"), ("label_manifest", f"manifest_{end}")):
+            lost = F.sort_array(F.array_except(need, F.coalesce(F.col(held), F.array().cast("array<string>"))))
+            checks.append((check, name, F.size(lost) > 0, F.concat(F.lit("lacks "), F.array_join(lost, ","))))
+    table = F.array(*[
+        F.struct(F.lit(k).alias("check"), F.lit(side).alias("side"), F.coalesce(bad, F.lit(True)).alias("bad"), F.coalesce(detail, F.lit("")).alias("detail"))
+        for k, side, bad, detail in checks
+    ])
+    found = both.select(F.explode(F.filter(table, lambda r: r["bad"])).alias("r")).select("r.check", "r.side", "r.detail")
+    held = task_agreement(a["manifest"], b["manifest"]).filter("issue is not null")
+    return [found, held.select(F.lit("manifest_entry").alias("check"), F.lit("both").alias("side"), F.concat_ws(": ", "task", "issue").alias("detail"))]
+
+
+def task_agreement(manifest_a: DataFrame, manifest_b: DataFrame) -> DataFrame:
+    """(task, issue) of all tasks of two label manifests: only on one side, another version, another settings hash, or null."""
+    x, y = (m.select("task", F.struct("builder_version", "config_hash").alias(end)) for m, end in ((manifest_a, "a"), (manifest_b, "b")))
+    a, b = F.col("a"), F.col("b")
+    issue = (
+        F.when(b.isNull(), "only in a").when(a.isNull(), "only in b")
+        .when(~a["builder_version"].eqNullSafe(b["builder_version"]), "another builder version")
+        .when(~a["config_hash"].eqNullSafe(b["config_hash"]), "another settings hash")
+    )
+    return x.join(y, "task", "full").select("task", issue.alias("issue"))
+
+
+def readiness_findings(meta: DataFrame, tables: dict[str, DataFrame], dataset: str, expected: int = 84) -> DataFrame:
+    """(check, found, wanted) where stored metadata and the row counts of a processed dataset do not fit; no rows: ready.
+
+    Counts come from one aggregate per table, which Parquet answers from its footers. Metadata that are absent or have no
+    feature count are findings; combined datasets need not confirm that empty stays were left out.
+    """
+    def number(c: str) -> Column:
+        return F.col(c).cast("bigint") if c in meta.columns else F.lit(None).cast("bigint")
+
+    features = F.coalesce(number("n_features"), F.size("feature_names").cast("bigint") if "feature_names" in meta.columns else F.lit(0).cast("bigint"))
+    excluded = F.col("zero_observation_stays_excluded").cast("boolean") if "zero_observation_stays_excluded" in meta.columns else F.lit(False)
+    said = meta.agg(F.count(F.lit(1)).alias("n_meta"), F.max(features).alias("n_features"), F.max(number("n_stays")).alias("n_stays"),
+                    F.coalesce(F.bool_and(excluded), F.lit(False)).alias("excluded"))
+    row = said
+    for name, df in tables.items():
+        row = row.crossJoin(df.agg(F.count(F.lit(1)).alias(f"n_{name}_rows")))  # one-row frames
+    checks = [("metadata", F.col("n_meta"), F.lit(1)), ("n_features", F.col("n_features"), F.lit(expected))]
+    checks += [(f"{name}_rows", F.col(f"n_{name}_rows"), F.coalesce(F.col("n_stays"), F.col(f"n_{name}_rows"))) for name in tables]
+    if dataset != "combined":
+        checks.append(("zero_observation_stays_excluded", F.col("excluded").cast("bigint"), F.lit(1)))
+    table = F.array(*[F.struct(F.lit(k).alias("check"), x.cast("bigint").alias("found"), y.cast("bigint").alias("wanted")) for k, x, y in checks])
+    return row.select(F.explode(F.filter(table, lambda r: ~r["found"].eqNullSafe(r["wanted"]))).alias("r")).select("r.*")
+
+
 # --- run marts ----------------------------------------------------------------------------
 
 def fingerprint_collisions(df: DataFrame, keys=(*C.FINGERPRINT, "seed"), audit=("lr", "mask_ratio")):

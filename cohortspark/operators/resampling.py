@@ -245,7 +245,8 @@ def replicates(
                     out[name + suffix] = np.asarray(m.value(total[:, lo:hi]), float)
             yield out
 
-    return sums.mapInPandas(finish, T.StructType([*kinds, *[T.StructField(c, T.DoubleType()) for c in place]]))
+    done = sums.mapInPandas(finish, T.StructType([*kinds, *[T.StructField(c, T.DoubleType()) for c in place]]))
+    return done.select(*by, "replicate", *[F.coalesce(c, F.lit(NAN)).alias(c) for c in place])  # pandas has no NaN beside null
 
 
 # --- the same draws in SQL --------------------------------------------------------------------

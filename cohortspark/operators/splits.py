@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cohortspark.config import SPLIT_RATIOS
 from cohortspark.operators.ordering import cut_by_draw
 
+#: a key with no more rows than this is never worth a broadcast
+MANY_ROWS = 100_000
+
 
 def _check_ratios(ratios) -> None:
     if abs(sum(ratios) - 1.0) > 1e-6:
@@ -50,7 +53,9 @@ def skew_safe_lookup(
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))
-    heavy = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > F.col("_all") * share).select(key)  # one row: the total
+    heavy = counts.crossJoin(F.broadcast(total)).filter(  # one row: the total
+        (F.col("_n") > F.col("_all") * share) & (F.col("_n") > MANY_ROWS)
+    ).select(key)
     added = [c for c in table.columns if c != key]
     hot = heavy.join(table, key).withColumn("_hot", F.lit(True))  # fewer than 1 / share keys
     seen = rows.join(F.broadcast(hot), key, "left")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark import config as C
 from cohortspark.config import TaskConfig
 from cohortspark.operators import cohort, gates, grid, labels
+from cohortspark.session import stage
 from cohortspark.sources import sinks
 from cohortspark.sources.tables import DatasetSource
 
@@ -24,23 +25,25 @@ def feature_names(series: DataFrame, blocked: Sequence[str] = C.BLOCKED_FEATURES
 def build_tables(
     source: DatasetSource, tasks: Sequence[TaskConfig], stays: DataFrame | None = None,
     features: Sequence[str] | None = None, length: int = C.SEQ_LENGTH_HOURS,
-    min_stay_hours: float = C.MIN_STAY_HOURS, order: Sequence[str] | None = None,
+    min_stay_hours: float = C.MIN_STAY_HOURS, order: Sequence[str] | None = None, series: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """``static``, ``timeseries``, ``labels`` and ``removed`` of one dataset, as lazy plans.
 
     Stays need a valid length of at least ``min_stay_hours`` and one observed cell in
-    the input hours; labels are made for exactly those.
+    the input hours; labels are made for exactly those. With ``series``, the staged hourly rows of the stays, the source's
+    series is not read and the grid is staged, since every table needs to know which stays it holds.
     """
     cohort_stays = cohort.min_stay(cohort.valid_los(source.stays() if stays is None else stays), min_stay_hours)
     ids = cohort_stays.select("stay_id")
-    raw = source.source("timeseries")
-    series = cohort.drop_blocked(cohort.only_stays(raw, ids))
-    names = list(features) if features is not None else feature_names(series)
-    dense = grid.dense_grid(series, cohort_stays, names, length, order)
-    seen = cohort.observed_stays(dense)
+    own = cohort.only_stays(source.source("timeseries"), ids) if series is None else series
+    known = cohort.drop_blocked(own)
+    names = list(features) if features is not None else feature_names(known)
+    seen = cohort.observed_stays(grid.dense_grid(known, cohort_stays, names, length, order))
+    if series is not None:
+        seen = stage(seen, "grid")
     static = cohort.only_stays(cohort_stays, seen)
     wanted = sorted({s for t in tasks for s in t.sources} - {"stays"})
-    sources = {"stays": static, **{s: cohort.only_stays(source.source(s), ids) for s in wanted}}
+    sources = {"stays": static, **{s: own if s == "timeseries" else cohort.only_stays(source.source(s), ids) for s in wanted}}
     built = labels.extract_labels(tasks, sources, source.name)
     removed = cohort.without_stays(cohort_stays, seen).select(
         "stay_id", F.lit("no_observation").alias("reason")
@@ -48,6 +51,21 @@ def build_tables(
     return {"static": static, "timeseries": seen, "labels": built, "removed": removed}
 
 
+def staged_series(source: DatasetSource, stays: DataFrame) -> tuple[DataFrame, dict]:
+    """The hourly rows of the stays, staged, and facts about the whole export observed on the way: the only pass over it.
+
+    Facts: ``rows``, ``last_hour``, ``negative_hours``.
+    """
+    raw, ids = source.source("timeseries"), stays.select("stay_id")
+    hour = F.col("hour")
+    facts = [F.count(F.lit(1)).alias("rows"), F.max(hour).alias("last_hour"), F.count_if(hour < 0).alias("negative_hours")]
+    if ids.limit(1).isEmpty() or raw.limit(1).isEmpty():  # a join with nothing would not read what is observed
+        return stage(raw.limit(0), "series"), raw.agg(*facts).first().asDict()
+    seen = Observation()
+    series = stage(cohort.only_stays(raw.observe(seen, *facts), ids), "series")
+    return series, seen.get
+
+
 def check_tables(tables: dict[str, DataFrame], limits: dict[str, float] | None = None) -> DataFrame:
     """Fail on broken stays or missing labels; returns the tasks above their missing limit."""
     gates.check_stays(tables["static"])
@@ -71,9 +89,7 @@ def build_dataset(
     ``exported_hours`` is the horizon the export states. Without one the largest hour
     of the series stands in.
     """
-    if exported_hours is None:
-        check_horizon(source, tasks)
-    elif any(labels.required_horizon(t) > exported_hours for t in tasks):
+    if exported_hours is not None and any(labels.required_horizon(t) > exported_hours for t in tasks):
         raise gates.GateError("the export is too short for the labels")
     names = feature_names(source.source("timeseries"))
     settings = {
@@ -84,7 +100,12 @@ def build_dataset(
     stays = cohort.min_stay(cohort.valid_los(source.stays()), min_stay_hours)
 
     def build(new: DataFrame) -> dict[str, DataFrame]:
-        tables = build_tables(source, tasks, new, names, length, min_stay_hours)
+        series, facts = staged_series(source, new)
+        if exported_hours is None:
+            short = [t.name for t in tasks if labels.required_horizon(t) > (facts["last_hour"] if facts["last_hour"] is not None else -1) + 1]
+            if short:
+                raise gates.GateError(f"the export is too short for {short}: its hours end at {facts['last_hour']}")
+        tables = build_tables(source, tasks, new, names, length, min_stay_hours, series=series)
         limits = {t.name: t.max_missing_pct for t in tasks if t.max_missing_pct is not None}
         for row in check_tables(tables, limits).collect():  # one row per task at most
             warnings.warn(f"many missing labels: {row.asDict()}", stacklevel=2)

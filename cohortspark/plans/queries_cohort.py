@@ -964,3 +964,97 @@ def feature_mismatch(spark, sf):
             .withColumn("position", F.col("position").cast("bigint"))
 
     return G.feature_mismatch(numbered(names, False), numbered(names.filter("feature <> 'LARGE'"), True))
+
+
+# --- gates before combining ------------------------------------------------------------------------
+
+_PRIO = """p AS (SELECT o_orderpriority AS task, count(*) AS n, count(DISTINCT o_custkey) AS c FROM orders GROUP BY 1),
+ma AS (SELECT task, CAST(n % 2 AS VARCHAR) AS builder_version, md5(task) AS config_hash FROM p WHERE task <> '5-LOW'),
+mb AS (SELECT task, CAST(c % 2 AS VARCHAR) AS builder_version, CASE WHEN task LIKE '2%' THEN 'x' ELSE md5(task) END AS config_hash FROM p WHERE task NOT LIKE '4%')"""
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _manifests(spark, sf):
+    """Two label manifests made of the orders' priorities."""
+    o = A.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("c")
+    )
+    a = o.filter("task <> '5-LOW'").select("task", (F.col("n") % 2).cast("string").alias("builder_version"), F.md5("task").alias("config_hash"))
+    b = o.filter("task NOT LIKE '4%'").select(
+        "task", (F.col("c") % 2).cast("string").alias("builder_version"),
+        F.when(F.col("task").like("2%"), "x").otherwise(F.md5("task")).alias("config_hash"),
+    )
+    return a, b
+
+
+@query("task_coverage", f"""WITH {_PRIO}
+SELECT t.task, ma.task IS NOT NULL AS in_a, mb.task IS NOT NULL AS in_b,
+  coalesce(ma.builder_version = mb.builder_version AND ma.config_hash = mb.config_hash, false) AS agree
+FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) t(task) LEFT JOIN ma USING (task) LEFT JOIN mb USING (task)""")
+def task_coverage(spark, sf):
+    return G.task_coverage(*_manifests(spark, sf), PRIORITIES)
+
+
+@query("task_agreement", f"""WITH {_PRIO}
+SELECT task, CASE WHEN mb.config_hash IS NULL THEN 'only in a' WHEN ma.config_hash IS NULL THEN 'only in b'
+  WHEN ma.builder_version <> mb.builder_version THEN 'another builder version' WHEN ma.config_hash <> mb.config_hash THEN 'another settings hash' END AS issue
+FROM ma FULL JOIN mb USING (task)""")
+def task_agreement(spark, sf):
+    return G.task_agreement(*_manifests(spark, sf))
+
+
+@query("invariant_mismatch", """
+WITH a AS (SELECT r_name AS invariant, CAST(count(*) AS VARCHAR) AS value FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1),
+b AS (SELECT r_name AS invariant, CAST(count(*) AS VARCHAR) AS value FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey < 20 AND r_name <> 'ASIA' GROUP BY 1)
+SELECT invariant, a.value AS value_a, b.value AS value_b FROM a FULL JOIN b USING (invariant) WHERE a.value IS DISTINCT FROM b.value""")
+def invariant_mismatch(spark, sf):
+    both = A.table(spark, sf, "region").join(A.table(spark, sf, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def side(df):
+        return df.groupBy(F.col("r_name").alias("invariant")).agg(F.count(F.lit(1)).cast("string").alias("value"))
+
+    return G.invariant_mismatch(side(both), side(both.filter("n_nationkey < 20 AND r_name <> 'ASIA'")))
+
+
+@query("combine_findings", f"""WITH {_PRIO},
+f AS (SELECT list_sort(list(DISTINCT event_type)) AS fa, list_sort(list(DISTINCT event_type) FILTER (event_type <> 'view')) AS fb, CAST(max(user_id) AS VARCHAR) AS ia,
+  CAST(min(user_id) AS VARCHAR) AS ib FROM events)
+SELECT 'features' AS "check", 'both' AS side, 'only a: view; only b: ' AS detail FROM f WHERE fa <> fb
+UNION ALL SELECT 'invariant', 'both', 'seq_length_hours: ' || ia || ' and ' || ib FROM f WHERE ia <> ib
+UNION ALL SELECT 'tasks', 'x', 'lacks 5-LOW' UNION ALL SELECT 'label_manifest', 'x', 'lacks 5-LOW'
+UNION ALL SELECT 'label_manifest', 'y', 'lacks 4-NOT SPECIFIED' UNION ALL SELECT 'label_columns', 'y', 'labels lack [''3-MEDIUM'']'
+UNION ALL SELECT 'manifest_entry', 'both', task || ': ' || CASE WHEN mb.config_hash IS NULL THEN 'only in a' WHEN ma.config_hash IS NULL THEN 'only in b'
+  WHEN ma.builder_version <> mb.builder_version THEN 'another builder version' ELSE 'another settings hash' END
+FROM ma FULL JOIN mb USING (task) WHERE (ma.builder_version, ma.config_hash) IS DISTINCT FROM (mb.builder_version, mb.config_hash)""")
+def combine_findings(spark, sf):
+    """Two sides that differ in a feature, a setting, tasks, manifests and label columns."""
+    e = A.table(spark, sf, "events")
+    ma, mb = _manifests(spark, sf)
+    labels = A.table(spark, sf, "orders").select(*[F.lit(1).alias(t) for t in PRIORITIES])
+
+    def meta(cond, number, tasks):
+        return e.agg(
+            F.sort_array(F.collect_set(F.when(cond, F.col("event_type")))).alias("feature_names"), number.alias("seq_length_hours"),
+            F.lit("all").alias("feature_set"), F.lit(48).alias("min_stay_hours"), F.lit(168).alias("label_horizon_hours"),
+            F.array(*[F.lit(t) for t in tasks]).alias("tasks"),
+        )
+
+    a = {"metadata": meta(F.lit(True), F.max("user_id"), PRIORITIES[:4]), "manifest": ma, "timeseries": e, "labels": labels}
+    b = {"metadata": meta(F.col("event_type") != "view", F.min("user_id"), PRIORITIES), "manifest": mb, "timeseries": e, "labels": labels.drop("3-MEDIUM")}
+    return G.combine_findings(a, b, ("x", "y"), PRIORITIES)
+
+
+@query("readiness_findings", W("ev stays", """
+SELECT "check", found, wanted FROM (
+  SELECT 'static_rows' AS "check", count(*) FILTER (nation < 12) AS found, count(*) AS wanted FROM stays
+  UNION ALL SELECT 'timeseries_rows', count(*), (SELECT count(*) FROM stays) FROM (SELECT DISTINCT stay_id, hour FROM ev)
+  UNION ALL SELECT 'labels_rows', count(*), count(*) FROM stays
+  UNION ALL SELECT 'n_features', count(DISTINCT label), 84 FROM ev
+  UNION ALL SELECT 'zero_observation_stays_excluded', 0, 1)
+WHERE found <> wanted"""))
+def readiness_findings(spark, sf):
+    """Stored metadata against the tables: too few features, row counts that differ, no word on empty stays."""
+    stays, ev = A.stays(spark, sf), A.raw_events(spark, sf)
+    meta = stays.agg(F.count(F.lit(1)).alias("n_stays")).crossJoin(ev.agg(F.collect_set("label").alias("feature_names")))  # two one-row frames
+    tables = {"static": stays.filter("nation < 12"), "timeseries": ev.select("stay_id", "hour").distinct(), "labels": stays}
+    return G.readiness_findings(meta, tables, "miiv")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators.cohort import only_stays
@@ -47,17 +47,42 @@ def extraction_metadata(
         *[F.struct(F.lit(t).alias("task"), F.count(t).alias("non_null")) for t in tasks]
     ) if tasks else F.lit(None)
     counts = stays.agg(F.count(F.lit(1)).alias("n_stays")).crossJoin(labels.agg(known.alias("labels")))
+    return _described(counts, tasks, features, settings, signature)
+
+
+def _described(counts: DataFrame, tasks: Sequence[str], features: Sequence[str], settings: dict, signature: str | None) -> DataFrame:
     extra = {k: F.lit(v) if not isinstance(v, (list, tuple)) else F.array(*[F.lit(x) for x in v])
              for k, v in settings.items()}
     return counts.withColumns(
         {
             "feature_names": F.array(*[F.lit(f) for f in features]),
             "n_features": F.lit(len(features)), "tasks": F.array(*[F.lit(t) for t in tasks]),
-            "upstream_signature": F.lit(signature), **extra,
+            "upstream_signature": F.lit(signature), "zero_observation_stays_excluded": F.lit(True), **extra,
         }
     )
 
 
+def counted(df: DataFrame, labels: bool = False) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows counted while it is written, and the non-null values of each label column with ``labels``."""
+    seen = Observation()
+    return df.observe(seen, *_counts(df, labels)), seen
+
+
+def _counts(df: DataFrame, labels: bool) -> list[Column]:
+    tasks = [c for c in df.columns if c != "stay_id"] if labels else []
+    return [F.count(F.lit(1)).alias("rows"), *[F.count(t).alias(f"task:{t}") for t in tasks]]
+
+
+def observed_metadata(
+    spark: SparkSession, counts: dict[str, int], features: Sequence[str], settings: dict, signature: str | None = None,
+) -> DataFrame:
+    """The row of ``extraction_metadata`` from counts observed on the writes: ``rows`` of the static table and ``task:<name>``."""
+    tasks = {k.removeprefix("task:"): v for k, v in counts.items() if k.startswith("task:")}
+    known = [F.struct(F.lit(t).alias("task"), F.lit(n).cast("bigint").alias("non_null")) for t, n in tasks.items()]
+    row = spark.range(1).select(F.lit(counts["rows"]).cast("bigint").alias("n_stays"), (F.array(*known) if known else F.lit(None)).alias("labels"))
+    return _described(row, list(tasks), features, settings, signature)
+
+
 def write_embeddings(df: DataFrame, path: str, id_col: str = "id") -> None:
     df.select(
         F.col(id_col).alias("id"), F.col("embedding").cast("array<float>").alias("embedding")
@@ -143,15 +168,39 @@ def append_or_rebuild(
             return "unchanged"
         # static last: a stay counts as done only when its other tables are written
         tables = build(fresh)
+        counts = saved_counts(spark, path)
         for name in ("timeseries", "labels", "static"):
-            held = spark.read.parquet(f"{path}/{name}").select("stay_id").join(fresh.select("stay_id"), "stay_id", "left_semi")
-            lacking = tables[name].join(cut_lineage(held.distinct()), "stay_id", "left_anti")
-            lacking.select(tables[name].columns).write.mode("append").parquet(f"{path}/{name}")
+            held = spark.read.parquet(f"{path}/{name}").join(fresh.select("stay_id"), "stay_id", "left_semi")
+            done = cut_lineage(held.select("stay_id").distinct())
+            lacking, seen = counted(tables[name].join(done, "stay_id", "left_anti").select(tables[name].columns), name == "labels")
+            died = not done.limit(1).isEmpty()
+            # rows of a run that died are in the table, but not in the saved counts
+            left = held.agg(*_counts(held, name == "labels")).first().asDict() if died else {}
+            lacking.write.mode("append").parquet(f"{path}/{name}")
+            if name != "timeseries":
+                _add(counts, seen.get, name)
+                _add(counts, left, name)
         verdict = "appended"
     else:
-        write_dataset(build(stays), path)
+        tables, counts = build(stays), {}
+        for name in ("timeseries", "labels", "static"):
+            table, seen = counted(tables[name], name == "labels")
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            if name != "timeseries":
+                _add(counts, seen.get, name)
         verdict = "rebuilt"
-    saved = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
-    meta = extraction_metadata(spark, saved["static"], saved["labels"], features, settings, signature)
+    meta = observed_metadata(spark, counts, features, settings, signature)
     write_metadata(meta, path)
     return verdict
+
+
+def _add(counts: dict[str, int], seen: dict, table: str) -> None:
+    for k, n in seen.items():
+        if k.startswith("task:") or table == "static":
+            counts[k] = counts.get(k, 0) + n
+
+
+def saved_counts(spark: SparkSession, path: str) -> dict[str, int]:
+    """The counts that the stored metadata give."""
+    row = spark.read.json(f"{path}/metadata").first().asDict(recursive=True)
+    return {"rows": row["n_stays"], **{f"task:{r['task']}": r["non_null"] for r in row.get("labels") or []}}

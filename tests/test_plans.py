@@ -112,3 +112,52 @@ def test_hot_keys_leave_the_shuffle(spark, monkeypatch):
     assert out.count() == 301 and out.filter("split <> concat('s', patient_id)").count() == 0
     assert out.filter("split is null").count() == 1
     assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
+
+
+class CountedExport:
+    """An export that counts the rows read from its series."""
+
+    def __init__(self, spark, inner):
+        self.inner, self.name, self.rows = inner, inner.name, spark.sparkContext.accumulator(0)
+
+    def stays(self):
+        return self.inner.stays()
+
+    def source(self, name):
+        df = self.inner.source(name)
+        if name != "timeseries":
+            return df
+        rows = self.rows
+
+        def count(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema)
+
+
+def test_a_build_reads_its_series_once_and_counts_while_it_writes(spark, folder):
+    src = CountedExport(spark, export(spark, f"{folder}/in"))
+    tasks = [LOS, AKI]
+    stays = src.stays()
+    src.inner.stays = lambda: stays.filter("stay_id < 20")
+    args = dict(signature="s", length=6, min_stay_hours=24)
+    assert build.build_dataset(spark, src, tasks, f"{folder}/out", **args) == "rebuilt"
+    n = src.inner.source("timeseries").count()
+    assert n <= src.rows.value <= n + 200  # once, and a look at the first rows
+
+    def held():
+        meta = spark.read.json(f"{folder}/out/metadata").first()
+        labels = spark.read.parquet(f"{folder}/out/labels")
+        assert meta.n_stays == spark.read.parquet(f"{folder}/out/static").count() == labels.count() and meta.zero_observation_stays_excluded
+        assert {r.task: r.non_null for r in meta.labels} == {t: labels.filter(F.col(t).isNotNull()).count() for t in ("los_remaining", "aki_kdigo")}
+        return meta.n_stays
+
+    assert held() == 18
+    src.inner.stays = lambda: stays
+    assert build.build_dataset(spark, src, tasks, f"{folder}/out", **args) == "appended" and held() == 28
+    far = TaskConfig("aki_kdigo", "aki", observation_hours=60, prediction_hours=60, sources=("stays", "timeseries"))
+    with pytest.raises(gates.GateError, match="too short"):
+        build.build_dataset(spark, src, [far], f"{folder}/far", **args)
+    assert not TB.path_exists(spark, f"{folder}/far/static")
