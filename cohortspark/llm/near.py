@@ -271,32 +271,38 @@ def components(edges: DataFrame) -> DataFrame:
     """Nodes of ``edges`` (a, b) with the smallest node they reach, by alternating large-star and small-star: doc_id, component."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """Per node u, its neighbours (the larger or the smaller ones) and the smallest of it and them become edges."""
+        """Per node u, its neighbours (the larger or the smaller ones) and the smallest of it and them become edges.
+
+        A hot node's rows are split by the engine's skew join, as what follows shuffles anew.
+        """
         near = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        near = stage(near, "near")
-        least = stage(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        joined = skew_safe_join(near, least, ["a"], "n")
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        joined = near.join(least, "a")
         if large:
-            return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-
-    def print_of(pairs: DataFrame):
-        return pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return stage(out.where("a <> b").distinct(), "edges")
+
+    def settled(pairs: DataFrame) -> bool:
+        """Whether every node has one edge at most, to a node that has none."""
+        ends = pairs.select(F.col("a").alias("u"), F.lit(1).alias("own"), F.lit(0).alias("root")).unionByName(
+            pairs.select(F.col("b").alias("u"), F.lit(0).alias("own"), F.lit(1).alias("root"))
+        )
+        bad = ends.groupBy("u").agg(F.sum("own").alias("own"), F.max("root").alias("root")).where("own > 1 OR (own = 1 AND root = 1)")
+        return bad.limit(1).isEmpty()
 
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = print_of(now)
-    while seen[0]:
-        now = star(now, large=True).where("a <> b").distinct()
-        now = stage(star(now, large=False).where("a <> b").distinct(), "edges")
-        seen, before = print_of(now), seen
-        if seen == before:
-            break
+    while not settled(now):
+        now = star(star(now, large=True), large=False)
     return now.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
 
 
 def grown(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after ``links`` (a, b) were found between them."""
-    return stage(components(comps.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
+    """Components after the staged ``links`` (a, b) were found between them."""
+    if links.limit(1).isEmpty():
+        return comps
+    return components(comps.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -323,12 +329,12 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     near_hub = stage(near_by_signature(starred, reps, share), "near-hub")
     far = members.where("doc_id <> hub").join(near_hub.toDF("doc_id", "hub"), ["doc_id", "hub"], "left_anti")
     found = _asked(members, far, None, reps, share)
-    needed = stage(near_hub.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(found.select("doc_id")).distinct(), "needed")
+    needed = near_hub.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(found.select("doc_id")).distinct()
     sets = stage(full_sets(docs, needed, id_col, text_col), "sets")
     first = near_hub.groupBy("a").agg(F.min("b").alias("b"))
     start = confirmed(first, sets, share).unionByName(_linked(found, None, sets, share))
-    comps = stage(components(start), "components")
-    comps = grown(comps, confirmed(apart(near_hub, comps), sets, share))
+    comps = components(start)
+    comps = grown(comps, stage(confirmed(apart(near_hub, comps), sets, share), "links"))
     # members that are after all in another component than the smallest id of their bucket
     placed = members.join(comps, "doc_id", "left").withColumn("group", F.coalesce("component", "doc_id")).drop("component")
     hubs = buckets.select("key", "hub").join(comps.toDF("hub", "component"), "hub", "left").select("key", F.coalesce("component", "hub").alias("hub_group"))
@@ -351,8 +357,8 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
 def _asked(members: DataFrame, asking: DataFrame, comps: DataFrame | None, reps: DataFrame, share: int) -> DataFrame:
     """The members ``asking`` (key, doc_id) and others of their buckets, as far as their signatures are near: staged, as ``tiles`` wants them."""
     asking = stage(asking.select("key", "doc_id", "n").distinct(), "asking")
-    keys = stage(asking.groupBy("key").agg(F.count(F.lit(1)).alias("n_asks"), F.max("n").alias("n")), "asking-keys")
-    own = skew_safe_join(members.select("key", "doc_id"), keys, ["key"], "n")
+    keys = asking.groupBy("key").agg(F.count(F.lit(1)).alias("n_asks"), F.max("n").alias("n"))
+    own = members.select("key", "doc_id").join(keys, "key")
     own = own.join(asking.select("key", "doc_id", F.lit(True).alias("asks")), ["key", "doc_id"], "left")
     own = _grouped(own.withColumn("asks", F.coalesce("asks", F.lit(False))), comps)
     near = near_in_buckets(own, reps, share).groupBy("key", "doc_id").agg(F.max("asks").alias("asks"))
@@ -367,8 +373,8 @@ def _grouped(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 def _linked(near: DataFrame, comps: DataFrame | None, sets: DataFrame, share: int) -> DataFrame:
     """Links among the members that ``_asked`` gave."""
-    keys = stage(near.groupBy("key").agg(F.sum(F.col("asks").cast("bigint")).alias("n_asks"), F.count(F.lit(1)).alias("n")), "near-keys")
-    return stage(links_in_buckets(_grouped(skew_safe_join(near, keys, ["key"], "n"), comps), sets, share), "links")
+    keys = near.groupBy("key").agg(F.sum(F.col("asks").cast("bigint")).alias("n_asks"), F.count(F.lit(1)).alias("n"))
+    return stage(links_in_buckets(_grouped(near.join(keys, "key"), comps), sets, share), "links")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
