@@ -48,6 +48,14 @@ def ship(spark: SparkSession) -> None:
     sc._cohortspark_sent = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it otherwise, in idle workers and on the driver."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` for ``mapInArrow``, giving memory back to the system when its task ends.
 
@@ -59,9 +67,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return whole
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import ship, sized_chunks, strings, tidy
+from cohortspark.llm.common import give_back, ship, sized_chunks, strings, tidy
 
 GRADES = 3
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
@@ -112,7 +112,14 @@ def train(
     sample = [marks.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in ((1, most_toxic), (0, most_clean))]
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
     chosen = texts.join(F.broadcast(sample[0].unionByName(sample[1])), "_id").select("_toxic", "text")
-    got = chosen.mapInArrow(tidy(run), "toxic int, features array<bigint>, counts array<int>").toArrow()
+    try:
+        return _fitted(chosen.mapInArrow(tidy(run), "toxic int, features array<bigint>, counts array<int>").toArrow(), most_features)
+    finally:
+        give_back()
+
+
+def _fitted(got: pa.Table, most_features: int) -> SeverityModel:
+    """The model of a sample with its features."""
     toxic = got.column("toxic").to_numpy()
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
