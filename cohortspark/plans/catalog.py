@@ -2,6 +2,7 @@
 
 from cohortspark.plans import (  # noqa: F401
     queries_cohort,
+    queries_io,
     queries_runs,
     queries_scores,
     queries_series,
