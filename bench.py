@@ -21,6 +21,7 @@ HEADLINE = (
     "mortality_windowed", "aki_labels", "stay_split", "ranking_metrics", "binary_report",
     "calibration_error", "binary_fairness", "price_summary", "bootstrap_accuracy",
     "signed_rank_test", "timestep_budget_mask", "missing_by_group", "embedding_dim_stats",
+    "bootstrap_auroc", "bootstrap_binary", "embedding_report", "statistical_tests", "dataset_build",
 )
 
 

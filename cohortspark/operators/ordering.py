@@ -236,9 +236,9 @@ def cut_by_draw(
     groups = groups or []
     drawn = cut_lineage(df.withColumn("_draw", stable_draw(seed, *ids)).withColumn("_one", F.lit(1).cast("bigint")))
     found = select_ranks(drawn.select(*groups, "_draw", "_one"), groups, "_draw", "_one", cuts)
-    at = found.groupBy(*groups).agg(
+    at = cut_lineage(found.groupBy(*groups).agg(  # two numbers per group and cut, which two branches below read
         *[F.max(F.when(F.col("name") == c, F.col(x))).alias(f"_{x}_{c}") for c in cuts for x in ("image", "inside")]
-    )
+    ))
     # without a row at a cut the cut lies behind the last one
     joined = null_safe_join(drawn, at, groups, "left") if groups else drawn.join(F.broadcast(at), F.lit(True), "left")  # one row
     on_cut = F.lit(False)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.config import SPLIT_RATIOS
 from cohortspark.operators.ordering import cut_by_draw
+from cohortspark.session import cut_lineage
 
 #: a key with no more rows than this is never worth a broadcast
 MANY_ROWS = 100_000
@@ -51,6 +52,7 @@ def skew_safe_lookup(
     their table rows are broadcast and their many rows stay where they are. The other
     keys go through an ordinary join.
     """
+    rows = cut_lineage(rows)  # the counts and both joins read it
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"))
     heavy = counts.crossJoin(F.broadcast(total)).filter(  # one row: the total
