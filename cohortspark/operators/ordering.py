@@ -197,12 +197,13 @@ def select_ranks(
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, probs: dict[str, float], lower: bool = False,
+    df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
+    buckets: int | None = None, lower: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group; linear interpolation unless ``lower``.
 
     Equal values collapse first; the values around each quantile come from ``select_ranks``, so neither rows nor
-    values of a group meet in a task. ``probs`` maps output column names to probabilities. With ``lower`` the value
+    values of a group meet in a task; ``buckets`` is taken for older callers and has no effect. ``probs`` maps output column names to probabilities. With ``lower`` the value
     at the floor position is taken, as a lower median does.
     """
     seen = df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(
