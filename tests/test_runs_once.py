@@ -64,3 +64,47 @@ def test_metrics_keep_finite_numbers_only(spark):
 
     got = R.flatten_runs(spark.createDataFrame([row], schemas.RUNS)).select("metrics", "fairness_keys").first()
     assert got["metrics"] == {"test/d": 1000.0, "fairness/z/b": 2.0} and got["fairness_keys"] == ["fairness/a/b", "fairness/z/b"]
+
+
+def test_only_the_newest_runs_are_stored(spark, sf):
+    rows = Q.latest(spark, sf)
+    assert "Window" not in plan(rows) and rows.count() == rows.select(*C.FINGERPRINT, "seed").distinct().count()
+
+
+def test_the_newest_run_is_found_by_a_hash_of_its_key(spark):
+    rows = [
+        ("a", 0.0, 1, "2024-01-01", "1"), ("a", -0.0, 1, "2024-01-02", "2"), ("a", 1.0, 1, None, "9"), ("a", 1.0, 1, "2024-01-01", "3"),
+        (None, float("nan"), None, "2024-01-01", "4"), (None, float("nan"), None, "2024-01-01", "5"), (None, None, None, None, "6"),
+        ("", None, None, "2024-01-01", None), ("a", 0.0, 2, "2024-01-01", "7"), ("a", 0.0, 2, "2024-01-01", "7"),
+    ]
+    df = spark.createDataFrame(rows, "paradigm string, label_fraction double, seed bigint, created_at string, run_id string")
+    out = R.latest_runs(df)
+    assert out.columns == ["paradigm", "label_fraction", "seed", "created_at", "run_id"]
+    assert sorted(str(r["run_id"]) for r in out.collect()) == ["2", "3", "5", "6", "7", "None"]
+    sort = [s for s in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in s]
+    assert sort and all("Sort [_hash" in s for s in sort)
+    assert R.latest_runs(df.select("created_at", "run_id")).first()["run_id"] == "2"
+
+
+def test_a_tag_and_a_name_are_read_once(spark):
+    from cohortspark import schemas
+
+    def run(name, config, *tags):
+        return ("1", "", name, "g", "2024-01-01", list(tags), config, {}, "finished")
+
+    df = spark.createDataFrame(
+        [
+            run("x_from_miiv_lr00005", "{}", "experiment_class:k", "protocol:Probe", "phase:p"),
+            run("x_from_eicu", '{"paradigm": "xgboost", "protocol": "fine-tune", "output_dir": "/o/x_mask_ratio075"}'),
+            run(None, '{"training": {"freeze_encoder": true}, "output_dir": "a_from_combined"}', "protocol: "),
+            run("x_from_other_mask03_lr", None),
+        ],
+        schemas.RUNS,
+    )
+    out = R.flatten_runs(df).select(*C.FINGERPRINT)
+    got = [(r["experiment_class"], r["protocol"], r["phase"], r["source_dataset"], r["upstream_pretrain_lr"], r["upstream_pretrain_mask_ratio"]) for r in out.collect()]
+    assert got == [
+        ("k", "linear_probe", "p", "miiv", 0.0005, None), (None, "full_finetune", "baseline", "eicu", None, 0.75),
+        (None, "linear_probe", "finetune", "combined", None, None), (None, None, "finetune", None, None, None),
+    ]
+    assert plan(out).count("StartsWith(") == 3
